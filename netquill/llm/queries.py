@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_output
+from . import exact_dedup, mixing, quality, token_output, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_warc": warc.op2_warc,
+    "op4_quality": quality.op4_quality,
     "op5_mix": mixing.op5_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_tokens": token_output.op10_tokens,
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc.OP2_SQL,
     "op5_mix": mixing.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
