@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, token_output, toxicity, warc
+from . import exact_dedup, mixing, quality, substring_dedup, suffix_dedup, token_output, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_warc": warc.op2_warc,
     "op4_quality": quality.op4_quality,
     "op5_mix": mixing.op5_mix,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_tokens": token_output.op10_tokens,
 }
