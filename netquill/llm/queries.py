@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, substring_dedup, suffix_dedup, token_output, toxicity, warc
+from . import exact_dedup, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_output, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_warc": warc.op2_warc,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_quality": quality.op4_quality,
     "op5_mix": mixing.op5_mix,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_warc": warc.OP2_SQL,
+    "op3_near_dedup": near_dedup.OP3_SQL,
     "op5_mix": mixing.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
