@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_output, toxicity, warc
+from . import decontamination, exact_dedup, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_output, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_tokens": token_output.op10_tokens,
 }
