@@ -7,6 +7,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import CLASS_LABELS, LABEL2ID
 
@@ -26,7 +27,7 @@ def safe_number(col):
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _literal_to_json(cells: pd.Series) -> pd.Series:
     def one(s):
         if not isinstance(s, str) or not s:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schemas import PACKET
@@ -209,7 +210,7 @@ def tls_packets(decoded: DataFrame) -> DataFrame:
     return decoded.where((F.col("protocol") == "tcp") & ((F.col("src_port") == 443) | (F.col("dst_port") == 443)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def common_names(payload: pd.Series) -> pd.Series:
     """Certificate common names in a payload, in order."""
     return payload.map(lambda b: [m.group(1).decode() for m in COMMON_NAME.finditer(b or b"")])
