@@ -149,7 +149,7 @@ def days_between(later, earlier):
 
 # Date forms of the two data sets.
 DAY_FIRST = ["d/M/yyyy H:m:s", "d/M/yyyy h:m:s a", "d/M/yyyy H:m"]
-YEAR_FIRST = ["yyyy-M-d H:m:s", "yyyy/M/d H:m:s", "yyyy-M-d h:m:s a", "yyyy/M/d H:m"]
+YEAR_FIRST = ["yyyy-M-d H:m:s", "yyyy/M/d H:m:s", "yyyy-M-d h:m:s a", "yyyy/M/d h:m:s a", "yyyy/M/d H:m"]
 
 
 def parse_epoch(col, formats, offset_hours: float = 0):
