@@ -56,8 +56,8 @@ def flow_statistics(packets: DataFrame, keys, header_bytes: int = 40) -> DataFra
     f, b = F.col("dir") == "F", F.col("dir") == "B"
     x = F.col("len")
     g = packets.groupBy(*keys).agg(
-        F.min("ts").alias("ts_start"),
-        F.max("ts").alias("ts_end"),
+        F.min_by("ts", "pkt_no").alias("ts_start"),
+        F.max_by("ts", "pkt_no").alias("ts_end"),
         F.count_if(f).alias("pkts_forward"),
         F.count_if(b).alias("pkts_backward"),
         F.count(F.lit(1)).alias("pkts_total"),

@@ -88,7 +88,7 @@ _FWD, _BWD = "CASE WHEN dir = 'F' THEN len END", "CASE WHEN dir = 'B' THEN len E
 
 
 @query(
-    f"""WITH {{PACKETS}}, g AS (SELECT flow_id, min(ts) AS ts_start, max(ts) AS ts_end,
+    f"""WITH {{PACKETS}}, g AS (SELECT flow_id, arg_min(ts, pkt_no) AS ts_start, arg_max(ts, pkt_no) AS ts_end,
  count(*) FILTER (dir = 'F') AS pkts_forward, count(*) FILTER (dir = 'B') AS pkts_backward, count(*) AS pkts_total,
  round(coalesce(sum({_FWD}), 0.0), 4) AS bytes_forward, round(coalesce(sum({_BWD}), 0.0), 4) AS bytes_backward, round(coalesce(sum(len), 0.0), 4) AS bytes_total,
  {_stat_sql("len", "pkt_len", ("max", "min", "mean", "std", "var"))}, {_stat_sql(_FWD, "pkt_len_fwd", ("mean", "std"))}, {_stat_sql(_BWD, "pkt_len_bwd", ("mean", "std"))},
