@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import re
 import zlib
 
 import numpy as np
@@ -30,25 +31,62 @@ from .common import filesystem, fresh_dir, own_columns, range_bounds, shard_of
 
 END_ID = 2
 #: Words whose ids a worker keeps; when full the memo starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: The dictionary is trained on the first documents of the id order, at most so many and of so many bytes.
 DICT_DOCS, DICT_BYTES, DICT_SIZE = 2_000, 4 << 20, 64 << 10
 SHARD_BYTES = 16 << 20
 
 
+#: Words of printable ASCII and Latin-1 letters: there lower-casing and composition touch single characters only.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's own pattern, written out for lower-cased plain words.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: visible Latin-1 bytes stand for themselves, others for letters from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
     """``encode(text, add_special_tokens=False).ids``, remembering words.
 
     The tokenizer's pattern never crosses white space, and its normalizers
     leave the cut at ASCII white space alone, so a text's ids are its words'
-    ids in a row.  A vocabulary of another kind gets ``by_word=False``.
+    ids in a row.  A plain word is cut into the pattern's pieces here and its
+    pieces go to the model directly; any other word goes through the whole
+    tokenizer.  A vocabulary of another kind gets ``by_word=False``.
     """
 
     def __init__(self, path: str, by_word: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.memo = Tokenizer.from_file(path), by_word, {}
+        self.tokenizer, self.by_word, self.memo, self.pieces = Tokenizer.from_file(path), by_word, {}, {}
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            name = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(name)], np.uint32).tobytes()
+        return ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        memo, odd = self.memo, []
+        for w in new:
+            word = w.decode()
+            if _PLAIN.fullmatch(word) and "<|" not in word:
+                pieces = _PIECES.findall(word.lower())
+                memo[w] = self._piece(pieces[0]) if len(pieces) == 1 else b"".join([self._piece(x) for x in pieces])
+            else:
+                odd.append(w)
+        for i in range(0, len(odd), 2_000):
+            some = odd[i : i + 2_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                memo[w] = np.array(e.ids, np.uint32).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
@@ -56,12 +94,10 @@ class WordEncoder:
         words = [t.split() for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
+        if len(self.pieces) > MEMO_WORDS:
+            self.pieces = {}
         memo = self.memo
-        new = list({w for doc in words for w in doc if w not in memo})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, np.uint32).tobytes()
+        self._learn(list({w for doc in words for w in doc if w not in memo}))
         return [np.frombuffer(b"".join([memo[w] for w in doc]), np.uint32) for doc in words]
 
 
@@ -247,6 +283,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def op10_tokens(spark, sf_dir: str) -> DataFrame:
-    root = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer())
+def summary(spark, root: str) -> DataFrame:
+    """Per document read back from a store: place, count and checksum of its ids."""
     return read_tokens(spark, root).mapInArrow(_summary, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op10_tokens(spark, sf_dir: str) -> DataFrame:
+    return summary(spark, write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer()))
