@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, own_columns
+from .common import held_out, lean_batches, own_columns, trim
 
 #: Bound of the training sample: documents of each label, by the md5 order of their ids, and characters of each.
 SAMPLE_PER_LABEL, SAMPLE_CHARS = 1_500, 20_000
-DIM_BITS = 17
+DIM_BITS = 19
 SEGMENT = 48
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
+CUE_BITS = 23
 SPAN_AT = 0.5
 _STRIP = "\"'.,;:!?()[]{}<>«»„“”‚‘’*#%$&|+=~^`_/\\-"
 
@@ -39,9 +40,10 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) & mask for x in names]
 
 
-def _cues(word: str) -> list[str]:
+def _cues(word: str) -> list[int]:
+    """Hashed cues of a token: the word, then its first 4, 5 and 6 characters."""
     w = word.lower().strip(_STRIP) or word
-    return [w] + [f"{w[:n]}<" for n in (4, 5, 6) if len(w) >= n]
+    return [zlib.crc32(x.encode()) >> (32 - CUE_BITS) for x in (w, *[f"{w[:n]}<" for n in (4, 5, 6) if len(w) >= n])]
 
 
 def copies(split: list[list[str]]) -> list[int]:
@@ -68,27 +70,40 @@ def label_tokens(texts: list[str], toxic: list[int]) -> list[np.ndarray]:
 
     A cue counts once per group of copies.  It is taken if its counts in toxic
     and clean groups differ by a log-likelihood ratio beyond what the best of
-    that many cues would reach by chance.
+    that many cues would reach by chance.  Beginnings of words are counted over
+    words that are not cues themselves, so one frequent word does not drag in
+    all that begin alike.
     """
-    counts: dict[str, list[int]] = {}
     split = [t.split() for t in texts]
-    groups: dict[int, tuple[int, set]] = {}
-    for words, y, g in zip(split, toxic, copies(split), strict=True):
-        groups.setdefault((g, y), (y, set()))[1].update(c for w in set(words) for c in _cues(w))
-    for y, cues in groups.values():
-        for c in cues:
-            counts.setdefault(c, [0, 0])[y] += 1
-    n1 = sum(y for y, _ in groups.values())
+    groups: dict[tuple, list[int]] = {}
+    for i, (g, y) in enumerate(zip(copies(split), toxic, strict=True)):
+        groups.setdefault((g, y), []).append(i)
+    n1 = sum(y for _, y in groups)
     n0 = len(groups) - n1
-    least, good = 2 * np.log(len(counts) + 1) + 2, set()
-    for c, (a0, a1) in counts.items():
-        if a1 * max(n0, 1) <= 20 * a0 * max(n1, 1):
-            continue
+
+    def select(pick) -> np.ndarray:
+        counts = np.zeros((2, 1 << CUE_BITS), np.uint16)  # a bounded sample: counts stay small
+        for (_, y), members in groups.items():
+            cues = {c for i in members for w in set(split[i]) for c in pick(_cues(w))}
+            counts[y, np.fromiter(cues, np.int64, len(cues))] += 1
+        seen = counts.any(0)
+        a0, a1 = counts[:, seen].astype(np.float64)
+        least = 2 * np.log(seen.sum() + 1) + 2
         share = (a0 + a1) / max(1, n0 + n1)
-        llr = 2 * (a1 * np.log(a1 / (n1 * share)) + (a0 * np.log(a0 / (n0 * share)) if a0 else 0))
-        if llr >= least:
-            good.add(c)
-    return [np.array([int(y and any(c in good for c in _cues(w))) for w in words], np.int8) for words, y in zip(split, toxic, strict=True)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            llr = 2 * (a1 * np.log(a1 / (n1 * share)) + np.where(a0 > 0, a0 * np.log(a0 / (n0 * share)), 0))
+        good = np.zeros(1 << CUE_BITS, bool)
+        good[np.flatnonzero(seen)[(a1 * max(n0, 1) > 20 * a0 * max(n1, 1)) & (llr >= least)]] = True
+        return good
+
+    words = select(lambda c: c[:1])
+    starts = select(lambda c: () if words[c[0]] else c[1:])
+
+    def tag(word: str) -> int:
+        c = _cues(word)
+        return int(words[c[0]] or starts[c[1:]].any())
+
+    return [np.array([tag(w) for w in t] if y else np.zeros(len(t)), np.int8) for t, y in zip(split, toxic, strict=True)]
 
 
 def _segments(texts, tags):
@@ -100,7 +115,7 @@ def _segments(texts, tags):
                 yield words[a : a + SEGMENT], tag[a : a + SEGMENT]
 
 
-def fit_crf(texts: list[str], toxic: list[int], epochs: int = 12, batch: int = 256, rate: float = 0.3, l2: float = 1e-6) -> dict:
+def fit_crf(texts: list[str], toxic: list[int], epochs: int = 6, batch: int = 256, rate: float = 0.3, l2: float = 1e-6) -> dict:
     """Weights of the CRF: ``w`` (tagged minus untagged, per feature), ``trans`` (2x2 logs), ``start`` (2 logs)."""
     tags = label_tokens(texts, toxic)
     segs = list(_segments(texts, tags))
@@ -311,6 +326,7 @@ def score_documents(docs: DataFrame, model: dict, text_col: str = "text") -> Dat
     Null and empty texts score 0.  Columns of those three names are replaced.
     The model is bounded (2^17 weights) and travels with the broadcast.
     """
+    lean_batches(docs.sparkSession)
     docs = docs.drop("score", "n_toxic_tokens", "spans")
     model = {k: np.asarray(v, np.float32) for k, v in model.items()}
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -325,7 +341,7 @@ def score_documents(docs: DataFrame, model: dict, text_col: str = "text") -> Dat
             at = 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < 4_000_000):
+                while end < len(texts) and (end == at or size < 2_000_000):
                     size += len(texts[end])
                     end += 1
                 found = made["tag"](texts[at:end])
@@ -334,6 +350,8 @@ def score_documents(docs: DataFrame, model: dict, text_col: str = "text") -> Dat
                 cols = [part.column(i) for i in range(part.num_columns)] + [pa.array([min(1.0, f[0]) for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64()), spans]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "score", "n_toxic_tokens", "spans"])
                 at = end
+        made.clear()
+        trim()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, {_DDL}")
