@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,27 @@ def remove(uri: str) -> None:
         fs.delete_dir(path)
 
 
+def lean_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Arrow hand texts to Python in batches of at most ``rows`` rows.
+
+    The default of 10,000 rows is made for numbers; with texts of some
+    kilobytes a worker would hold tens of MB several times over.  The setting
+    stays, as results are evaluated after an operator returns.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
