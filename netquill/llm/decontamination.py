@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns
+from .common import lean_batches, own_columns, trim
 from .repeats import U, Names, mix
 
 Q = 12
@@ -196,6 +196,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", bench_t
     whole documents.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     docs = docs.drop("bench_items", "bench_spans")
     names, at = docs.columns, docs.columns.index(text_col)
     span = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -221,6 +222,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", bench_t
                 if more:
                     rows = [old + new for old, new in zip(batch.column(len(names)).to_pylist(), rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, span)], names=[*names, "bench_spans"])
+            trim()
 
         return run
 

@@ -70,6 +70,21 @@ class Names:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+_BYTE_NAMES = mix(np.arange(1, 257, dtype=U) * U(0xE7037ED1A0B428DB))
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all words of the texts in a row, and the number of words before each text (and in all)."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
+    start, end = edge[::2], edge[1::2]
+    text_start = np.cumsum([0] + [len(t) + 1 for t in texts])
+    names = mix(Names(_BYTE_NAMES[data])(start, end) + (end - start).astype(U))
+    return names, np.searchsorted(start, text_start).astype(np.int64)
+
+
 @dataclass
 class Blocks:
     """Blocks of a chunk in document order; ``lo`` and ``hi`` are window starts counted over the chunk's tokens."""

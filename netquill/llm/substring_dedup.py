@@ -19,28 +19,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import own_columns, range_bounds, shard_of, text_volume
-from .repeats import CHUNK_BYTES, U, Blocks, Names, blocks_of, covered_tokens, mix, spans_of, valid_windows
+from .repeats import CHUNK_BYTES, U, Blocks, Names, blocks_of, covered_tokens, mix, spans_of, valid_windows, word_names
 
 WORDS = 20
 LEVELS = 2
-MEMO_WORDS = 400_000
-_memo: dict[bytes, int] = {}
-
-
-def word_names(words: list[bytes]) -> np.ndarray:
-    if len(_memo) > MEMO_WORDS:
-        _memo.clear()
-    for w in set(words):
-        if w not in _memo:
-            _memo[w] = xxhash.xxh3_64_intdigest(w)
-    return np.array([_memo[w] for w in words], U)
-
-
 def recompress(s, doc, lo, hi, level: int):
     """One round over symbols ``s`` of documents ``doc`` that depend on words ``[lo, hi)``.
 
@@ -65,7 +51,8 @@ def recompress(s, doc, lo, hi, level: int):
     right = np.where(inner[1:], hi[np.minimum(last + 1, len(s) - 1)], far)
     a, b = np.minimum(a, left), np.maximum(b, right)
     # pairs
-    bit = (mix(t + U(level) * U(0xA0761D6478BD642F)) >> U(63)).astype(bool)  # True: right class
+    salt = U(level * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)
+    bit = (mix(t + salt) >> U(63)).astype(bool)  # True: right class
     join = np.zeros(len(t) + 1, bool)  # merge across boundary i
     join[1:-1] = inner[1:-1] & ~bit[:-1] & bit[1:]
     left = np.where(inner[:-1], np.append([-far], a[:-1]), -far)
@@ -82,17 +69,15 @@ def recompress(s, doc, lo, hi, level: int):
 
 def scanner(size: int = WORDS, levels: int = LEVELS):
     def scan(texts: list[bytes]) -> Blocks:
-        split = [t.split() for t in texts]
-        doc_start = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
+        words, doc_start = word_names(texts)
         n = int(doc_start[-1])
-        words = word_names([w for x in split for w in x])
         names = Names(mix(words))
         window = lambda at: names(at, at + size)
         valid = valid_windows(doc_start, size)
         if not valid.any():
             none = np.empty(0, np.int64)
-            return Blocks(none, none, none.view(U), none.view(U), window, doc_start, split)
-        doc = np.repeat(np.arange(len(split)), np.diff(doc_start))
+            return Blocks(none, none, none.view(U), none.view(U), window, doc_start, texts)
+        doc = np.repeat(np.arange(len(texts)), np.diff(doc_start))
         s, lo = words, np.arange(n, dtype=np.int64)
         hi = lo + 1
         # anchor choice, packed: level from the top, hash, number of the symbol
@@ -104,13 +89,19 @@ def scanner(size: int = WORDS, levels: int = LEVELS):
             fits = (hi - lo <= size) & (lo >= 0)
             a, b = lo[fits], hi[fits]
             rank = (U(levels - level) << U(62)) | ((mix(s[fits]) >> U(36)) << U(34)) | (U(base) + np.arange(len(a), dtype=U))
+            low = int(a.min()) if len(a) else 0
+            p, room, r = a, size - (b - a), rank  # room: how far before the symbol a window around it may start
             for back in range(size):
-                some = b - (a - back) <= size
-                if not some.any():
+                far = room < back
+                if far.any():
+                    near = ~far
+                    p, room, r = p[near], room[near], r[near]
+                if not len(p):
                     break
-                p = a[some] - back
-                r = rank[some][p >= 0]
-                np.minimum.at(best, p[p >= 0], r)
+                at, value = p - back, r
+                if back > low:
+                    at, value = at[at >= 0], r[at >= 0]
+                np.minimum.at(best, at, value)
             starts.append(a)
             ends.append(b)
             base += len(a)
@@ -126,7 +117,7 @@ def scanner(size: int = WORDS, levels: int = LEVELS):
         b = np.where(own, first + size, ends[k] if base else first)
         key = mix(names(a, b) + own.astype(U))
         name = mix(names(first, last + size) * U(3) + (last - first).astype(U) * U(64) + (a - first + size).astype(U))
-        return Blocks(first, last, key, name, window, doc_start, split)
+        return Blocks(first, last, key, name, window, doc_start, texts)
 
     return scan
 
@@ -138,8 +129,8 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 def _finish(with_text: bool):
     def finish(table: pa.Table, b: Blocks, covered: np.ndarray) -> pa.Table:
         spans, kept = spans_of(covered, b.doc_start), []
-        for words, cut in zip(b.payload, spans, strict=True):
-            at, left = 0, []
+        for text, cut in zip(b.payload, spans, strict=True):
+            words, at, left = text.split(), 0, []
             for s, e in cut:
                 left += words[at:s]
                 at = e
@@ -147,7 +138,7 @@ def _finish(with_text: bool):
         return pa.table(
             {
                 "id": table["id"].cast(pa.int64()),
-                "n_words": pa.array([len(w) for w in b.payload], pa.int64()),
+                "n_words": pa.array(np.diff(b.doc_start), pa.int64()),
                 "n_removed": pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
                 "spans": pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPANS),
                 "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
@@ -181,3 +172,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+k AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: struct_pack(i := i, k := md5(array_to_string(w[i:i+19], ' '))))) AS x FROM d WHERE len(w) >= 20),
+r AS (SELECT doc_id, x.i AS i FROM k QUALIFY row_number() OVER (PARTITION BY x.k ORDER BY doc_id, x.i) > 1),
+c AS (SELECT doc_id, list(DISTINCT j) AS c FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM r) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(c), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN c IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(c, j)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
