@@ -27,14 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, own_columns, range_bounds, shard_of
+from .common import filesystem, fresh_dir, lean_batches, own_columns, range_bounds, shard_of, trim
 
 END_ID = 2
 #: Words whose ids a worker keeps; when full the memo starts anew.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 #: The dictionary is trained on the first documents of the id order, at most so many and of so many bytes.
 DICT_DOCS, DICT_BYTES, DICT_SIZE = 2_000, 4 << 20, 64 << 10
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 12 << 20
 
 
 #: Words of printable ASCII and Latin-1 letters: there lower-casing and composition touch single characters only.
@@ -142,6 +142,7 @@ def _write(root: str, tokenizer: str, by_word: bool, end_id: int):
 
     def write(table: pa.Table) -> pa.Table:
         if "encode" not in made:
+            trim()
             fs, path = filesystem(root)
             with fs.open_input_file(f"{path}/dictionary.zdict") as f:
                 content = f.read()
@@ -171,6 +172,7 @@ def _write(root: str, tokenizer: str, by_word: bool, end_id: int):
             with fs.open_output_stream(temp) as f:
                 f.write(blob)
             fs.move(temp, f"{path}/{name}{suffix}")
+        trim()
         return pa.table({"shard": pa.array([shard], pa.int32()), "file": [name], "n_docs": [len(rows)], "n_ids": [int(sum(counts))], "n_bytes": [at]})
 
     return write
@@ -184,6 +186,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     store of no shards.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     root = root or fresh_dir(spark, "tokens")
     docs = own_columns(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     fs, path = filesystem(root)
@@ -229,11 +232,11 @@ def _index(fs, path: str, name: str, key: str) -> tuple[pa.Table, np.ndarray]:
     return index, np.append(index["offset"].to_numpy(), int(index.schema.metadata[b"end"]))
 
 
-def read_tokens(spark, root: str) -> DataFrame:
-    """Per document of a store: ``doc_id``, ``start``, ``ids`` (little-endian uint32 bytes), in id order per shard."""
+def _reader(root: str, digest: bool):
     cache: dict = {}
 
     def read(batches):
+        trim()
         for batch in batches:
             for r in batch.to_pylist():
                 fs, path = _open(root, cache)
@@ -248,11 +251,24 @@ def read_tokens(spark, root: str) -> DataFrame:
                 for a in range(0, len(ids), 500):
                     b = min(len(ids), a + 500)
                     frames = [cache["unzip"].decompress(data[offsets[i] : offsets[i + 1]]) for i in range(a, b)]
-                    yield pa.record_batch({"doc_id": pa.array(ids[a:b], pa.int64()), "start": pa.array(starts[a:b], pa.int64()), "ids": pa.array(frames, pa.binary())})
+                    out = {"doc_id": pa.array(ids[a:b], pa.int64()), "start": pa.array(starts[a:b], pa.int64())}
+                    if digest:
+                        out |= {"n_tokens": pa.array([len(x) // 4 for x in frames], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in frames], pa.int64())}
+                    else:
+                        out["ids"] = pa.array(frames, pa.binary())
+                    yield pa.record_batch(out)
+
+    return read
 
+
+def _read(spark, root: str, digest: bool, ddl: str) -> DataFrame:
     manifest = spark.read.parquet(f"{root}/manifest.parquet")
-    n = max(1, manifest.count())
-    return manifest.repartition(n, "shard").mapInArrow(read, "doc_id long, start long, ids binary")
+    return manifest.repartition(max(1, manifest.count()), "shard").mapInArrow(_reader(root, digest), ddl)
+
+
+def read_tokens(spark, root: str) -> DataFrame:
+    """Per document of a store: ``doc_id``, ``start``, ``ids`` (little-endian uint32 bytes), in id order per shard."""
+    return _read(spark, root, False, "doc_id long, start long, ids binary")
 
 
 def read_document(root: str, doc_id: int) -> list[np.ndarray]:
@@ -271,12 +287,6 @@ def read_document(root: str, doc_id: int) -> list[np.ndarray]:
     return found
 
 
-def _summary(batches):
-    for b in batches:
-        ids = b.column("ids").to_pylist()
-        yield pa.record_batch({"doc_id": b.column("doc_id"), "start": b.column("start"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())})
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -284,8 +294,11 @@ def default_tokenizer() -> str:
 
 
 def summary(spark, root: str) -> DataFrame:
-    """Per document read back from a store: place, count and checksum of its ids."""
-    return read_tokens(spark, root).mapInArrow(_summary, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """Per document read back from a store: place, count and checksum of its ids.
+
+    Reading and summing up are one Python stage: two would keep twice the workers.
+    """
+    return _read(spark, root, True, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_tokens(spark, sf_dir: str) -> DataFrame:
