@@ -335,6 +335,7 @@ def score_documents(docs: DataFrame, model: dict, text_col: str = "text") -> Dat
 
     def run(batches):
         if "tag" not in made:
+            trim()
             made["tag"] = Tagger({k: v.astype(np.float64) for k, v in shared.value.items()})
         for batch in batches:
             texts = [t or "" for t in batch.column(names.index(text_col)).to_pylist()]
