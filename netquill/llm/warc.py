@@ -28,6 +28,8 @@ ROLL_BYTES = 32 << 20
 #: Raw payload bytes per key range, about: the unit of a writing task.
 SHARD_BYTES = 32 << 20
 MIN_REVISIT_BYTES = 1000
+#: Repeated payload digests (with the page that stands for each) that may be broadcast; beyond it rows are joined by shuffle.
+BROADCAST_DIGESTS = 100_000
 #: Fixed, so that a rerun writes the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 GZIP_LEVEL = 4
@@ -134,6 +136,9 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     firsts = key.groupBy("digest").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("n"))
     # only digests that occur twice are joined; a hot one is split by the adaptive skew join
     firsts = firsts.where("n > 1").select(F.col("digest").alias("d"), F.col("first.page_id").alias("keep"), F.col("first.url").alias("keep_url"))
+    # usually few digests repeat, and broadcasting them spares the payloads a shuffle
+    firsts = stash(firsts, "repeated")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_DIGESTS else firsts
     rows = rows.join(firsts, (F.col("digest") == F.col("d")) & (F.col("n_bytes") >= min_bytes), "left")
     other = F.col("d").isNotNull() & F.col("page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")) & F.col("keep").isNotNull()
     rows = rows.withColumn("refers_to", F.when(other, F.col("keep"))).withColumn("refers_url", F.when(other, F.col("keep_url")))
