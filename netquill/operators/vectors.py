@@ -83,7 +83,7 @@ def knn(queries: DataFrame, base: DataFrame, vec: str, id_col: str, k: int = 5)
 def _blocks(df: DataFrame, vec: str):
     rows, size = [], 0
     for r in df.toLocalIterator():
-        rows.append((r[0], r[1]))
+        rows.append(tuple(r))
         size += len(r[1] or ())
         if size >= BROADCAST_VALUES:
             yield rows
@@ -123,33 +123,62 @@ def knn_classify(queries: DataFrame, base: DataFrame, vec: str, id_col: str, lab
 
 
 def contrastive_loss(df: DataFrame, vec: str, label: str, id_col: str, temperature: float = 0.1) -> DataFrame:
-    """Supervised contrastive loss of one training batch: mean over anchors that have a partner of their label.
+    """Supervised contrastive loss over all rows: mean over anchors that have a partner of their label.
 
-    Meant for batches (the pairs of a batch are its definition), so the batch
-    is checked to be small and handled in blocks of anchors.
+    Anchors come in blocks of bounded size; each block meets the whole table
+    once as matrix products, every task keeps sums per anchor, and those are
+    merged.  No pair is a row.  Rows of one id are never compared; a null label
+    has no partner.
     """
-    n = df.count()
-    if n > 20_000:
-        raise ValueError(f"{n} rows are more than one training batch")
-    rows = [(r[0], r[1], r[2]) for r in df.select(id_col, vec, label).orderBy(id_col).collect()]
-    if not rows:
+    rows, out = df.select(id_col, vec, label), None
+    for i, block in enumerate(_blocks(rows.orderBy(id_col), vec)):
+        part = _log_sums(rows, block, temperature).withColumn("block", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
         return df.sparkSession.createDataFrame([], "loss double, anchors long")
-    x = np.array([r[1] for r in rows], np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    y = np.array([r[2] for r in rows])
-    total, anchors = 0.0, 0
-    for a in range(0, n, 512):
-        s = x[a : a + 512] @ x.T / temperature
-        rng = np.arange(len(s))
-        s[rng, a + rng] = -np.inf
-        top = s.max(1, keepdims=True)
-        log = s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
-        same = y[a : a + 512, None] == y[None]
-        same[rng, a + rng] = False
-        m = same.sum(1)
-        total += float(-(np.where(same, log, 0).sum(1)[m > 0] / m[m > 0]).sum())
-        anchors += int((m > 0).sum())
-    return df.sparkSession.createDataFrame([(round(total / anchors, 6) if anchors else 0.0, anchors)], "loss double, anchors long")
+    per = out.groupBy("block", "anchor").agg(F.collect_list(F.struct("top", "total")).alias("s"), F.sum("same").alias("same"), F.sum("partners").alias("m")).where("m > 0")
+    top = F.array_max(F.transform("s", lambda x: x["top"]))
+    total = F.aggregate("s", F.lit(0.0), lambda t, x: t + x["total"] * F.exp(x["top"] - F.col("top")))
+    loss = per.withColumn("top", top).select((F.col("top") + F.log(total) - F.col("same") / F.col("m")).alias("l"))
+    return loss.agg(F.coalesce(F.round(F.avg("l"), 6), F.lit(0.0)).alias("loss"), F.count(F.lit(1)).alias("anchors"))
+
+
+def _unit(x: list) -> np.ndarray:
+    v = np.array(x, np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _log_sums(base: DataFrame, block, temperature: float) -> DataFrame:
+    """Per anchor of the block and task: greatest similarity, sum of exponentials below it, sum and number of partners' similarities."""
+    shared = base.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        block = shared.value
+        ids, labels = {}, {}
+        own = np.array([ids.setdefault(r[0], len(ids)) for r in block])
+        y = np.array([-2 if r[2] is None else labels.setdefault(r[2], len(labels)) for r in block])
+        q = _unit([r[1] for r in block])
+        top, total = np.full(len(q), -np.inf), np.zeros(len(q))
+        same, partners = np.zeros(len(q)), np.zeros(len(q), np.int64)
+        step = max(1, BROADCAST_VALUES // len(q))
+        for b in batches:
+            bi = np.array([ids.get(i, -1) for i in b.column(0).to_pylist()])
+            x, by = b.column(1).to_pylist(), np.array([labels.get(v, -1) for v in b.column(2).to_pylist()])
+            for at in range(0, len(x), step):
+                s = q @ _unit(x[at : at + step]).T / temperature
+                other = own[:, None] != bi[None, at : at + step]
+                pair = other & (y[:, None] == by[None, at : at + step])
+                same += np.where(pair, s, 0).sum(1)
+                partners += pair.sum(1)
+                s[~other] = -np.inf
+                new = np.maximum(top, s.max(1))
+                ok = np.isfinite(new)
+                total[ok] = total[ok] * np.exp(top[ok] - new[ok]) + np.exp(s[ok] - new[ok, None]).sum(1)
+                top = new
+        ok = np.flatnonzero(np.isfinite(top))
+        yield pa.record_batch({"anchor": pa.array(ok), "top": pa.array(top[ok]), "total": pa.array(total[ok]), "same": pa.array(same[ok]), "partners": pa.array(partners[ok])})
+
+    return base.mapInArrow(run, "anchor long, top double, total double, same double, partners long")
 
 
 class Reducer:

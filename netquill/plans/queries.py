@@ -493,6 +493,16 @@ def supcon_loss(spark, sf):
     return vectors.contrastive_loss(table(spark, sf, "embeddings").where("vec_id < 256"), "embedding", "label", "vec_id")
 
 
+@query(
+    """WITH u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS a, a.label = b.label AS same, list_dot_product(a.v, b.v) / 0.1 AS s FROM u a, u b WHERE a.vec_id <> b.vec_id),
+z AS (SELECT a, ln(sum(exp(s))) AS z FROM s GROUP BY a), l AS (SELECT s.a, -avg(s.s - z.z) AS l FROM s JOIN z ON s.a = z.a WHERE same GROUP BY s.a)
+SELECT round(avg(l), 6) AS loss, count(*) AS anchors FROM l"""
+)
+def supcon_loss_table(spark, sf):
+    return vectors.contrastive_loss(table(spark, sf, "embeddings"), "embedding", "label", "vec_id")
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def page_rows(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey").offset(100).limit(50)

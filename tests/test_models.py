@@ -123,3 +123,27 @@ def test_interval_join(spark):
     left = spark.createDataFrame([(1, "a", 100), (2, "a", 161), (3, "b", 100), (4, "a", 40)], "i int, k string, t long")
     right = spark.createDataFrame([("a", 100), ("b", 0), ("a", None)], "k string, t long")
     assert {r.i for r in joins.interval_semi_join(left, right, ["k"], "t", "t", 60).collect()} == {1, 4}
+
+
+@pytest.mark.parametrize("values", [4_000_000, 60])
+def test_contrastive_loss_of_whole_table(spark, monkeypatch, values):
+    monkeypatch.setattr(vectors, "BROADCAST_VALUES", values)
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(90, 4)), [None if i % 11 == 0 else int(i % 5) for i in range(89)] + [99]
+    df = spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, y, strict=True))], "i long, v array<double>, label int").repartition(5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s, losses = u @ u.T / 0.1, []
+    for a in range(90):
+        rest = [b for b in range(90) if b != a]
+        mates = [b for b in rest if y[a] is not None and y[a] == y[b]]
+        if mates:
+            losses.append(np.log(np.exp(s[a, rest]).sum()) - s[a, mates].mean())
+    got = vectors.contrastive_loss(df, "v", "label", "i").first()
+    assert got.anchors == len(losses) and abs(got.loss - np.mean(losses)) < 2e-6
+
+
+def test_contrastive_loss_above_20_000_rows(spark):
+    # all vectors equal: each anchor's loss is the logarithm of the number of other rows
+    df = spark.range(20_001).selectExpr("id", "array(1.0D, 0.0D) AS v", "1 AS label")
+    got = vectors.contrastive_loss(df, "v", "label", "id").first()
+    assert got.anchors == 20_001 and abs(got.loss - np.log(20_000)) < 2e-6
