@@ -1,10 +1,11 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping passages.  A text region within k
-edits of a passage of m characters shares at least ``m - q + 1 - k q`` of its
-q-grams with it, all on diagonals (text offset minus passage offset) at most k
-apart.  Shared q-grams are counted in diagonal bands that overlap by k, bands
-that reach the bound are kept, and a banded alignment decides.
+Every stretch of 100 characters of a benchmark item is looked for.  A text
+region within k edits of a stretch of m characters shares at least
+``m - q + 1 - k q`` of its q-grams with it, all on diagonals (text offset minus
+item offset) at most k apart.  Shared q-grams are counted for whole items in
+diagonal bands that overlap by k; in bands that reach the bound they are counted
+again per stretch, and a banded alignment decides.
 """
 
 from __future__ import annotations
@@ -46,6 +47,17 @@ def passages(text: str) -> list[str]:
     return [text[a : a + PASSAGE] for a in starts]
 
 
+def stretches(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of all that is looked for: every PASSAGE characters in a row, and the whole text if it is one piece."""
+    start, size = [], []
+    if len(text) > PASSAGE:
+        start = list(range(len(text) - PASSAGE + 1))
+        size = [PASSAGE] * len(start)
+    if passages(text) == [text]:
+        start, size = [*start, 0], [*size, len(text)]
+    return np.array(start, np.int64), np.array(size, np.int64)
+
+
 def budget(m: int) -> int:
     """Edits allowed in a passage of ``m`` characters: one in CHARS_PER_EDIT, fewer where the lemma would say nothing."""
     return max(0, min(m // CHARS_PER_EDIT, (m - Q) // Q))
@@ -64,13 +76,13 @@ def _grams(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Passages of one block of the benchmark and where their q-grams stand."""
+    """Items of one block of the benchmark and where their q-grams stand."""
 
     items: list
     texts: list[str]
     grams: np.ndarray
     starts: np.ndarray
-    passage: np.ndarray
+    item: np.ndarray
     offset: np.ndarray
     table: np.ndarray
 
@@ -78,9 +90,10 @@ class Index:
     def build(cls, rows: list[tuple]) -> Index:
         items, texts = [], []
         for item, text in rows:
-            for p in passages(normalise(text)):
+            t = normalise(text)
+            if len(t) >= Q:
                 items.append(item)
-                texts.append(p)
+                texts.append(t)
         g = [_grams(_codes(t)) for t in texts]
         flat = np.concatenate(g) if g else np.empty(0, U)
         owner = np.repeat(np.arange(len(g)), [len(x) for x in g])
@@ -122,7 +135,7 @@ def align(patterns: list[str], regions: list[str]) -> np.ndarray:
 
 
 def find(texts: list[str], index: Index) -> list[list[tuple]]:
-    """``(item, start, end)`` of every match in each normalised text; the region's bounds are those of the band."""
+    """``(item, start, end)`` of the matches in each normalised text; bounds are those of the band, overlapping matches of an item are one."""
     found: list[list[tuple]] = [[] for _ in texts]
     if not len(index.grams):
         return found
@@ -139,36 +152,53 @@ def find(texts: list[str], index: Index) -> list[list[tuple]]:
     size = index.starts[slot + 1] - index.starts[slot]
     posts = np.repeat(index.starts[slot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     where = np.repeat(at, size)
-    passage, diagonal = index.passage[posts], where - index.offset[posts]
+    item, offset = index.item[posts], index.offset[posts]
     m = np.array([len(t) for t in index.texts])
-    k = np.array([budget(len(t)) for t in index.texts])
-    need = m - Q + 1 - k * Q
-    low = diagonal + PASSAGE * 2  # never negative
+    # of an item's stretches the whole has the most edits, PASSAGE characters need the fewest q-grams
+    k = np.array([budget(len(t) if passages(t) == [t] else PASSAGE) for t in index.texts])
+    need = np.array([_need(min(len(t), PASSAGE)) for t in index.texts])
+    pad = int(m.max()) + BAND
+    low = where - offset + pad  # never negative
     band = low // BAND
     # a diagonal also counts for the band before it if it lies in the overlap
-    again = low % BAND <= k[passage]
+    again = low % BAND <= k[item]
     doc = np.searchsorted(begin, where, side="right") - 1
-    keys = np.stack([np.concatenate([doc, doc[again]]), np.concatenate([passage, passage[again]]), np.concatenate([band, band[again] - 1])], 1)
-    flat = (keys[:, 0] * len(m) + keys[:, 1]) * (int(band.max()) + 2) + keys[:, 2] + 1
-    _, lead, count = np.unique(flat, return_index=True, return_counts=True)
-    ok = count >= np.maximum(1, need[keys[lead, 1]])
-    todo = []
-    for d, p, b in keys[lead[ok]]:
-        a = max(int(begin[d]), int(b) * BAND - PASSAGE * 2 - int(k[p]))
-        e = min(int(begin[d + 1]) - 1, int(b) * BAND - PASSAGE * 2 + BAND + 2 * int(k[p]) + int(m[p]))
-        todo.append((int(d), int(p), a, e))
-    sure = [whole.find(index.texts[p], a, e) >= 0 for _, p, a, e in todo]
-    rest = [x for x, s in zip(todo, sure, strict=True) if not s]
-    fits = []
-    for i in range(0, len(rest), 500):
-        some = rest[i : i + 500]
-        edits = align([index.texts[p] for _, p, _, _ in some], [whole[a:e] for _, _, a, e in some])
-        fits += [int(x) <= k[p] for x, (_, p, _, _) in zip(edits, some, strict=True)]
-    for d, p, a, e in [x for x, s in zip(todo, sure, strict=True) if s] + [x for x, f in zip(rest, fits, strict=True) if f]:
-        found[d].append((index.items[p], a - int(begin[d]), e - int(begin[d])))
+    flat = (doc * len(m) + item) * (int(band.max()) + 2) + band + 1
+    flat, offset = np.concatenate([flat, flat[again] - 1]), np.concatenate([offset, offset[again]])
+    doc, item, band = np.concatenate([doc, doc[again]]), np.concatenate([item, item[again]]), np.concatenate([band, band[again] - 1])
+    _, group, count = np.unique(flat, return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(count[group] >= need[item])
+    kept = kept[np.lexsort((offset[kept], group[kept]))]
+    sure, rest = [], []
+    for part in np.split(kept, np.flatnonzero(np.diff(group[kept])) + 1) if len(kept) else []:
+        d, i, b, shared = int(doc[part[0]]), int(item[part[0]]), int(band[part[0]]), offset[part]
+        start, long = stretches(index.texts[i])
+        enough = np.searchsorted(shared, start + long - Q, side="right") - np.searchsorted(shared, start) >= [_need(x) for x in long.tolist()]
+        for f, n in zip(start[enough].tolist(), long[enough].tolist(), strict=True):
+            a = max(int(begin[d]), b * BAND - pad + f - int(k[i]))
+            e = min(int(begin[d + 1]) - 1, b * BAND - pad + f + BAND + 2 * int(k[i]) + n)
+            (sure if whole.find(index.texts[i][f : f + n], a, e) >= 0 else rest).append((d, i, f, n, a, e))
+    for x in range(0, len(rest), 500):
+        some = rest[x : x + 500]
+        edits = align([index.texts[i][f : f + n] for _, i, f, n, _, _ in some], [whole[a:e] for *_, a, e in some])
+        sure += [y for y, c in zip(some, edits, strict=True) if c <= budget(y[3])]
+    spans: dict = {}
+    for d, i, _, _, a, e in sorted(sure, key=lambda y: (y[0], y[1], y[4], y[5])):
+        own = spans.setdefault((d, i), [])
+        if own and a <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], e)
+        else:
+            own.append([a, e])
+    for (d, i), own in spans.items():
+        found[d] += [(index.items[i], a - int(begin[d]), e - int(begin[d])) for a, e in own]
     return found
 
 
+def _need(m: int) -> int:
+    """Shared q-grams without which no region is within the budget of ``m`` characters."""
+    return max(1, m - Q + 1 - budget(m) * Q)
+
+
 def _blocks(benchmark: DataFrame):
     """The benchmark in blocks of bounded size."""
     block, size = [], 0
@@ -185,8 +215,8 @@ def _blocks(benchmark: DataFrame):
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", bench_text_col: str = "text", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``bench_items`` (ids found, ascending) and ``bench_spans``.
 
-    A document is found with an item if it holds one of the item's passages of
-    100 characters (the whole item if it has no more than 125) with at most one
+    A document is found with an item if it holds any 100 characters in a row of
+    the item (or the whole item if it has no more than 125) with at most one
     edit in 20 characters, lower-cased and with runs of white space as one
     space.  Spans are offsets into the text so normalised, as wide as the band.
 

@@ -277,6 +277,36 @@ def test_decontamination(spark):
     assert decontamination.mark(docs(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_at_every_offset(spark):
+    r = random.Random(12)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))[:n]
+    items = [(0, text(120)), (1, text(190)), (2, text(149))]
+    rows = []
+    for item, b in items:
+        b = decontamination.normalise(b)
+        for n in (99, 100, 104):
+            for at in {7, 20, 31, len(b) - n - 3} - {0}:
+                for wrong in (0, 4, 6):
+                    if at < 0 or at + n > len(b):
+                        continue
+                    t = list(b[at : at + n])
+                    for x in r.sample(range(len(t)), wrong):
+                        t[x] = r.choice(["", "X", t[x] + "Y"])
+                    rows.append((len(rows), "PQ RST " + "".join(t) + " UVW", "a"))
+    got = {x.doc_id: x.bench_items for x in decontamination.mark(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    found = 0
+    for i, t, _ in rows:
+        n, want = decontamination.normalise(t), []
+        for item, b in items:
+            b = decontamination.normalise(b)
+            # a stretch within five edits shares 12 characters with the document
+            if any(b[a : a + 12] in n for a in range(len(b) - 11)) and (any(edits(b[a : a + 100], n) <= 5 for a in range(len(b) - 99)) or len(b) <= 125 and edits(b, n) <= len(b) // 20):
+                want.append(item)
+        assert got[i] == want, i
+        found += len(want)
+    assert 0 < found < len(rows)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 200)
     r = random.Random(9)
