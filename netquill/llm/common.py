@@ -8,6 +8,7 @@ import math
 import shutil
 import tempfile
 import uuid
+from decimal import Decimal
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -107,39 +108,38 @@ def text_volume(docs: DataFrame, col: str = "text") -> tuple[int, int]:
     return r.n, r.b
 
 
-def range_bounds(df: DataFrame, key: str, weight: str, per_shard: int, fan_out: int = 1024, depth: int = 6) -> list[int]:
+def range_bounds(df: DataFrame, key: str, weight: str, per_shard: int, fan_out: int = 1024) -> list[int]:
     """Deterministic lower bounds of key ranges holding about ``per_shard`` weight each.
 
     Unlike sampled range partitioning the bounds depend only on the rows, so
-    reruns write the same shards.  A weighted equal-width histogram is refined
-    where a bin is too heavy, at most ``depth`` times; at most about ``fan_out``
-    bins per heavy bin come to the driver, aggregated, never rows.  One key is
-    never split.  Null keys count to the first shard.
+    reruns write the same shards.  A weighted equal-width histogram of at least
+    eight bins a shard is refined wherever a bin is too heavy, down to single
+    keys; what comes to the driver is some bins per shard, aggregated, never
+    rows.  One key is never split.  Null keys count to the first shard.
     """
-    k = F.col(key).cast("decimal(20,0)")
-    lo_hi = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if lo_hi.lo is None:
+    whole = "decimal(20,0)"
+    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.sum(F.col(weight).cast("double")).alias("w")).first()
+    if r.lo is None:
         return []
-    todo, bins = [(int(lo_hi.lo), int(lo_hi.hi) + 1)], []
-    for level in range(depth):
-        if not todo:
+    lo, fan = int(r.lo), max(fan_out, 8 * math.ceil((r.w or 0) / per_shard))
+    most = max(64 * fan_out, fan)
+    width = max(1, -(-(int(r.hi) + 1 - lo) // fan))
+    at = (F.col(key).cast(whole) - F.lit(lo).cast(whole)).cast(whole)
+    rest, up, heavy, bins = at % F.lit(width).cast(whole), None, None, []
+    while True:
+        start = (at - rest).cast(whole)
+        rows = df.where(F.col(key).isNotNull()).select(start.alias("start"), F.col(weight).cast("long").alias("w"), *([up.alias("up")] if heavy else []))
+        if heavy:
+            wanted = df.sparkSession.createDataFrame([(Decimal(x),) for x in heavy], f"up {whole}")
+            rows = rows.join(F.broadcast(wanted), "up", "left_semi")
+        got = [(int(x.start), x.w or 0) for x in rows.groupBy("start").agg(F.sum("w").alias("w")).collect()]
+        heavy = [x for x, w in got if w > per_shard and width > 1]
+        bins += [(lo + x, w) for x, w in got if not (w > per_shard and width > 1)]
+        if not heavy:
             break
-        cond, parts = None, []
-        for i, (a, b) in enumerate(todo):
-            width = max(1, -(-(b - a) // fan_out))
-            inside = (k >= F.lit(a).cast("decimal(20,0)")) & (k < F.lit(b).cast("decimal(20,0)"))
-            part = F.struct(F.lit(i).alias("i"), F.floor((k - F.lit(a).cast("decimal(20,0)")) / F.lit(width)).cast("long").alias("j"))
-            cond = F.when(inside, part) if cond is None else cond.when(inside, part)
-            parts.append((a, b, width))
-        got = df.select(cond.alias("c"), F.col(weight).cast("long").alias("w")).where("c is not null").groupBy("c.i", "c.j").agg(F.sum("w").alias("w")).collect()
-        todo = []
-        for r in got:
-            a, b, width = parts[r.i]
-            x = (a + r.j * width, min(b, a + (r.j + 1) * width))
-            if (r.w or 0) > per_shard and width > 1 and level + 1 < depth and len(todo) < 64:
-                todo.append(x)
-            else:
-                bins.append((x[0], r.w or 0))
+        # heavy bins are fewer than shards, so even 16 parts of each are few
+        width = -(-width // max(16, min(fan_out, most // len(heavy))))
+        up, rest = start, (rest % F.lit(width).cast(whole))
     bounds, filled = [], 0
     for start, w in sorted(bins):
         if not bounds or filled + w > per_shard and filled:
@@ -153,17 +153,19 @@ def shard_of(key: str, bounds: list[int]):
     """The number of the range in ``bounds`` that holds ``key`` (nulls: 0)."""
     if len(bounds) < 2:
         return F.lit(0)
-    arr = F.array(*[F.lit(b).cast("long") for b in bounds[1:]]) if len(bounds) <= 64 else None
-    if arr is not None:
-        return F.coalesce(F.size(F.filter(arr, lambda x: x <= F.col(key).cast("long"))), F.lit(0))
-    # many bounds: a balanced tree of comparisons, so a row costs log2(n) of them
-    def tree(lo: int, hi: int):
-        if hi - lo == 1:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) >= F.lit(bounds[mid]), tree(mid, hi)).otherwise(tree(lo, mid))
-
-    return F.coalesce(tree(0, len(bounds)), F.lit(0))
+    k = F.col(key).cast("long")
+    below = lambda arr: F.size(F.filter(arr, lambda x: x <= k))
+    if len(bounds) <= 64:
+        return F.coalesce(below(_longs(bounds[1:])), F.lit(0))
+    # many bounds: blocks of them in a constant, so the expression stays small and a row costs two short searches
+    step = math.isqrt(len(bounds))
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    block = below(_longs([b[0] for b in blocks[1:]]))
+    return F.coalesce(block * step + F.greatest(below(F.get(F.array(*map(_longs, blocks)), block)) - 1, F.lit(0)), F.lit(0))
+
+
+def _longs(values: list[int]):
+    return F.expr(f"array({', '.join(f'bigint({v!r})' if v > -(1 << 63) else 'bigint(-9223372036854775807 - 1)' for v in values)})")
 
 
 def n_chunks(n_bytes: int, chunk_bytes: int) -> int:

@@ -391,3 +391,14 @@ def test_range_bounds(spark):
     assert len(sizes) == len(bounds) and max(sizes) <= 1000
     assert range_bounds(df.repartition(9), "k", "w", 500) == bounds
     assert range_bounds(df.limit(0), "k", "w", 500) == []
+
+
+def test_range_bounds_refine_every_heavy_bin(spark):
+    even = spark.range(100_000).select((F.col("id") * 7).alias("k"), F.lit(1).alias("w"))
+    # 150 crowded stretches, far apart over the whole range of ids; in each further crowds
+    crowds = spark.range(60_000).select(((F.col("id") % 150 - 75) * 120_000_000_000_000_000 + (F.col("id") / 150).cast("long") % 4 * 1_000_000_000 + (F.col("id") / 600).cast("long")).alias("k"), F.lit(1).alias("w"))
+    for df, per_shard in ((even, 20), (crowds, 20)):
+        bounds = range_bounds(df, "k", "w", per_shard)
+        sizes = [r["count"] for r in df.groupBy(shard_of("k", bounds).alias("s")).count().collect()]
+        assert len(sizes) == len(bounds) and max(sizes) <= per_shard and sum(sizes) == df.count()
+        assert len(sizes) <= 2 * df.count() / per_shard + 1
