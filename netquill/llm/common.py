@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Key ranges of a sharded writer, at most about so many: what the driver holds of them is bounded.
+MOST_SHARDS = 20_000
 #: A word is a run of anything but space and \t \n \v \f \r; ``bytes.split()`` cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -108,19 +111,23 @@ def text_volume(docs: DataFrame, col: str = "text") -> tuple[int, int]:
     return r.n, r.b
 
 
-def range_bounds(df: DataFrame, key: str, weight: str, per_shard: int, fan_out: int = 1024) -> list[int]:
+def range_bounds(df: DataFrame, key: str, weight: str, per_shard: int, fan_out: int = 1024, most_shards: int = MOST_SHARDS) -> list[int]:
     """Deterministic lower bounds of key ranges holding about ``per_shard`` weight each.
 
     Unlike sampled range partitioning the bounds depend only on the rows, so
     reruns write the same shards.  A weighted equal-width histogram of at least
     eight bins a shard is refined wherever a bin is too heavy, down to single
     keys; what comes to the driver is some bins per shard, aggregated, never
-    rows.  One key is never split.  Null keys count to the first shard.
+    rows.  There are about ``most_shards`` ranges at most: a larger table gets
+    heavier ranges (100 TB: 5 GB each), so bins and bounds on the driver do not
+    grow with it, and whoever uses the ranges has to stream them.  One key is
+    never split.  Null keys count to the first shard.
     """
     whole = "decimal(20,0)"
     r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.sum(F.col(weight).cast("double")).alias("w")).first()
     if r.lo is None:
         return []
+    per_shard = max(per_shard, math.ceil((r.w or 0) / most_shards))
     lo, fan = int(r.lo), max(fan_out, 8 * math.ceil((r.w or 0) / per_shard))
     most = max(64 * fan_out, fan)
     width = max(1, -(-(int(r.hi) + 1 - lo) // fan))
@@ -161,12 +168,10 @@ def shard_of(key: str, bounds: list[int]):
     step = math.isqrt(len(bounds))
     blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     block = below(_longs([b[0] for b in blocks[1:]]))
-    return F.coalesce(block * step + F.greatest(below(F.get(F.array(*map(_longs, blocks)), block)) - 1, F.lit(0)), F.lit(0))
+    return F.coalesce(block * step + F.greatest(below(F.get(F.array(*[_longs(b) for b in blocks]), block)) - 1, F.lit(0)), F.lit(0))
 
 
 def _longs(values: list[int]):
-    return F.expr(f"array({', '.join(f'bigint({v!r})' if v > -(1 << 63) else 'bigint(-9223372036854775807 - 1)' for v in values)})")
+    """A constant array, handed over as one literal whatever its length."""
+    return F.lit(np.array(values, np.int64))
 
-
-def n_chunks(n_bytes: int, chunk_bytes: int) -> int:
-    return max(1, math.ceil(n_bytes / chunk_bytes))

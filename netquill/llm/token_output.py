@@ -16,31 +16,41 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc as ipc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filesystem, fresh_dir, lean_batches, own_columns, range_bounds, shard_of, trim
+from .repeats import _SPACE
 
 END_ID = 2
-#: Words whose ids a worker keeps; when full the memo starts anew.
-MEMO_WORDS = 150_000
-#: The dictionary is trained on the first documents of the id order, at most so many and of so many bytes.
-DICT_DOCS, DICT_BYTES, DICT_SIZE = 2_000, 4 << 20, 64 << 10
-SHARD_BYTES = 12 << 20
-
+#: Pieces whose ids a worker keeps, in each of two generations; when the younger is full the elder goes.
+MEMO_PIECES = 250_000
+#: Text that is encoded at once.
+PART_BYTES = 8 << 20
+#: The dictionary is for short documents: it is trained on whole texts of at most DICT_CHARS characters, the first in md5 order of the ids, at most so many and of so many bytes.
+DICT_DOCS, DICT_CHARS, DICT_BYTES, DICT_SIZE = 2_000, 20_000, 4 << 20, 64 << 10
+SHARD_BYTES = 24 << 20
+
+# What the fast path below assumes of a tokenizer's file.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 #: Words of printable ASCII and Latin-1 letters: there lower-casing and composition touch single characters only.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-#: The tokenizer's own pattern, written out for lower-cased plain words.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+#: The tokenizer's own pattern, written out for lower-cased plain words with a space between them.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ ]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,64 +60,147 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class WordEncoder:
-    """``encode(text, add_special_tokens=False).ids``, remembering words.
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer's file normalises and cuts texts as the fast path does.
+
+    Its pattern must never cross white space, its normalizers must leave the cut
+    at ASCII white space alone, and its added tokens must be such that words
+    with ``<|`` cover them.
+    """
+    with open(path) as f:
+        spec = json.load(f)
+    whole = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and spec.get("truncation") is None
+    cut = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+    return whole and cut and all("<|" in t["content"] and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
+
+
+class Memo:
+    """A bounded dictionary of two generations: what is used again moves to the younger one."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def find(self, keys: list, make) -> list:
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = []
+        for k in keys:
+            if k not in young:
+                found = old.get(k)
+                if found is None:
+                    new.append(k)
+                else:
+                    young[k] = found
+        young.update(zip(new, make(new), strict=True))
+        return [young[k] for k in keys]
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The stretches ``first, many`` of ``flat`` in a row."""
+    before = np.cumsum(many) - many
+    return flat[np.repeat(first - before, many) + np.arange(int(many.sum()))]
+
+
+def _packed(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Id arrays one after another, where each starts, and how many ids it has."""
+    many = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    return np.frombuffer(b"".join(found), np.uint32), np.cumsum(many) - many, many
+
 
-    The tokenizer's pattern never crosses white space, and its normalizers
-    leave the cut at ASCII white space alone, so a text's ids are its words'
-    ids in a row.  A plain word is cut into the pattern's pieces here and its
-    pieces go to the model directly; any other word goes through the whole
-    tokenizer.  A vocabulary of another kind gets ``by_word=False``.
+def _objects(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+class WordEncoder:
+    """``encode(text, add_special_tokens=False).ids`` of many texts at once.
+
+    Where the tokenizer cuts at spaces (:func:`cuts_at_spaces`) a text's ids
+    are its words' ids in a row.  The words of all texts are one Arrow column,
+    and only its distinct values are looked at.  Plain words are cut into the
+    pattern's pieces, distinct pieces go to the model directly, and all ids are
+    gathered from theirs; any other word goes through the whole tokenizer.
+    Texts of any other tokenizer go through it whole.
     """
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.memo, self.pieces = Tokenizer.from_file(path), by_word, {}, {}
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), cuts_at_spaces(path)
         self.letters, self.model = _byte_letters(), self.tokenizer.model
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            name = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(name)], np.uint32).tobytes()
-        return ids
-
-    def _learn(self, new: list[bytes]) -> None:
-        memo, odd = self.memo, []
-        for w in new:
-            word = w.decode()
-            if _PLAIN.fullmatch(word) and "<|" not in word:
-                pieces = _PIECES.findall(word.lower())
-                memo[w] = self._piece(pieces[0]) if len(pieces) == 1 else b"".join([self._piece(x) for x in pieces])
-            else:
-                odd.append(w)
-        for i in range(0, len(odd), 2_000):
-            some = odd[i : i + 2_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, np.uint32).tobytes()
+        self.pieces, self.odd = Memo(MEMO_PIECES), Memo(MEMO_PIECES // 10)
+
+    def _model_ids(self, pieces: list[str]) -> list[bytes]:
+        letters, tokenize = self.letters, self.model.tokenize
+        names = [x if x.isascii() else "".join([letters[b] for b in x.encode()]) for x in pieces]
+        return [array("I", [t.id for t in tokenize(x)]).tobytes() for x in names]
+
+    def _whole_ids(self, words: list[str]) -> list[bytes]:
+        parts = [words[i : i + 2_000] for i in range(0, len(words), 2_000)]
+        return [array("I", e.ids).tobytes() for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+    def _plain_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words in a row, and their number per word."""
+        if not len(words):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), " ")[0].as_py().lower()
+        pieces = pa.array(_PIECES.findall(text), pa.string())
+        # pieces leave no character out, so their lengths tell whose they are
+        ends = np.cumsum(pc.utf8_length(words).to_numpy())
+        owner = np.searchsorted(ends, np.cumsum(pc.utf8_length(pieces).to_numpy()))
+        pieces = pieces.dictionary_encode()
+        number = pieces.indices.to_numpy()
+        flat, first, many = _packed(self.pieces.find(_objects(pieces.dictionary), self._model_ids))
+        n = many[number]
+        return _gather(flat, first[number], n), np.bincount(owner, n, len(words)).astype(np.int64)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        words = [t.split() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        if len(self.pieces) > MEMO_WORDS:
-            self.pieces = {}
-        memo = self.memo
-        self._learn(list({w for doc in words for w in doc if w not in memo}))
-        return [np.frombuffer(b"".join([memo[w] for w in doc]), np.uint32) for doc in words]
-
-
-def train_dictionary(docs: DataFrame, tokenizer: str, by_word: bool = True) -> bytes:
-    """Dictionary content from a bounded sample (:data:`DICT_DOCS`, :data:`DICT_BYTES`); empty if it is too small to train on."""
-    rows = docs.orderBy(F.col("id").asc_nulls_first(), F.octet_length("text"), "text").select(F.substring("text", 1, 20_000).alias("text")).limit(DICT_DOCS).toLocalIterator()
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        space = _SPACE[data]
+        edge = np.flatnonzero(np.diff(space, prepend=True))
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        if not len(size):
+            return [np.empty(0, np.uint32) for _ in texts]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        words = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[~space])]).dictionary_encode()
+        distinct, number = words.dictionary, words.indices.to_numpy()
+        plain = pc.and_not(pc.match_substring_regex(distinct, _PLAIN), pc.match_substring(distinct, "<|"))
+        flat, n = self._plain_ids(distinct.filter(plain))
+        odd, odd_first, odd_many = _packed(self.odd.find(_objects(distinct.filter(pc.invert(plain))), self._whole_ids))
+        plain = plain.to_numpy(zero_copy_only=False)
+        first, many = np.empty(len(plain), np.int64), np.empty(len(plain), np.int64)
+        first[plain], many[plain] = np.cumsum(n) - n, n
+        first[~plain], many[~plain] = odd_first + len(flat), odd_many
+        n = many[number]
+        ids = _gather(np.concatenate([flat, odd]), first[number], n)
+        before = np.concatenate([[0], np.cumsum(n)])
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        cut = before[np.searchsorted(start, begin)].tolist()
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder per worker process and tokenizer; later tasks find its memo filled."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
+def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
+    """Dictionary content from a bounded sample of short documents (see :data:`DICT_DOCS`); empty if it is too small to train on."""
+    order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    short = docs.where(F.length("text") <= DICT_CHARS).orderBy(order, F.octet_length("text"), "text").select("text").limit(DICT_DOCS)
     samples, size = [], 0
-    encode = WordEncoder(tokenizer, by_word)
-    for r in rows:
-        ids = encode([(r.text or "").encode()])[0]
+    encode = WordEncoder(tokenizer)
+    for r in short.toLocalIterator():
+        ids = encode([r.text.encode()])[0]
         samples.append(ids.astype("<u4").tobytes())
         size += len(samples[-1])
         if size > DICT_BYTES:
@@ -126,64 +219,87 @@ def _decompressor(content: bytes):
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content) if content else None)
 
 
-def _batches(rows: list[tuple], limit: int = 4 << 20):
-    at = 0
-    while at < len(rows):
-        end, size = at, 0
-        while end < len(rows) and (end == at or size < limit):
-            size += len(rows[end][1])
-            end += 1
-        yield rows[at:end]
-        at = end
-
-
-def _write(root: str, tokenizer: str, by_word: bool, end_id: int):
-    made = {}
-
-    def write(table: pa.Table) -> pa.Table:
-        if "encode" not in made:
-            trim()
-            fs, path = filesystem(root)
-            with fs.open_input_file(f"{path}/dictionary.zdict") as f:
-                content = f.read()
-            made.update(encode=WordEncoder(tokenizer, by_word), zip=_compressor(content), key=hashlib.sha256(content).hexdigest())
-        shard = table["shard"][0].as_py()
-        rows = list(zip(table["id"].to_pylist(), table["text"].to_pylist(), strict=True))
-        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        data, offsets, counts, at = io.BytesIO(), [], [], 0
-        for part in _batches(rows):
-            for ids in made["encode"]([r[1] for r in part]):
-                frame = made["zip"].compress(np.append(ids, np.uint32(end_id)).astype("<u4").tobytes())
-                offsets.append(at)
-                counts.append(len(ids) + 1)
-                at += data.write(frame)
-        offsets.append(at)
-        body = data.getvalue()
+def _parts(batches, limit: int = PART_BYTES):
+    """Rows of one shard at a time: ``(shard, ids, texts)`` of about ``limit`` bytes."""
+    shard, ids, texts, size = None, [], [], 0
+    for batch in batches:
+        for s, i, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if texts and (s != shard or size >= limit):
+                yield shard, ids, texts
+                ids, texts, size = [], [], 0
+            shard = s
+            ids.append(i)
+            texts.append(t)
+            size += len(t)
+    if texts:
+        yield shard, ids, texts
+
+
+class _Shard:
+    """A shard in the making: frames go out as they come, only the index is kept."""
+
+    def __init__(self, fs, path: str, number: int):
+        self.fs, self.path, self.number = fs, path, number
+        self.temp = f"{path}/_tmp-{number:05d}-{os.urandom(8).hex()}"
+        self.out, self.digest, self.at = fs.open_output_stream(self.temp, compression=None), hashlib.sha256(), 0
+        self.ids, self.offsets, self.counts = [], [], []
+
+    def add(self, doc_id, frame: bytes, n_ids: int) -> None:
+        self.ids.append(doc_id)
+        self.offsets.append(self.at)
+        self.counts.append(n_ids)
+        self.at += self.out.write(frame)
+        self.digest.update(frame)
+
+    def close(self, dictionary: str) -> dict:
+        self.out.close()
         # content in the name: a retried task writes the same file, a torn one is never listed
-        name = f"shard-{shard:05d}-{hashlib.sha256(body).hexdigest()[:16]}"
-        index = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "offset": pa.array(offsets[:-1], pa.int64()), "n_ids": pa.array(counts, pa.int64())})
-        index = index.replace_schema_metadata({"dictionary": made["key"], "end": str(at)})
-        sink = io.BytesIO()
-        with ipc.new_file(sink, index.schema) as w:
+        name = f"shard-{self.number:05d}-{self.digest.hexdigest()[:16]}"
+        index = pa.table({"doc_id": pa.array(self.ids, pa.int64()), "offset": pa.array(self.offsets, pa.int64()), "n_ids": pa.array(self.counts, pa.int64())})
+        index = index.replace_schema_metadata({"dictionary": dictionary, "end": str(self.at)})
+        with self.fs.open_output_stream(f"{self.temp}.idx", compression=None) as f, ipc.new_file(f, index.schema) as w:
             w.write_table(index)
+        self.fs.move(self.temp, f"{self.path}/{name}.tok")
+        self.fs.move(f"{self.temp}.idx", f"{self.path}/{name}.idx")
+        known = [i for i in self.ids if i is not None]
+        return {"shard": self.number, "file": name, "n_docs": len(self.ids), "n_ids": sum(self.counts), "n_bytes": self.at, "has_null": len(known) < len(self.ids), "first_id": min(known, default=None), "last_id": max(known, default=None)}
+
+
+_WRITTEN = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64()), ("has_null", pa.bool_()), ("first_id", pa.int64()), ("last_id", pa.int64())])
+_WRITTEN_DDL = "shard long, file string, n_docs long, n_ids long, n_bytes long, has_null boolean, first_id long, last_id long"
+
+
+def _write(root: str, tokenizer: str, end_id: int):
+    def write(batches):
+        trim()
         fs, path = filesystem(root)
-        for suffix, blob in ((".tok", body), (".idx", sink.getvalue())):
-            temp = f"{path}/_tmp-{name}{suffix}-{os.urandom(6).hex()}"
-            with fs.open_output_stream(temp) as f:
-                f.write(blob)
-            fs.move(temp, f"{path}/{name}{suffix}")
+        with fs.open_input_file(f"{path}/dictionary.zdict") as f:
+            content = f.read()
+        encode, press, key = encoder(tokenizer), _compressor(content), hashlib.sha256(content).hexdigest()
+        made, end, done = None, np.array([end_id], "<u4").tobytes(), []
+        for shard, ids, texts in _parts(batches):
+            if made is not None and made.number != shard:
+                done.append(made.close(key))
+                made = None
+            made = made or _Shard(fs, path, shard)
+            for doc_id, found in zip(ids, encode(texts), strict=True):
+                made.add(doc_id, press.compress(found.astype("<u4", copy=False).tobytes() + end), len(found) + 1)
+        if made is not None:
+            done.append(made.close(key))
         trim()
-        return pa.table({"shard": pa.array([shard], pa.int32()), "file": [name], "n_docs": [len(rows)], "n_ids": [int(sum(counts))], "n_bytes": [at]})
+        yield pa.RecordBatch.from_pylist(done, schema=_WRITTEN)
 
     return write
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", root: str | None = None, end_id: int = END_ID, by_word: bool = True, shard_bytes: int = SHARD_BYTES) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", root: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> str:
     """Write a token store in ascending id order and return its folder.
 
-    Null text is empty: its document is the end id alone.  Null ids come first.
-    Repeated rows are written each, ordered by text.  An empty table gives a
-    store of no shards.  Other columns are ignored.
+    Rows are dealt to key ranges, sorted inside them, and every range is
+    streamed to one shard, whatever its size.  Null text is empty: its document
+    is the end id alone.  Null ids come first.  Repeated rows are written each,
+    ordered by text.  An empty table gives a store of no shards.  Other columns
+    are ignored.
     """
     spark = docs.sparkSession
     lean_batches(spark)
@@ -192,23 +308,22 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     fs, path = filesystem(root)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/dictionary.zdict") as f:
-        f.write(train_dictionary(docs, tokenizer, by_word))
+        f.write(train_dictionary(docs, tokenizer))
     sized = docs.select("id", (F.octet_length("text") + 8).alias("w"))
     bounds = range_bounds(sized, "id", "w", shard_bytes)
-    sharded = docs.select(shard_of("id", bounds).alias("shard"), "id", F.col("text").cast("binary").alias("text"))
-    done = sharded.groupBy("shard").applyInArrow(_write(root, tokenizer, by_word, end_id), "shard int, file string, n_docs long, n_ids long, n_bytes long")
-    done.write.parquet(f"{root}/written.parquet")
-    # one row per shard, so the running sum and the manifest stay small
+    sharded = docs.select(shard_of("id", bounds).cast("int").alias("shard"), "id", F.col("text").cast("binary").alias("text"))
+    ranged = sharded.repartitionById(max(1, len(bounds)), F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "text")
+    ranged.mapInArrow(_write(root, tokenizer, end_id), _WRITTEN_DDL).write.parquet(f"{root}/written.parquet")
+    # one row per shard, of which there are MOST_SHARDS at most, so the running sum and the manifest stay small
     listed = spark.read.parquet(f"{root}/written.parquet").orderBy("shard").collect()
     before, rows = 0, []
     for r in listed:
-        rows.append({"shard": r.shard, "file": r.file, "n_docs": r.n_docs, "n_ids": r.n_ids, "n_bytes": r.n_bytes, "before": before})
+        rows.append(r.asDict() | {"before": before})
         before += r.n_ids
-    kinds = [(c, pa.string() if c == "file" else pa.int64()) for c in ("shard", "file", "n_docs", "n_ids", "n_bytes", "before")]
     sink = io.BytesIO()
     import pyarrow.parquet as pq
 
-    pq.write_table(pa.Table.from_pylist(rows, schema=pa.schema(kinds)), sink)
+    pq.write_table(pa.Table.from_pylist(rows, schema=_WRITTEN.append(pa.field("before", pa.int64()))), sink)
     with fs.open_output_stream(f"{path}/_manifest.parquet.tmp") as f:
         f.write(sink.getvalue())
     fs.move(f"{path}/_manifest.parquet.tmp", f"{path}/manifest.parquet")
@@ -241,29 +356,30 @@ def _reader(root: str, digest: bool):
             for r in batch.to_pylist():
                 fs, path = _open(root, cache)
                 index, offsets = _index(fs, path, r["file"], cache["key"])
-                with fs.open_input_file(f"{path}/{r['file']}.tok") as f:
-                    data = f.read()
-                if len(data) != r["n_bytes"]:
-                    raise ValueError(f"{r['file']} has {len(data)} bytes, the manifest says {r['n_bytes']}")
+                if offsets[-1] != r["n_bytes"]:
+                    raise ValueError(f"{r['file']} has {offsets[-1]} bytes by its index, the manifest says {r['n_bytes']}")
                 counts = index["n_ids"].to_numpy()
                 starts = r["before"] + np.cumsum(counts) - counts
                 ids = index["doc_id"].to_pylist()
-                for a in range(0, len(ids), 500):
-                    b = min(len(ids), a + 500)
-                    frames = [cache["unzip"].decompress(data[offsets[i] : offsets[i + 1]]) for i in range(a, b)]
-                    out = {"doc_id": pa.array(ids[a:b], pa.int64()), "start": pa.array(starts[a:b], pa.int64())}
-                    if digest:
-                        out |= {"n_tokens": pa.array([len(x) // 4 for x in frames], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in frames], pa.int64())}
-                    else:
-                        out["ids"] = pa.array(frames, pa.binary())
-                    yield pa.record_batch(out)
+                with fs.open_input_file(f"{path}/{r['file']}.tok") as f:
+                    for a in range(0, len(ids), 500):
+                        b = min(len(ids), a + 500)
+                        data = f.read(int(offsets[b] - offsets[a]))
+                        frames = [cache["unzip"].decompress(data[i:j]) for i, j in zip(offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a], strict=True)]
+                        out = {"doc_id": pa.array(ids[a:b], pa.int64()), "start": pa.array(starts[a:b], pa.int64())}
+                        if digest:
+                            out |= {"n_tokens": pa.array([len(x) // 4 for x in frames], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in frames], pa.int64())}
+                        else:
+                            out["ids"] = pa.array(frames, pa.binary())
+                        yield pa.record_batch(out)
 
     return read
 
 
 def _read(spark, root: str, digest: bool, ddl: str) -> DataFrame:
     manifest = spark.read.parquet(f"{root}/manifest.parquet")
-    return manifest.repartition(max(1, manifest.count()), "shard").mapInArrow(_reader(root, digest), ddl)
+    n = max(1, manifest.count())
+    return manifest.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).mapInArrow(_reader(root, digest), ddl)
 
 
 def read_tokens(spark, root: str) -> DataFrame:
@@ -272,13 +388,15 @@ def read_tokens(spark, root: str) -> DataFrame:
 
 
 def read_document(root: str, doc_id: int) -> list[np.ndarray]:
-    """The id arrays of one document, by index lookup and ranged reads only."""
+    """The id arrays of one document: the manifest names its shard, an index its place, and one ranged read gets it."""
     import pyarrow.parquet as pq
 
     cache: dict = {}
     fs, path = _open(root, cache)
     found = []
     for r in pq.read_table(f"{path}/manifest.parquet", filesystem=fs).to_pylist():
+        if r["first_id"] is None or not r["first_id"] <= doc_id <= r["last_id"]:
+            continue
         index, offsets = _index(fs, path, r["file"], cache["key"])
         for i in np.flatnonzero(index["doc_id"].to_numpy(zero_copy_only=False) == doc_id):
             with fs.open_input_file(f"{path}/{r['file']}.tok") as f:

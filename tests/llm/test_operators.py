@@ -402,3 +402,28 @@ def test_range_bounds_refine_every_heavy_bin(spark):
         sizes = [r["count"] for r in df.groupBy(shard_of("k", bounds).alias("s")).count().collect()]
         assert len(sizes) == len(bounds) and max(sizes) <= per_shard and sum(sizes) == df.count()
         assert len(sizes) <= 2 * df.count() / per_shard + 1
+
+
+def test_token_store_of_another_tokenizer(spark):
+    """A tokenizer that keeps white space is not cut into words."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_output.cuts_at_spaces(token_output.default_tokenizer()) and not token_output.cuts_at_spaces(path)
+    rows = [(1, "Two  spaces\n\nand lines", "a"), (2, None, "a"), (3, "it's ÀÉ  x" * 500, "a")]
+    root = token_output.write_tokens(docs(spark, rows), path)
+    tok = Tokenizer.from_file(path)
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t, _ in rows}
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_output.read_tokens(spark, root).collect()} == want
+
+
+def test_encoder_forgets_and_still_agrees(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "MEMO_PIECES", 20)
+    encode, tok, r = token_output.WordEncoder(token_output.default_tokenizer()), Tokenizer.from_file(token_output.default_tokenizer()), random.Random(3)
+    for _ in range(6):
+        texts = [" ".join("".join(r.choice("abcÀß'7.-<|中́sSt") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 30))) for _ in range(20)]
+        got = encode([t.encode() for t in texts])
+        assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
