@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are cut into key ranges by deterministic bounds, sorted inside a range
-and written by one task per range.  Every record is a gzip member of its own;
+Which records revisit which is settled on ids and digests alone.  Records are
+cut into key ranges by deterministic bounds, sorted inside a range and streamed
+by one task per range; their revisit marks are sorted in among them.  Every record is a gzip member of its own;
 a file ends when its compressed size reaches the roll size.  All headers (ids,
 dates, lengths, digests) are computed anew from the rows, so a rerun writes
 the same bytes.  Tasks write under temporary names and report them as rows; a
@@ -22,14 +23,12 @@ import pyarrow.fs  # noqa: F401  pa.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, own_columns, range_bounds, shard_of, stash
+from .common import filesystem, fresh_dir, lean_batches, own_columns, range_bounds, shard_of, stash
 
 ROLL_BYTES = 32 << 20
 #: Raw payload bytes per key range, about: the unit of a writing task.
 SHARD_BYTES = 32 << 20
 MIN_REVISIT_BYTES = 1000
-#: Repeated payload digests (with the page that stands for each) that may be broadcast; beyond it rows are joined by shuffle.
-BROADCAST_DIGESTS = 100_000
 #: Fixed, so that a rerun writes the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 GZIP_LEVEL = 4
@@ -90,8 +89,16 @@ def _write(root: str, roll: int):
                 made.append(dict(state, sha256=state["sha256"].hexdigest()))
                 out = None
 
+        page, stands = None, {}
         for batch in batches:
             for row in batch.to_pylist():
+                # a page's revisits come just before its records
+                if row["page_id"] != page:
+                    page, stands = row["page_id"], {}
+                if row["payload"] is None:
+                    stands[row["digest"]] = (row["refers_to"], row["url"])
+                    continue
+                row["refers_to"], row["refers_url"] = stands.get(row["digest"], (None, None))
                 if out is not None and (row["shard"] != state["shard"] or state["n_bytes"] >= roll):
                     close()
                 if out is None:
@@ -128,21 +135,18 @@ def _commit(root: str):
     return commit
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Payload, digest and, for copies, the page that stands for them."""
-    rows = pages.withColumn("payload", F.coalesce(F.col("html"), F.lit("")).cast("binary")).drop("html")
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    key = rows.where(F.col("n_bytes") >= min_bytes).select("digest", "page_id", F.struct("page_id", "url").alias("first"))
-    firsts = key.groupBy("digest").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("n"))
-    # only digests that occur twice are joined; a hot one is split by the adaptive skew join
-    firsts = firsts.where("n > 1").select(F.col("digest").alias("d"), F.col("first.page_id").alias("keep"), F.col("first.url").alias("keep_url"))
-    # usually few digests repeat, and broadcasting them spares the payloads a shuffle
-    firsts = stash(firsts, "repeated")
-    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_DIGESTS else firsts
-    rows = rows.join(firsts, (F.col("digest") == F.col("d")) & (F.col("n_bytes") >= min_bytes), "left")
-    other = F.col("d").isNotNull() & F.col("page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")) & F.col("keep").isNotNull()
-    rows = rows.withColumn("refers_to", F.when(other, F.col("keep"))).withColumn("refers_url", F.when(other, F.col("keep_url")))
-    return rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).drop("d", "keep", "keep_url")
+def revisits(prints: DataFrame) -> DataFrame:
+    """``page_id``, ``digest``, ``refers_to`` and the url of that page (as ``url``), for every row that repeats another page's payload.
+
+    ``prints`` has ``page_id``, ``url`` and ``digest``; payloads never take part.
+    A digest's page is aggregated before it is joined back, so a hot digest's
+    rows can be split.
+    """
+    named = prints.where("page_id is not null")
+    firsts = named.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = firsts.where("n > 1").select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("first_url"))
+    found = named.select("page_id", "digest").join(firsts, "digest").where("page_id <> refers_to")
+    return found.select("page_id", "digest", "refers_to", F.col("first_url").alias("url"))
 
 
 def write_warc(pages: DataFrame, root: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> str:
@@ -156,15 +160,22 @@ def write_warc(pages: DataFrame, root: str | None = None, id_col: str = "page_id
     Other columns are ignored.
     """
     spark = pages.sparkSession
+    lean_batches(spark)
     root = root or fresh_dir(spark, "warc")
     fs, path = filesystem(root)
     fs.create_dir(path, recursive=True)
-    pages = own_columns(pages, page_id=id_col, url=url_col, html=html_col).withColumn("page_id", F.col("page_id").cast("long"))
-    sized = pages.select("page_id", (F.coalesce(F.octet_length("html"), F.lit(0)) + 300).alias("w"))
-    bounds = range_bounds(sized, "page_id", "w", shard_bytes)
-    rows = with_revisits(pages).withColumn("shard", shard_of("page_id", bounds).cast("int"))
-    ranged = rows.repartitionById(max(1, len(bounds)), F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", "digest")
-    written = stash(ranged.select("shard", "page_id", "url", "payload", "digest", "n_bytes", "refers_to", "refers_url").mapInArrow(_write(root, roll_bytes), _FILES_DDL), "warc-files")
+    pages = own_columns(pages, page_id=id_col, url=url_col, html=html_col)
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
+    rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "n_bytes": F.octet_length("payload").cast("long")})
+    prints = stash(rows.drop("payload"), "prints")
+    bounds = range_bounds(prints.select("page_id", (F.col("n_bytes") + 300).alias("w")), "page_id", "w", shard_bytes)
+    marks = revisits(prints.where(F.col("n_bytes") >= MIN_REVISIT_BYTES)).withColumns({"payload": F.lit(None).cast("binary"), "n_bytes": F.lit(0).cast("long")})
+    # payloads move once, by range; what says that they are revisits meets them there
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks).withColumn("shard", shard_of("page_id", bounds).cast("int"))
+    first = F.col("payload").isNotNull()
+    ranged = both.repartitionById(max(1, len(bounds)), F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), first, "url", "digest")
+    written = stash(ranged.select("shard", "page_id", "url", "payload", "digest", "n_bytes", "refers_to").mapInArrow(_write(root, roll_bytes), _FILES_DDL), "warc-files")
     written.mapInArrow(_commit(root), _FILES_DDL).select("file", "n_records", "n_bytes", "sha256").write.parquet(f"{root}/manifest.parquet")
     return root
 
