@@ -6,10 +6,17 @@ region within k edits of a stretch of m characters shares at least
 item offset) at most k apart.  Shared q-grams are counted for whole items in
 diagonal bands that overlap by k; in bands that reach the bound they are counted
 again per stretch, and a banded alignment decides.
+
+The benchmark is indexed by a Spark job in files of bounded size; a search task
+holds one of them at a time.  Shared q-grams are counted slice by slice, so
+memory does not grow with how often a q-gram stands in texts and items.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_batches, own_columns, trim
+from .common import filesystem, fresh_dir, lean_batches, own_columns, range_bounds, shard_of, stash, trim
 from .repeats import U, Names, mix
 
 Q = 12
@@ -26,15 +33,23 @@ PASSAGE, STEP = 100, 50
 CHARS_PER_EDIT = 20
 #: Width of the diagonal bands without their overlap.
 BAND = 16
-#: Normalised benchmark characters of one broadcast; a larger benchmark is matched in blocks of that size, one after another.
+#: Benchmark bytes of one index file.
 BLOCK_CHARS = 4 << 20
 FILTER_BITS = 22
-TEXT_CHARS = 1 << 20
+#: Characters searched at once; a longer text is cut into pieces that overlap by more than a match with its band is long.
+TEXT_CHARS, OVERLAP = 1 << 18, 512
+#: Pairs of equal q-grams (text, item) that are expanded at once.
+SLICE = 1 << 20
+#: Text that meets one index file after another, where there are several.
+GROUP_BYTES = 32 << 20
+#: A character repeated more often in a row counts so many times: rules and padding are layout.
+REPEAT = 8
+_RUNS = re.compile(r"(.)\1{%d,}" % REPEAT, re.DOTALL)
 
 
 def normalise(text: str | None) -> str:
-    """Lower case, runs of white space as one space."""
-    return " ".join((text or "").lower().replace("\0", " ").split())
+    """Lower case, runs of white space as one space, REPEAT of a character at most in a row."""
+    return _RUNS.sub(lambda m: m[1] * REPEAT, " ".join((text or "").lower().replace("\0", " ").split()))
 
 
 def passages(text: str) -> list[str]:
@@ -85,6 +100,7 @@ class Index:
     item: np.ndarray
     offset: np.ndarray
     table: np.ndarray
+    codes: list[np.ndarray]
 
     @classmethod
     def build(cls, rows: list[tuple]) -> Index:
@@ -94,7 +110,8 @@ class Index:
             if len(t) >= Q:
                 items.append(item)
                 texts.append(t)
-        g = [_grams(_codes(t)) for t in texts]
+        codes = [_codes(t) for t in texts]
+        g = [_grams(c) for c in codes]
         flat = np.concatenate(g) if g else np.empty(0, U)
         owner = np.repeat(np.arange(len(g)), [len(x) for x in g])
         offset = np.concatenate([np.arange(len(x)) for x in g]) if g else np.empty(0, np.int64)
@@ -102,45 +119,85 @@ class Index:
         grams, first = np.unique(flat[order], return_index=True)
         table = np.zeros(1 << FILTER_BITS, bool)
         table[grams >> U(64 - FILTER_BITS)] = True
-        return cls(items, texts, grams, np.append(first, len(flat)), owner[order], offset[order], table)
+        return cls(items, texts, grams, np.append(first, len(flat)), owner[order], offset[order], table, codes)
 
 
-def align(patterns: list[str], regions: list[str]) -> np.ndarray:
-    """Least edits between each pattern and any substring of its region.
+def align(patterns: list[np.ndarray], text: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Least edits between each pattern and a substring of ``text``, on the ``width`` diagonals from ``start`` on.
 
-    Regions are cut to the band, so a row of the table is the whole band; all
-    pairs advance together.
+    Entry w of row j stands for pattern[:j] against text that ends at
+    ``start + j + w``.  Only the band is held; all pairs advance together.
+    Outside its bounds ``text`` matches nothing.
     """
     if not patterns:
         return np.empty(0, np.int64)
-    m, width = np.array([len(p) for p in patterns]), max(len(r) for r in regions)
-    text = np.full((len(regions), width), np.uint64(0xFFFFFFFF), np.uint64)
-    for i, r in enumerate(regions):
-        text[i, : len(r)] = _codes(r)
-    pat = np.full((len(patterns), int(m.max())), np.uint64(0xFFFFFFFE), np.uint64)
+    m = np.array([len(p) for p in patterns])
+    pat = np.zeros((len(patterns), int(m.max())), np.uint64)
     for i, p in enumerate(patterns):
-        pat[i, : len(p)] = _codes(p)
-    row = np.zeros((len(patterns), width + 1), np.int32)
-    step = np.arange(width + 1, dtype=np.int32)
-    best = np.zeros(len(patterns), np.int64)
+        pat[i, : len(p)] = p
+    at = start[:, None] + np.arange(pat.shape[1] + width)[None]
+    inside = (at >= 0) & (at < len(text))
+    near = np.where(inside, text[np.clip(at, 0, len(text) - 1)], U(0xFFFFFFFF))
+    row, step, best = np.zeros((len(patterns), width), np.int32), np.arange(width, dtype=np.int32), np.zeros(len(patterns), np.int64)
     for j in range(pat.shape[1]):
-        new = np.empty_like(row)
-        new[:, 0] = j + 1
-        np.minimum(row[:, :-1] + (text != pat[:, j : j + 1]), row[:, 1:] + 1, out=new[:, 1:])
-        row = np.minimum.accumulate(new - step, axis=1) + step
+        new = row + (near[:, j : j + width] != pat[:, j : j + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        row = (np.minimum.accumulate(new - step, axis=1) + step).astype(np.int32)
         done = m == j + 1
         if done.any():
             best[done] = row[done].min(axis=1)
     return best
 
 
+def _pieces(texts: list[str]):
+    """``(text number, offset, piece)`` in groups of about TEXT_CHARS characters."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, max(1, len(t) - OVERLAP), TEXT_CHARS - OVERLAP):
+            piece = t[a : a + TEXT_CHARS]
+            if group and size + len(piece) > TEXT_CHARS:
+                yield group
+                group, size = [], 0
+            group.append((i, a, piece))
+            size += len(piece)
+    if group:
+        yield group
+
+
+def _slices(size: np.ndarray):
+    """Ranges of entries whose sizes sum to about SLICE (one entry may have more)."""
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+        yield at, end
+        at = end
+
+
 def find(texts: list[str], index: Index) -> list[list[tuple]]:
     """``(item, start, end)`` of the matches in each normalised text; bounds are those of the band, overlapping matches of an item are one."""
+    hits: dict = {}
+    if len(index.grams):
+        for group in _pieces(texts):
+            for d, i, a, e in _search([g[2] for g in group], index):
+                doc, offset, _ = group[d]
+                hits.setdefault((doc, i), []).append((offset + a, offset + e))
     found: list[list[tuple]] = [[] for _ in texts]
-    if not len(index.grams):
-        return found
+    for (doc, i), own in sorted(hits.items()):
+        spans: list[list[int]] = []
+        for a, e in sorted(own):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], e)
+            else:
+                spans.append([a, e])
+        found[doc] += [(index.items[i], a, e) for a, e in spans]
+    return found
+
+
+def _search(texts: list[str], index: Index) -> set[tuple]:
+    """``(text, item number, start, end)`` of the bands that hold a stretch of the item."""
     whole = "\0".join(texts)
-    grams = _grams(_codes(whole))
+    codes = _codes(whole)
+    grams = _grams(codes)
     begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     at = np.flatnonzero(index.table[grams >> U(64 - FILTER_BITS)])
     slot = np.searchsorted(index.grams, grams[at])
@@ -148,50 +205,71 @@ def find(texts: list[str], index: Index) -> list[list[tuple]]:
     real = index.grams[slot] == grams[at]
     at, slot = at[real], slot[real]
     if not len(at):
-        return found
+        return set()
     size = index.starts[slot + 1] - index.starts[slot]
-    posts = np.repeat(index.starts[slot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    where = np.repeat(at, size)
-    item, offset = index.item[posts], index.offset[posts]
-    m = np.array([len(t) for t in index.texts])
     # of an item's stretches the whole has the most edits, PASSAGE characters need the fewest q-grams
+    m = np.array([len(t) for t in index.texts])
     k = np.array([budget(len(t) if passages(t) == [t] else PASSAGE) for t in index.texts])
     need = np.array([_need(min(len(t), PASSAGE)) for t in index.texts])
     pad = int(m.max()) + BAND
-    low = where - offset + pad  # never negative
-    band = low // BAND
-    # a diagonal also counts for the band before it if it lies in the overlap
-    again = low % BAND <= k[item]
-    doc = np.searchsorted(begin, where, side="right") - 1
-    flat = (doc * len(m) + item) * (int(band.max()) + 2) + band + 1
-    flat, offset = np.concatenate([flat, flat[again] - 1]), np.concatenate([offset, offset[again]])
-    doc, item, band = np.concatenate([doc, doc[again]]), np.concatenate([item, item[again]]), np.concatenate([band, band[again] - 1])
-    _, group, count = np.unique(flat, return_inverse=True, return_counts=True)
-    kept = np.flatnonzero(count[group] >= need[item])
-    kept = kept[np.lexsort((offset[kept], group[kept]))]
-    sure, rest = [], []
-    for part in np.split(kept, np.flatnonzero(np.diff(group[kept])) + 1) if len(kept) else []:
-        d, i, b, shared = int(doc[part[0]]), int(item[part[0]]), int(band[part[0]]), offset[part]
+    n_bands = (len(whole) + pad) // BAND + 3
+
+    def pairs(a, b):
+        """Band and item offset of every pair of equal q-grams among text q-grams ``a`` to ``b``; a band is (text, item, band)."""
+        s = size[a:b]
+        posts = np.repeat(index.starts[slot[a:b]] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
+        where = np.repeat(at[a:b], s)
+        item, offset = index.item[posts], index.offset[posts]
+        low = where - offset + pad  # never negative
+        band = ((np.searchsorted(begin, where, side="right") - 1) * len(m) + item) * n_bands + low // BAND + 1
+        # a diagonal also counts for the band before it if it lies in the overlap
+        again = low % BAND <= k[item]
+        return np.concatenate([band, band[again] - 1]), np.concatenate([offset, offset[again]])
+
+    bands, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for a, b in _slices(size):
+        new, n = np.unique(pairs(a, b)[0], return_counts=True)
+        bands, inverse = np.unique(np.concatenate([bands, new]), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([counts, n]), len(bands)).astype(np.int64)
+    bands = bands[counts >= need[bands // n_bands % len(m)]] if len(bands) else bands
+    if not len(bands):
+        return set()
+    # per band the item's offsets that are shared: a bit each, so a q-gram met often in a band is kept once
+    shared: list[set] = [set() for _ in bands]
+    for a, b in _slices(size):
+        band, offset = pairs(a, b)
+        slot_of = np.searchsorted(bands, band)
+        slot_of[slot_of == len(bands)] = 0
+        hit = bands[slot_of] == band
+        for i, o in set(zip(slot_of[hit].tolist(), offset[hit].tolist(), strict=True)):
+            shared[i].add(o)
+    sure, rest = set(), []
+
+    def settle():
+        edits = align([index.codes[i][f : f + n] for _, i, f, n, _, _ in rest], codes, np.array([x[5] for x in rest], np.int64), BAND + 3 * int(k.max()) + 1)
+        sure.update((d, i, *span) for (d, i, _, n, span, _), c in zip(rest, edits, strict=True) if c <= budget(n))
+        rest.clear()
+
+    for number, own in zip(bands.tolist(), shared, strict=True):
+        d, i, b = number // n_bands // len(m), number // n_bands % len(m), number % n_bands - 1
+        have = np.zeros(int(m[i]) + 1, np.int64)
+        have[np.fromiter(own, np.int64, len(own)) + 1] = 1
+        have = np.cumsum(have)
         start, long = stretches(index.texts[i])
-        enough = np.searchsorted(shared, start + long - Q, side="right") - np.searchsorted(shared, start) >= [_need(x) for x in long.tolist()]
+        enough = have[start + long - Q + 1] - have[start] >= [_need(x) for x in long.tolist()]
         for f, n in zip(start[enough].tolist(), long[enough].tolist(), strict=True):
-            a = max(int(begin[d]), b * BAND - pad + f - int(k[i]))
-            e = min(int(begin[d + 1]) - 1, b * BAND - pad + f + BAND + 2 * int(k[i]) + n)
-            (sure if whole.find(index.texts[i][f : f + n], a, e) >= 0 else rest).append((d, i, f, n, a, e))
-    for x in range(0, len(rest), 500):
-        some = rest[x : x + 500]
-        edits = align([index.texts[i][f : f + n] for _, i, f, n, _, _ in some], [whole[a:e] for *_, a, e in some])
-        sure += [y for y, c in zip(some, edits, strict=True) if c <= budget(y[3])]
-    spans: dict = {}
-    for d, i, _, _, a, e in sorted(sure, key=lambda y: (y[0], y[1], y[4], y[5])):
-        own = spans.setdefault((d, i), [])
-        if own and a <= own[-1][1]:
-            own[-1][1] = max(own[-1][1], e)
-        else:
-            own.append([a, e])
-    for (d, i), own in spans.items():
-        found[d] += [(index.items[i], a - int(begin[d]), e - int(begin[d])) for a, e in own]
-    return found
+            diagonal = b * BAND - pad - int(k[i])
+            a = max(int(begin[d]), diagonal + f)
+            e = min(int(begin[d + 1]) - 1, diagonal + f + BAND + 3 * int(k[i]) + n)
+            span = (a - int(begin[d]), e - int(begin[d]))
+            if whole.find(index.texts[i][f : f + n], a, e) >= 0:
+                sure.add((d, i, *span))
+            else:
+                rest.append((d, i, f, n, span, diagonal + f))
+                if len(rest) >= 500:
+                    settle()
+    settle()
+    return sure
 
 
 def _need(m: int) -> int:
@@ -199,17 +277,40 @@ def _need(m: int) -> int:
     return max(1, m - Q + 1 - budget(m) * Q)
 
 
-def _blocks(benchmark: DataFrame):
-    """The benchmark in blocks of bounded size."""
-    block, size = [], 0
-    for r in benchmark.where("text is not null").orderBy("id", "text").toLocalIterator():
-        block.append((r.id, r.text))
-        size += len(r.text)
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def write_index(benchmark: DataFrame, block_bytes: int) -> list[str]:
+    """Index files of a benchmark (``id``, ``text``), of bounded size each; the driver sees their names only."""
+    spark = benchmark.sparkSession
+    root = fresh_dir(spark, "benchmark-index")
+    fs, path = filesystem(root)
+    fs.create_dir(path, recursive=True)
+    rows = benchmark.where("text is not null")
+    bounds = range_bounds(rows.select("id", (F.octet_length("text") + 8).alias("w")), "id", "w", block_bytes)
+    dealt = rows.select(shard_of("id", bounds).cast("int").alias("block"), "id", "text").repartitionById(max(1, len(bounds)), F.col("block"))
+
+    def build(batches):
+        fs, path = filesystem(root)
+        block, size, made = [], 0, []
+
+        def close():
+            name = f"{path}/index-{uuid.uuid4().hex}"
+            with fs.open_output_stream(name, compression=None) as f:
+                f.write(pickle.dumps(Index.build(block)))
+            made.append(name)
+
+        for batch in batches:
+            for i, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                block.append((i, t))
+                size += len(t)
+                if size >= 2 * block_bytes:
+                    close()
+                    block, size = [], 0
+        if block:
+            close()
+        yield pa.record_batch({"name": pa.array(made, pa.string())})
+
+    # a repeated task may leave a file behind; only names that were reported are read
+    names = stash(dealt.sortWithinPartitions("block", F.col("id").asc_nulls_first(), "text").mapInArrow(build, "name string"), "benchmark-index")
+    return sorted(r["name"] for r in names.collect())
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", bench_text_col: str = "text", text_col: str = "text") -> DataFrame:
@@ -217,52 +318,58 @@ def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", bench_t
 
     A document is found with an item if it holds any 100 characters in a row of
     the item (or the whole item if it has no more than 125) with at most one
-    edit in 20 characters, lower-cased and with runs of white space as one
-    space.  Spans are offsets into the text so normalised, as wide as the band.
+    edit in 20 characters, lower-cased, with runs of white space as one space
+    and no character more than 8 times in a row.  Spans are offsets into the
+    text so normalised, as wide as the band.
 
     Null and empty texts hold nothing; null items and items of fewer than 12
     characters cannot be found; items of one text are all reported.  Columns of
-    the added names are replaced.  Whole texts are searched, in pieces of
-    whole documents.
+    the added names are replaced.  Whole texts are searched, long ones in
+    overlapping pieces.
     """
-    spark = docs.sparkSession
-    lean_batches(spark)
+    lean_batches(docs.sparkSession)
     docs = docs.drop("bench_items", "bench_spans")
-    names, at = docs.columns, docs.columns.index(text_col)
+    columns, at = docs.columns, docs.columns.index(text_col)
     span = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-
-    def searcher(shared, more: bool):
-        made: dict = {}
-
-        def run(batches):
-            if "index" not in made:
-                made["index"] = Index.build(shared.value)
-            for batch in batches:
-                texts = [normalise(t) for t in batch.column(at).to_pylist()]
-                found, i = [], 0
-                while i < len(texts):
-                    j, size = i, 0
-                    while j < len(texts) and (j == i or size < TEXT_CHARS):
-                        size += len(texts[j])
-                        j += 1
-                    found += find(texts[i:j], made["index"])
-                    i = j
-                rows = [[{"item": x, "start": a, "end": e} for x, a, e in f] for f in found]
-                cols = [batch.column(c) for c in range(len(names))]
-                if more:
-                    rows = [old + new for old, new in zip(batch.column(len(names)).to_pylist(), rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, span)], names=[*names, "bench_spans"])
-            trim()
-
-        return run
+    items = own_columns(benchmark, id=id_col, text=bench_text_col).withColumn("id", F.col("id").cast("long"))
+    files = write_index(items, BLOCK_CHARS)
+    root = fresh_dir(docs.sparkSession, "")
+
+    def run(batches):
+        fs, _ = filesystem(root)
+        kept: dict = {}
+
+        def load(name):
+            if name not in kept:
+                kept.clear()
+                with fs.open_input_file(name) as f:
+                    kept[name] = pickle.loads(f.read())
+            return kept[name]
+
+        def search(group):
+            texts = [[normalise(t) for t in b.column(at).to_pylist()] for b in group]
+            found = [[[] for _ in t] for t in texts]
+            for name in files:
+                for t, own in zip(texts, found, strict=True):
+                    for old, new in zip(own, find(t, load(name)), strict=True):
+                        old += new
+            for b, own in zip(group, found, strict=True):
+                rows = [[{"item": x, "start": a, "end": e} for x, a, e in f] for f in own]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, span)], names=[*columns, "bench_spans"])
+
+        group, size = [], 0
+        for batch in batches:
+            group.append(batch)
+            size += batch.nbytes
+            if len(files) < 2 or size >= GROUP_BYTES:
+                yield from search(group)
+                group, size = [], 0
+        if group:
+            yield from search(group)
+        trim()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out, more = docs, False
-    for block in _blocks(own_columns(benchmark, id=id_col, text=bench_text_col).withColumn("id", F.col("id").cast("long"))):
-        out = out.mapInArrow(searcher(spark.sparkContext.broadcast(block), more), f"{fields}, bench_spans array<struct<item:long,start:long,end:long>>")
-        more = True
-    if not more:
-        out = out.withColumn("bench_spans", F.expr("cast(array() as array<struct<item:long,start:long,end:long>>)"))
+    out = docs.mapInArrow(run, f"{fields}, bench_spans array<struct<item:long,start:long,end:long>>")
     return out.withColumn("bench_items", F.array_sort(F.array_distinct(F.transform("bench_spans", lambda x: x["item"]))))
 
 
