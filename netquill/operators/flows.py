@@ -126,3 +126,15 @@ def packet_arrays(packets: DataFrame, keys) -> DataFrame:
         F.transform("p", lambda x: x["dir"]).alias("packet_directions"),
         F.transform("p", lambda x: x["len"]).alias("packet_lengths"),
     )
+
+
+def by_start(df: DataFrame, start: str = "ts_start", tie: str = "flow_id") -> DataFrame:
+    """Flows in the order of their start."""
+    return df.orderBy(start, tie)
+
+
+def evictable(df: DataFrame, now: float, idle: float = IDLE_SECONDS, force: int = 0) -> DataFrame:
+    """Flows to be closed: reset or finished ones, those idle for more than ``idle`` at ``now``, and the ``force`` oldest of the rest."""
+    done = (F.col("flag_rst_count") > 0) | (F.col("flag_fin_count") > 0) | (F.lit(now) - F.col("ts_end") > idle)
+    out = df.where(done)
+    return out.unionByName(df.where(~done).orderBy("ts_start", "ts_end").limit(force)) if force else out

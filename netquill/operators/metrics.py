@@ -23,21 +23,23 @@ def confusion(df: DataFrame, true: str, pred: str, labels) -> DataFrame:
 
 def class_report(df: DataFrame, true: str, pred: str, labels) -> DataFrame:
     """Precision, recall, F1 and support per class, with rows ``accuracy``, ``macro avg`` and ``weighted avg``; 0 on empty denominators."""
-    c = confusion(df, true, pred, labels)
-    hit = F.sum(F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0))
-    t = c.groupBy(F.col("true_label").alias("k")).agg(hit.alias("tp"), F.sum("n").alias("support"))
-    p = c.groupBy(F.col("pred_label").alias("k")).agg(F.sum("n").alias("predicted"))
+    n = F.col("n")
+    # one matrix of labels by labels; every figure of the report is a sum over it
+    c = confusion(df, true, pred, labels).select(F.explode(F.array(F.struct(F.col("true_label").alias("k"), n.alias("support"), F.lit(0).cast("long").alias("predicted"), F.when(F.col("true_label") == F.col("pred_label"), n).otherwise(0).alias("tp")), F.struct(F.col("pred_label").alias("k"), F.lit(0).cast("long").alias("support"), n.alias("predicted"), F.lit(0).cast("long").alias("tp")))).alias("x")).select("x.*")
     over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    m = t.join(p, "k").withColumn("precision", over(F.col("tp"), F.col("predicted"))).withColumn("recall", over(F.col("tp"), F.col("support")))
+    m = c.groupBy("k").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
+    m = m.withColumn("precision", over(F.col("tp"), F.col("predicted"))).withColumn("recall", over(F.col("tp"), F.col("support")))
     m = m.withColumn("f1", over(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     cols = ["precision", "recall", "f1"]
-    each = m.select(F.col("k").cast("string").alias("class"), *cols, "support")
     total = F.sum("support")
-    macro = m.agg(F.lit("macro avg").alias("class"), *[F.avg(x).alias(x) for x in cols], total.alias("support"))
-    weighted = m.agg(F.lit("weighted avg").alias("class"), *[over(F.sum(F.col(x) * F.col("support")), total).alias(x) for x in cols], total.alias("support"))
-    acc = m.agg(F.lit("accuracy").alias("class"), *[over(F.sum("tp"), total).alias(x) for x in cols], total.alias("support"))
-    out = each.unionByName(acc).unionByName(macro).unionByName(weighted)
-    return out.select("class", *[F.round(x, 6).alias(x) for x in cols], F.col("support").cast("long").alias("support"))
+    # the classes and their averages in one pass: each class row, and all classes as one group
+    g = m.groupingSets([["k"], []], "k").agg(F.grouping("k").alias("all"), *[F.avg(x).alias(x) for x in cols], *[over(F.sum(F.col(x) * F.col("support")), total).alias(f"w_{x}") for x in cols], over(F.sum("tp"), total).alias("acc"), total.alias("support"))
+    row = lambda name, values: F.struct(name.alias("class"), *[v.alias(x) for x, v in zip(cols, values, strict=True)])
+    plain = [F.col(x) for x in cols]
+    each = F.array(row(F.col("k").cast("string"), plain))
+    means = F.array(row(F.lit("accuracy"), [F.col("acc")] * 3), row(F.lit("macro avg"), plain), row(F.lit("weighted avg"), [F.col(f"w_{x}") for x in cols]))
+    out = g.select("support", F.explode(F.when(F.col("all") == 0, each).otherwise(means)).alias("r"))
+    return out.select("r.class", *[F.round(f"r.{x}", 6).alias(x) for x in cols], F.col("support").cast("long").alias("support"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -135,6 +137,7 @@ def text_summary(df: DataFrame, events: str, text: str) -> DataFrame:
 
 
 def stage_summary(stages: DataFrame) -> DataFrame:
-    """Total wall and CPU seconds of the stages that went well, and rows per second."""
+    """Total wall and CPU seconds and rows of the stages that went well, rows per wall second, and how many did and did not."""
     ok = F.col("status") == "ok"
-    return stages.agg(F.sum(F.when(ok, F.col("wall_s"))).alias("wall_s"), F.sum(F.when(ok, F.col("cpu_s"))).alias("cpu_s"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"))
+    good = lambda c: F.sum(F.when(ok, F.col(c)))
+    return stages.agg(good("wall_s").alias("wall_s"), good("cpu_s").alias("cpu_s"), good("rows").alias("rows"), (good("rows") / good("wall_s")).alias("rows_per_s"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"))

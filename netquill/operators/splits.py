@@ -70,6 +70,20 @@ def weighted_sample(df: DataFrame, id_col: str, weight: str, n: int, seed: int =
     return x.withColumn("_k", draws).where("_k > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k", "_e", "_t")
 
 
+def reshuffled(frames, id_col: str, seed: int = 42) -> DataFrame:
+    """All frames' rows by column name, in hash order of the id."""
+    out = None
+    for df in frames:
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out.orderBy(hash_order(id_col, seed), id_col)
+
+
+def first_keys(df: DataFrame, key: str, order: str, quota: int) -> DataFrame:
+    """All rows of the ``quota`` keys that appear first; keys are few after the aggregate, and rows are filtered by them."""
+    first = df.groupBy(key).agg(F.min(order).alias("_at")).orderBy("_at", key).limit(quota).select(F.col(key).alias("_k"))
+    return df.join(F.broadcast(first), F.col(key) == F.col("_k"), "left_semi")
+
+
 def cached_split(df: DataFrame, path: str, make, refresh: bool = False) -> DataFrame:
     """The split stored at ``path``, made and written there first if absent or to be refreshed."""
     spark = df.sparkSession

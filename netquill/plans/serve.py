@@ -33,3 +33,20 @@ def evaluation(report: DataFrame) -> DataFrame:
 
 def dashboard(flows: DataFrame, predictions: DataFrame) -> dict[str, DataFrame]:
     return {"flows": flows.agg(F.count(F.lit(1)).alias("flows"), F.sum("total_packets").alias("packets"), F.sum("total_bytes").alias("bytes")), "labels": metrics.value_counts(predictions, "pred_label_name"), "protocols": metrics.value_counts(flows, "protocol")}
+
+
+def recent_tasks(tasks: DataFrame, limit: int = 20) -> DataFrame:
+    """The tasks started last."""
+    return tasks.orderBy(F.desc_nulls_last("started_at"), "task_id").limit(limit)
+
+
+def task_counts(tasks: DataFrame) -> DataFrame:
+    """Numbers of all, running, done and failed tasks in one row."""
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    return tasks.agg(F.count(F.lit(1)).alias("total"), is_("running").alias("running"), is_("done").alias("done"), is_("failed").alias("failed"))
+
+
+def pool_shares(n_semantic: int, n_manual: int) -> dict[str, float]:
+    """Size of the candidate pool and the shares of semantic and manual features in it."""
+    total = n_semantic + n_manual
+    return {"total": total, "semantic": n_semantic / total if total else 0.0, "manual": n_manual / total if total else 0.0}

@@ -96,3 +96,11 @@ def feature_groups(df: DataFrame, label: str = "label") -> dict[str, list[str]]:
     semantic = [c for c in df.columns if c.startswith("feat_")]
     every = numeric_columns(df, exclude=[label, *LEAKAGE_COLUMNS])
     return {"Fused": every, "LLM-only": semantic, "Manual-only": [c for c in every if c not in set(semantic)]}
+
+
+def id_column(df: DataFrame, candidates=("flow_uid", "flow_id")) -> str:
+    """The first candidate that is a column; an error without one."""
+    found = [c for c in candidates if c in df.columns]
+    if not found:
+        raise ValueError(f"none of {list(candidates)} is a column")
+    return found[0]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import csv
+import shutil
+import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +24,46 @@ def first_existing(spark, paths) -> str:
     raise FileNotFoundError(", ".join(paths))
 
 
+def scratch_path(spark, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``; only a local session without one takes a temporary folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="netquill-scratch-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def count_rows(spark, path: str, kind: str = "csv") -> int:
+    """Data rows of CSV files with headers, or non-empty lines of JSON lines files."""
+    if kind == "csv":
+        return spark.read.option("header", True).csv(path).count()
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0).count()
+
+
+def merge_parts(spark, parts: list[str], path: str) -> int:
+    """Part files with headers as one CSV folder, by column name, all text; parts are deleted once it is written.
+
+    Returns the rows written; without parts nothing is written.
+    """
+    if not parts:
+        return 0
+    merged = union_all([spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(p) for p in parts])
+    write_csv(merged, path)
+    for p in parts:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return count_rows(spark, path)
+
+
+def read_images(spark, folder: str, aliases: dict[str, str]) -> DataFrame:
+    """``alias`` and ``content`` of report images, by an alias to file-name map; absent files have no row."""
+    names = spark.createDataFrame(list(aliases.items()), "alias string, file string")
+    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return found.join(F.broadcast(names), "file").select("alias", "content")
+
+
 def read_csv(spark, path: str, columns=None, schema=None, encoding: str = "UTF-8") -> DataFrame:
     """A CSV with header; all text unless a schema is given, only ``columns`` if named."""
     r = spark.read.option("header", True).option("multiLine", False).option("quote", '"').option("escape", '"').option("encoding", encoding)

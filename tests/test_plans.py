@@ -118,3 +118,19 @@ def test_embedding(spark):
 
 
 assert CERT
+
+
+def test_registry(spark, tmp_path):
+    from netquill.plans import registry
+
+    base = tmp_path / "base"
+    assert registry.latest_checkpoint(spark, str(base)) is None
+    for n in ("checkpoint-9", "checkpoint-10", "checkpoint-", "other-99"):
+        (base / n).mkdir(parents=True)
+    assert registry.latest_checkpoint(spark, str(base)).endswith("checkpoint-10")
+    (tmp_path / "best").mkdir()
+    assert registry.assemble(spark, str(base), str(tmp_path / "best"))[0].endswith("checkpoint-10")
+    with pytest.raises(FileNotFoundError):
+        registry.assemble(spark, str(base), str(tmp_path / "absent"))
+    registry.save_columns(spark, ["b", "a"], str(tmp_path / "columns"))
+    assert registry.load_columns(spark, str(tmp_path / "columns")) == ["b", "a"]
