@@ -21,6 +21,7 @@ ORACLE_SQL = {
     "op2_warc": warc.OP2_SQL,
     "op3_near_dedup": near_dedup.OP3_SQL,
     "op5_mix": mixing.OP5_SQL,
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

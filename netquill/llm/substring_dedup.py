@@ -2,15 +2,20 @@
 
 Rounds of recompression rename a text's words: a run of one symbol becomes a
 run symbol; then symbols are split in two classes by a bit of their name, and
-every left symbol followed by a right one becomes a pair symbol.  A name is a
-64-bit function of what it replaces, so all executors name alike and equal
-substrings get equal symbols, except near their ends, where a symbol may
+every left symbol followed by a right one becomes a pair symbol.  The first two
+levels are made inside documents, with names that are functions of the words.
+From then on every level is a Spark round: owners number the distinct symbols
+of all documents globally, and the next level's runs and pairs are made of
+those numbers.  A symbol that stands once gets no number; it is taken out like
+a document's end, and so are all windows that hold it.
+
+Equal substrings get equal symbols, except near their ends, where a symbol may
 depend on words outside.  For each symbol the range of words it depends on is
 kept exactly; a symbol whose range lies inside a window is *interior* to it and
 appears wherever the window's words appear.  A window's anchor is its interior
 symbol of smallest hash among the highest level it has; windows without one
-(such as long runs) are anchors themselves.  Shared symbols show candidates,
-and names of whole windows verify them.
+(such as long runs) are anchors themselves.  Shared high-level symbols show the
+candidates, and 128-bit names of whole windows verify them.
 """
 
 from __future__ import annotations
@@ -22,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, range_bounds, shard_of, text_volume
-from .repeats import CHUNK_BYTES, U, Blocks, Names, blocks_of, covered_tokens, mix, spans_of, valid_windows, word_names
+from .common import own_columns, text_volume
+from .repeats import CHUNK_BYTES, U, Blocks, WideNames, blocks_of, chunks, covered_tokens, mix, spans_of, valid_windows, word_names
 
 WORDS = 20
-LEVELS = 2
+#: Levels made inside documents, and levels numbered by Spark rounds (the first of these is the last of those).
+LOCAL, ROUNDS = 2, 3
+_FAR = 1 << 30
+
+
 def recompress(s, doc, lo, hi, level: int):
     """One round over symbols ``s`` of documents ``doc`` that depend on words ``[lo, hi)``.
 
@@ -67,59 +76,105 @@ def recompress(s, doc, lo, hi, level: int):
     return name, d[head], np.where(pair, np.minimum(a2[head], a2[nxt]), a2[head]), np.where(pair, np.maximum(b2[head], b2[nxt]), b2[head])
 
 
-def scanner(size: int = WORDS, levels: int = LEVELS):
-    def scan(texts: list[bytes]) -> Blocks:
+def _interval_flags(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` places lie in an interval ``[lo, hi]``."""
+    ok = (hi >= 0) & (lo < n) & (lo <= hi)
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, np.maximum(lo[ok], 0), 1)
+    np.add.at(edge, np.minimum(hi[ok], n - 1) + 1, -1)
+    return np.cumsum(edge)[:n] > 0
+
+
+class Symbols:
+    """Symbols of a chunk and the windows that are left.
+
+    State: ``left`` (a bit per word: does a window that is left start there)
+    with ``n`` words; the current level's symbols ``s``, ``seg`` (stretches
+    without a gap), ``lo`` and ``hi`` (words they depend on); the numbered
+    symbols of all levels so far, ``level``, ``num``, ``first`` and ``last``.
+    """
+
+    rounds = ROUNDS
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def begin(self, texts: list[bytes]) -> dict:
         words, doc_start = word_names(texts)
         n = int(doc_start[-1])
-        names = Names(mix(words))
-        window = lambda at: names(at, at + size)
-        valid = valid_windows(doc_start, size)
-        if not valid.any():
-            none = np.empty(0, np.int64)
-            return Blocks(none, none, none.view(U), none.view(U), window, doc_start, texts)
-        doc = np.repeat(np.arange(len(texts)), np.diff(doc_start))
-        s, lo = words, np.arange(n, dtype=np.int64)
+        s, doc, lo = words, np.repeat(np.arange(len(texts)), np.diff(doc_start)), np.arange(n, dtype=np.int64)
         hi = lo + 1
-        # anchor choice, packed: level from the top, hash, number of the symbol
-        best = np.full(n, U(0xFFFFFFFFFFFFFFFF), U)
-        starts, ends = [], []
-        base = 0
-        for level in range(1, levels + 1):
-            s, doc, lo, hi = recompress(s, doc, lo, hi, level)
-            fits = (hi - lo <= size) & (lo >= 0)
-            a, b = lo[fits], hi[fits]
-            rank = (U(levels - level) << U(62)) | ((mix(s[fits]) >> U(36)) << U(34)) | (U(base) + np.arange(len(a), dtype=U))
-            low = int(a.min()) if len(a) else 0
-            p, room, r = a, size - (b - a), rank  # room: how far before the symbol a window around it may start
-            for back in range(size):
-                far = room < back
-                if far.any():
-                    near = ~far
-                    p, room, r = p[near], room[near], r[near]
-                if not len(p):
-                    break
-                at, value = p - back, r
-                if back > low:
-                    at, value = at[at >= 0], r[at >= 0]
-                np.minimum.at(best, at, value)
-            starts.append(a)
-            ends.append(b)
-            base += len(a)
-        starts, ends = np.concatenate(starts), np.concatenate(ends)
+        for level in range(1, LOCAL + 1):
+            if len(s):
+                s, doc, lo, hi = recompress(s, doc, lo, hi, level)
+        none = np.empty(0, np.int32)
+        state = {"left": np.packbits(valid_windows(doc_start, self.size)), "n": np.array([n], np.int32), "level": none, "num": np.empty(0, U), "first": none, "last": none}
+        return state | self._current(s, doc, lo, hi)
+
+    def _current(self, s, seg, lo, hi) -> dict:
+        clip = lambda x: np.clip(x, -_FAR, _FAR).astype(np.int32)
+        return {"s": s, "seg": seg.astype(np.int32), "lo": clip(lo), "hi": clip(hi)}
+
+    def keys(self, round_: int, s: dict) -> np.ndarray:
+        return mix(s["s"] + U(round_))
+
+    def hear(self, round_: int, s: dict, numbers: np.ndarray) -> dict:
+        n = int(s["n"][0])
+        left = np.unpackbits(s["left"])[:n].astype(bool)
+        lo, hi = s["lo"].astype(np.int64), s["hi"].astype(np.int64)
+        inner = (hi - lo <= self.size) & (lo >= 0)
+        # windows that hold the words of a symbol that stands once stand once
+        once = inner & (numbers == 0)
+        left &= ~_interval_flags(hi[once] - self.size, lo[once], n)
+        # a symbol is kept while a window that is left holds its words
+        before = np.concatenate([[0], np.cumsum(left)])
+        a, b = np.clip(hi - self.size, 0, n), np.clip(lo + 1, 0, n)
+        keep = inner & (numbers > 0) & (before[np.maximum(a, b)] > before[a])
+        gap = np.cumsum(~keep) + s["seg"].astype(np.int64) * 2
+        num, seg, lo, hi = numbers[keep], np.cumsum(np.diff(gap[keep], prepend=-1) != 0), lo[keep], hi[keep]
+        out = {
+            "left": np.packbits(left),
+            "n": s["n"],
+            "level": np.concatenate([s["level"], np.full(len(num), round_, np.int32)]),
+            "num": np.concatenate([s["num"], num]),
+            "first": np.concatenate([s["first"], lo.astype(np.int32)]),
+            "last": np.concatenate([s["last"], hi.astype(np.int32)]),
+        }
+        if round_ == self.rounds:
+            return out
+        return out | self._current(*(recompress(num, seg, lo, hi, LOCAL + round_) if len(num) else (num, seg, lo, hi)))
+
+    def blocks(self, texts: list[bytes], s: dict) -> Blocks:
+        words, doc_start = word_names(texts)
+        n, size = int(doc_start[-1]), self.size
+        names = WideNames(mix(words))
+        window = lambda at: names(at, at + size)
+        left = np.unpackbits(s["left"])[:n].astype(bool)
+        # anchor choice, packed: level from the top, hash of the number, which symbol
+        best, which = np.full(n, U(0xFFFFFFFFFFFFFFFF), U), np.arange(len(s["num"]), dtype=U)
+        p, last = s["first"].astype(np.int64), s["last"].astype(np.int64)
+        room, r = size - (last - p), ((ROUNDS - s["level"]).astype(U) << U(60)) | ((mix(s["num"]) >> U(38)) << U(34)) | which
+        for back in range(size):
+            near = (room >= back) & (p >= back)
+            p, room, r = p[near], room[near], r[near]
+            if not len(p):
+                break
+            np.minimum.at(best, p - back, r)
         chosen = best != U(0xFFFFFFFFFFFFFFFF)
         symbol = (best & U((1 << 34) - 1)).astype(np.int64)
-        at = np.arange(n, dtype=np.int64)
-        anchor = np.where(chosen, symbol, base + at)
-        first, last = blocks_of(anchor, valid)
-        own = ~chosen[first]
-        k = symbol[first] % max(1, base)
-        a = np.where(own, first, starts[k] if base else first)
-        b = np.where(own, first + size, ends[k] if base else first)
-        key = mix(names(a, b) + own.astype(U))
-        name = mix(names(first, last + size) * U(3) + (last - first).astype(U) * U(64) + (a - first + size).astype(U))
-        return Blocks(first, last, key, name, window, doc_start, texts)
-
-    return scan
+        start = np.arange(n, dtype=np.int64)
+        lo, hi = blocks_of(np.where(chosen, symbol, len(which) + start), left)
+        own = ~chosen[lo]
+        if len(which):
+            k = np.where(own, 0, symbol[lo])
+            key = mix(s["num"][k] * U(4) + s["level"][k].astype(U))
+            where = np.where(own, lo, s["first"][k].astype(np.int64))
+        else:
+            key, where = np.zeros(len(lo), U), lo
+        key = np.where(own, names.both[0](lo, lo + size), key)
+        shape = (hi - lo).astype(U) * U(64) + (where - lo + size).astype(U)
+        name = tuple(mix(x * U(3) + shape) for x in names(lo, hi + size))
+        return Blocks(lo, hi, key, name, window, doc_start)
 
 
 _DDL = "id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary"
@@ -127,9 +182,9 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _finish(with_text: bool):
-    def finish(table: pa.Table, b: Blocks, covered: np.ndarray) -> pa.Table:
-        spans, kept = spans_of(covered, b.doc_start), []
-        for text, cut in zip(b.payload, spans, strict=True):
+    def finish(table: pa.Table, doc_start: np.ndarray, covered: np.ndarray) -> pa.Table:
+        spans, kept = spans_of(covered, doc_start), []
+        for text, cut in zip(table["text"].to_pylist(), spans, strict=True):
             words, at, left = text.split(), 0, []
             for s, e in cut:
                 left += words[at:s]
@@ -138,7 +193,7 @@ def _finish(with_text: bool):
         return pa.table(
             {
                 "id": table["id"].cast(pa.int64()),
-                "n_words": pa.array(np.diff(b.doc_start), pa.int64()),
+                "n_words": pa.array(np.diff(doc_start), pa.int64()),
                 "n_removed": pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
                 "spans": pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPANS),
                 "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
@@ -163,10 +218,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows, volume = text_volume(docs, text_col)
     texts = own_columns(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    per_chunk = min(chunk_bytes, max(1 << 18, volume // 12))
-    bounds = range_bounds(texts.select("id", (F.octet_length("text") + 8).alias("w")), "id", "w", per_chunk)
-    chunked = texts.select(shard_of("id", bounds).cast("int").alias("chunk"), "id", "text")
-    return covered_tokens(chunked, scanner(size), _finish(with_text), _DDL, max(1, len(bounds)), size, first_stays=True)
+    chunked, n_owners = chunks(texts, volume, rows, chunk_bytes)
+    return covered_tokens(chunked, Symbols(size), _finish(with_text), _DDL, n_owners, size, first_stays=True)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

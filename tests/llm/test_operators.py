@@ -109,10 +109,31 @@ def test_near_dedup_in_blocks(spark, monkeypatch):
             w[r.randrange(len(w))] = f"x{r.randrange(1000)}"
         rows.append((i, " ".join(w), "a"))
     monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    monkeypatch.setattr(near_dedup, "CROWD", 5)
     got = Counter((x.id, x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_groups(docs(spark, rows), shingle=4).collect())
     assert got == Counter(brute_near(rows, 4))
 
 
+def test_near_dedup_of_a_crowd_over_many_partitions(spark):
+    """More equal starts than a group may hold, dealt over many partitions, null and repeated ids: as brute force."""
+    r = random.Random(6)
+    rows = []
+    for family in range(8):
+        base = prose(r, 50).split()
+        for i in range(40):
+            w = list(base)
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(len(w))] = f"x{r.randrange(1000)}"
+            rows.append((None if i % 10 == 3 else 7 if i % 10 == 4 else family * 100 + i, " ".join(w), "a"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = Counter((x.id, x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_groups(docs(spark, rows).repartition(11), shingle=4).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == Counter(brute_near(rows, 4))
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(500 + i, 501 + i) for i in range(40)] + [(None, 1), (2, 2)]
@@ -427,3 +448,32 @@ def test_encoder_forgets_and_still_agrees(monkeypatch):
         texts = [" ".join("".join(r.choice("abcÀß'7.-<|中́sSt") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 30))) for _ in range(20)]
         got = encode([t.encode() for t in texts])
         assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_banded_alignment():
+    r = random.Random(2)
+    code = lambda t: np.array([ord(c) for c in t], np.uint64)
+    for _ in range(60):
+        p = "".join(r.choice("ab") for _ in range(r.randint(3, 12)))
+        t = "".join(r.choice("ab") for _ in range(r.randint(3, 14)))
+        assert decontamination.align([code(p)], code(t), np.array([-len(p)]), 2 * len(p) + len(t))[0] == edits(p, t)
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_decontamination_of_rules_and_long_texts(n):
+    """Repeated characters, periods and long texts stay cheap; what is found is what brute force finds."""
+    import tracemalloc
+
+    r = random.Random(21)
+    passage = prose(r, 40, 3000)
+    items = [(i, "a" * i + " " + "=" * 200 + " " + "=-" * 100) for i in range(n)] + [(900, passage)]
+    index = decontamination.Index.build(items)
+    texts = ["=" * 100_000, "=-" * 400, prose(r, 60_000, 4000) + " " + passage + " " + prose(r, 100, 4000), "-=" * 40 + " x"]
+    tracemalloc.start()
+    found = decontamination.find([decontamination.normalise(t) for t in texts], index)
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert found[0] == [] and found[3] == []
+    assert [x[0] for x in found[1]] == list(range(n))
+    (item, a, e), = found[2]
+    assert item == 900 and passage in decontamination.normalise(texts[2])[a:e]

@@ -72,6 +72,26 @@ def test_words_match_brute_force(spark, seed):
     assert got == sorted(map(repr, brute_words(docs, 20)))
 
 
+def test_bytes_of_production_length(spark):
+    r = random.Random(9)
+    base = corpus(2, 4000)
+    long = [" ".join(f"v{r.randrange(3000)}" for _ in range(r.randint(40, 200))) for _ in range(6)]
+    docs = base + [(5000 + i, r.choice(long)[: r.randint(300, 900)] + " " + " ".join(f"u{r.randrange(9000)}" for _ in range(40)) + " " + r.choice(long)[r.randint(0, 300) :]) for i in range(30)]
+    docs += [(6000, "ab" * 1500), (6001, long[0] + long[0])]
+    out = suffix_dedup.remove_repeats(frame(spark, docs), chunk_bytes=20_000)
+    got = sorted(map(repr, ((r.id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in out.collect())))
+    assert got == sorted(map(repr, brute_bytes(docs, 400))) and any(n for _, _, n, _, _ in brute_bytes(docs, 400))
+
+
+def test_words_of_one_id_keep_the_order_of_texts(spark):
+    r = random.Random(4)
+    shared = " ".join(f"s{i}" for i in range(40))
+    docs = [(None if i % 2 else 5, f"{r.choice('abc')}{i} " + shared + f" t{i}") for i in range(24)]
+    out = substring_dedup.remove_repeats(frame(spark, docs), chunk_bytes=300)
+    got = sorted(map(repr, ((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect())))
+    assert got == sorted(map(repr, brute_words(docs, 20)))
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert suffix_dedup.remove_repeats(none).count() == 0
