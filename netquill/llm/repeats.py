@@ -192,14 +192,19 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+#: Bits of a key that are asked with: two keys that agree in 48 bits get one number, which costs a comparison and loses nothing.
+_ASKED = U(0xFFFFFFFFFFFF0000)
+
+
 def _asked(keys: np.ndarray, chunk: int, n_owners: int) -> list[tuple]:
-    values, count = np.unique(keys, return_counts=True)
-    return [(o, chunk, ASK, values[a:e].tobytes(), np.packbits(count[a:e] > 1).tobytes(), None) for o, a, e in _slices(values, n_owners)]
+    values, count = np.unique(keys & _ASKED, return_counts=True)
+    steps = lambda a, e: _pack({"k": (values[a:e] >> U(16)).astype(np.int64)})
+    return [(o, chunk, ASK, steps(a, e), np.packbits(count[a:e] > 1).tobytes(), None) for o, a, e in _slices(values, n_owners)]
 
 
 def _numbers(keys: np.ndarray, answers: list[dict], n_owners: int) -> np.ndarray:
     """Every key's global number, 0 for those that stand once."""
-    values, inverse = np.unique(keys, return_inverse=True)
+    values, inverse = np.unique(keys & _ASKED, return_inverse=True)
     found = np.zeros(len(values), U)
     by_owner = {r["sender"]: r for r in answers}
     for o, a, e in _slices(values, n_owners):
@@ -213,7 +218,7 @@ def _number(table: pa.Table) -> pa.Table:
     """An owner's part of a numbering round; states only pass."""
     asks, out = _of(table, ASK), [(r["to"], r["sender"], STATE, r["a"], None, None) for r in _of(table, STATE)]
     if asks:
-        keys = [np.frombuffer(r["a"], U) for r in asks]
+        keys = [_unpack(r["a"])["k"] for r in asks]
         many = np.concatenate([np.unpackbits(np.frombuffer(r["b"], np.uint8))[: len(k)] for r, k in zip(asks, keys, strict=True)])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         again = (np.bincount(inverse) > 1) | (np.bincount(inverse, many) > 0)
@@ -230,7 +235,7 @@ def _received(rows: list[dict], wide: int):
     a = [np.frombuffer(r["a"], U).reshape(-1, wide) for r in rows]
     sizes = [len(x) for x in a]
     many = np.concatenate([np.unpackbits(np.frombuffer(r["b"], np.uint8))[:n] for r, n in zip(rows, sizes, strict=True)]).astype(bool)
-    order = [np.frombuffer(r["c"], U).reshape(-1, 2) if r["c"] else np.zeros((n, 2), U) for r, n in zip(rows, sizes, strict=True)]
+    order = [np.stack([*_unpack(r["c"]).values()], 1) if r["c"] else np.zeros((n, 2), U) for r, n in zip(rows, sizes, strict=True)]
     return np.concatenate(a).T, np.concatenate(order).T, many, sizes
 
 
@@ -322,8 +327,9 @@ def covered_tokens(chunked: DataFrame, items, finish: Callable, result_ddl: str,
 
     def heard(round_: int, state: dict, answers: list[dict], chunk: int) -> pa.Table:
         state = items.hear(round_, state, _numbers(items.keys(round_, state), answers, n_owners))
+        packed = _pack(state)
         asks = _asked(items.keys(round_ + 1, state), chunk, n_owners) if round_ < items.rounds else []
-        return _rows([*asks, (chunk, chunk, STATE, _pack(state), None, None)])
+        return _rows([*asks, (chunk, chunk, STATE, packed, None, None)])
 
     def hear_first(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
@@ -348,7 +354,7 @@ def covered_tokens(chunked: DataFrame, items, finish: Callable, result_ddl: str,
         return _doc_order(table)[:, np.searchsorted(b.doc_start, at, side="right") - 1] if first_stays else None
 
     def message(kind: int, chunk: int, cols: np.ndarray, many: np.ndarray, order_of) -> pa.Table:
-        return _rows([(o, chunk, kind, np.ascontiguousarray(cols[:, a:e].T).tobytes(), np.packbits(many[a:e]).tobytes(), None if order_of is None else np.ascontiguousarray(order_of[:, a:e].T).tobytes()) for o, a, e in _slices(cols[0], n_owners)])
+        return _rows([(o, chunk, kind, np.ascontiguousarray(cols[:, a:e].T).tobytes(), np.packbits(many[a:e]).tobytes(), None if order_of is None else _pack({"id": order_of[0, a:e], "text": order_of[1, a:e]})) for o, a, e in _slices(cols[0], n_owners)])
 
     def send_blocks(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):

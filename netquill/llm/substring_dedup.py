@@ -89,9 +89,10 @@ class Symbols:
     """Symbols of a chunk and the windows that are left.
 
     State: ``left`` (a bit per word: does a window that is left start there)
-    with ``n`` words; the current level's symbols ``s``, ``seg`` (stretches
-    without a gap), ``lo`` and ``hi`` (words they depend on); the numbered
-    symbols of all levels so far, ``level``, ``num``, ``first`` and ``last``.
+    with ``n`` words; the numbered symbols of all levels so far, in text order
+    by level: ``level``, ``num``, ``seg`` (stretches without a gap), ``first``
+    and ``last`` (words they depend on).  A level's names are made anew from the
+    numbers below, so only numbers move.  After the last round: blocks.
     """
 
     rounds = ROUNDS
@@ -108,20 +109,24 @@ class Symbols:
             if len(s):
                 s, doc, lo, hi = recompress(s, doc, lo, hi, level)
         none = np.empty(0, np.int32)
-        state = {"left": np.packbits(valid_windows(doc_start, self.size)), "n": np.array([n], np.int32), "level": none, "num": np.empty(0, U), "first": none, "last": none}
-        return state | self._current(s, doc, lo, hi)
+        state = {"left": np.packbits(valid_windows(doc_start, self.size)), "n": np.array([n], np.int32), "level": none, "num": np.empty(0, U), "seg": none, "first": none, "last": none}
+        return state | {"now": (s, doc, np.clip(lo, -_FAR, _FAR), np.clip(hi, -_FAR, _FAR))}
 
-    def _current(self, s, seg, lo, hi) -> dict:
-        clip = lambda x: np.clip(x, -_FAR, _FAR).astype(np.int32)
-        return {"s": s, "seg": seg.astype(np.int32), "lo": clip(lo), "hi": clip(hi)}
+    def _now(self, round_: int, s: dict) -> tuple:
+        """The symbols of a round: names, stretches, and the words they depend on."""
+        if "now" not in s:
+            mine = s["level"] == round_ - 1
+            below = s["num"][mine], s["seg"][mine].astype(np.int64), s["first"][mine].astype(np.int64), s["last"][mine].astype(np.int64)
+            s["now"] = recompress(*below, LOCAL + round_ - 1) if mine.any() else below
+        return s["now"]
 
     def keys(self, round_: int, s: dict) -> np.ndarray:
-        return mix(s["s"] + U(round_))
+        return mix(self._now(round_, s)[0] + U(round_))
 
     def hear(self, round_: int, s: dict, numbers: np.ndarray) -> dict:
         n = int(s["n"][0])
         left = np.unpackbits(s["left"])[:n].astype(bool)
-        lo, hi = s["lo"].astype(np.int64), s["hi"].astype(np.int64)
+        _, seg, lo, hi = self._now(round_, s)
         inner = (hi - lo <= self.size) & (lo >= 0)
         # windows that hold the words of a symbol that stands once stand once
         once = inner & (numbers == 0)
@@ -130,31 +135,24 @@ class Symbols:
         before = np.concatenate([[0], np.cumsum(left)])
         a, b = np.clip(hi - self.size, 0, n), np.clip(lo + 1, 0, n)
         keep = inner & (numbers > 0) & (before[np.maximum(a, b)] > before[a])
-        gap = np.cumsum(~keep) + s["seg"].astype(np.int64) * 2
-        num, seg, lo, hi = numbers[keep], np.cumsum(np.diff(gap[keep], prepend=-1) != 0), lo[keep], hi[keep]
-        out = {
-            "left": np.packbits(left),
-            "n": s["n"],
-            "level": np.concatenate([s["level"], np.full(len(num), round_, np.int32)]),
-            "num": np.concatenate([s["num"], num]),
-            "first": np.concatenate([s["first"], lo.astype(np.int32)]),
-            "last": np.concatenate([s["last"], hi.astype(np.int32)]),
+        gap = np.cumsum(~keep) + seg * 2
+        mine = {
+            "level": np.full(int(keep.sum()), round_, np.int32),
+            "num": numbers[keep],
+            "seg": np.cumsum(np.diff(gap[keep], prepend=-1) != 0).astype(np.int32),
+            "first": lo[keep].astype(np.int32),
+            "last": hi[keep].astype(np.int32),
         }
-        if round_ == self.rounds:
-            return out
-        return out | self._current(*(recompress(num, seg, lo, hi, LOCAL + round_) if len(num) else (num, seg, lo, hi)))
+        out = {"left": np.packbits(left), "n": s["n"]} | {k: np.concatenate([s[k], v]) for k, v in mine.items()}
+        return self._anchors(out, left, n) if round_ == self.rounds else out
 
-    def blocks(self, texts: list[bytes], s: dict) -> Blocks:
-        words, doc_start = word_names(texts)
-        n, size = int(doc_start[-1]), self.size
-        names = WideNames(mix(words))
-        window = lambda at: names(at, at + size)
-        left = np.unpackbits(s["left"])[:n].astype(bool)
-        # anchor choice, packed: level from the top, hash of the number, which symbol
+    def _anchors(self, s: dict, left: np.ndarray, n: int) -> dict:
+        """Blocks of windows with one anchor: ``lo``, ``hi``, the anchor's number, level (0: the window itself) and first word."""
+        # packed: level from the top, hash of the number, which symbol
         best, which = np.full(n, U(0xFFFFFFFFFFFFFFFF), U), np.arange(len(s["num"]), dtype=U)
         p, last = s["first"].astype(np.int64), s["last"].astype(np.int64)
-        room, r = size - (last - p), ((ROUNDS - s["level"]).astype(U) << U(60)) | ((mix(s["num"]) >> U(38)) << U(34)) | which
-        for back in range(size):
+        room, r = self.size - (last - p), ((ROUNDS - s["level"]).astype(U) << U(60)) | ((mix(s["num"]) >> U(38)) << U(34)) | which
+        for back in range(self.size):
             near = (room >= back) & (p >= back)
             p, room, r = p[near], room[near], r[near]
             if not len(p):
@@ -162,18 +160,23 @@ class Symbols:
             np.minimum.at(best, p - back, r)
         chosen = best != U(0xFFFFFFFFFFFFFFFF)
         symbol = (best & U((1 << 34) - 1)).astype(np.int64)
-        start = np.arange(n, dtype=np.int64)
-        lo, hi = blocks_of(np.where(chosen, symbol, len(which) + start), left)
+        lo, hi = blocks_of(np.where(chosen, symbol, len(which) + np.arange(n, dtype=np.int64)), left)
         own = ~chosen[lo]
-        if len(which):
-            k = np.where(own, 0, symbol[lo])
-            key = mix(s["num"][k] * U(4) + s["level"][k].astype(U))
-            where = np.where(own, lo, s["first"][k].astype(np.int64))
-        else:
-            key, where = np.zeros(len(lo), U), lo
-        key = np.where(own, names.both[0](lo, lo + size), key)
-        shape = (hi - lo).astype(U) * U(64) + (where - lo + size).astype(U)
-        name = tuple(mix(x * U(3) + shape) for x in names(lo, hi + size))
+        if not len(which):
+            none = np.zeros(len(lo), np.int32)
+            return {"lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "num": np.zeros(len(lo), U), "level": none, "where": lo.astype(np.int32)}
+        k = np.where(own, 0, symbol[lo])
+        found = {"lo": lo, "hi": hi, "level": np.where(own, 0, s["level"][k]), "where": np.where(own, lo, s["first"][k])}
+        return {c: v.astype(np.int32) for c, v in found.items()} | {"num": np.where(own, U(0), s["num"][k])}
+
+    def blocks(self, texts: list[bytes], s: dict) -> Blocks:
+        words, doc_start = word_names(texts)
+        names = WideNames(mix(words))
+        window = lambda at: names(at, at + self.size)
+        lo, hi, where = (s[c].astype(np.int64) for c in ("lo", "hi", "where"))
+        key = np.where(s["level"] == 0, names.both[0](lo, lo + self.size), mix(s["num"] * U(4) + s["level"].astype(U)))
+        shape = (hi - lo).astype(U) * U(64) + (where - lo + self.size).astype(U)
+        name = tuple(mix(x * U(3) + shape) for x in names(lo, hi + self.size))
         return Blocks(lo, hi, key, name, window, doc_start)
 
 
