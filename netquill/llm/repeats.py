@@ -19,8 +19,8 @@ keys only, so a passage that a third of all rows share costs one entry a chunk.
 * Chunks spell out the windows of mixed blocks, one message a distinct window;
   owners answer which windows stand elsewhere, and chunks mark covered tokens.
 
-What decides is a window's 128-bit name: two independent 64-bit names of its
-content.  All rounds read one shuffle of the texts by chunk; between numbering
+What decides is 112 bits of a block (48 of its anchor's number, 64 of an
+independent name of all it covers) or 128 of a window (two independent names).  All rounds read one shuffle of the texts by chunk; between numbering
 rounds only the items that are left move.
 """
 
@@ -230,9 +230,9 @@ def _number(table: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-def _received(rows: list[dict], wide: int):
+def _received(rows: list[dict]):
     """Keys, names, order of document and whether a chunk has it more than once, of all entries; and entries per row."""
-    a = [np.frombuffer(r["a"], U).reshape(-1, wide) for r in rows]
+    a = [np.stack([*_unpack(r["a"]).values()], 1).astype(U) for r in rows]
     sizes = [len(x) for x in a]
     many = np.concatenate([np.unpackbits(np.frombuffer(r["b"], np.uint8))[:n] for r, n in zip(rows, sizes, strict=True)]).astype(bool)
     order = [np.stack([*_unpack(r["c"]).values()], 1) if r["c"] else np.zeros((n, 2), U) for r, n in zip(rows, sizes, strict=True)]
@@ -247,7 +247,7 @@ def _replies(rows: list[dict], kind: int, codes: np.ndarray, sizes: list[int]) -
 def _judge_blocks(first_stays: bool):
     def judge(table: pa.Table) -> pa.Table:
         rows = _of(table, BLOCK)
-        (key, *name), order_of, many, sizes = _received(rows, 3)
+        (key, *name), order_of, many, sizes = _received(rows)
         order = np.lexsort((*order_of[::-1], *name, key))
         k = key[order]
         new_k = np.ones(len(order), bool)
@@ -279,7 +279,7 @@ def _judge_blocks(first_stays: bool):
 def _judge_windows(first_stays: bool):
     def judge(table: pa.Table) -> pa.Table:
         rows = _of(table, WINDOW)
-        name, order_of, many, sizes = _received(rows, 2)
+        name, order_of, many, sizes = _received(rows)
         order = np.lexsort((*order_of[::-1], *name[::-1]))
         new = np.ones(len(order), bool)
         new[1:] = (name[:, order][:, 1:] != name[:, order][:, :-1]).any(axis=0)
@@ -293,9 +293,9 @@ def _judge_windows(first_stays: bool):
 
 
 def _doc_order(table: pa.Table) -> np.ndarray:
-    """Two numbers a document that sort as (id, text) does: the id, nulls first, and the text's first eight bytes."""
+    """Two numbers a document that sort as (id, text) does: the id, nulls first, and the text's first three bytes."""
     ids = np.array([0 if i is None else max(1, i + (1 << 63)) for i in table["id"].to_pylist()], U)
-    return np.stack([ids, np.array([int.from_bytes(t[:8].ljust(8, b"\0"), "big") for t in table["text"].to_pylist()], U)])
+    return np.stack([ids, np.array([int.from_bytes(t[:3].ljust(3, b"\0"), "big") for t in table["text"].to_pylist()], U)])
 
 
 def chunks(texts: DataFrame, volume: int, rows: int, chunk_bytes: int) -> tuple[DataFrame, int]:
@@ -305,7 +305,7 @@ def chunks(texts: DataFrame, volume: int, rows: int, chunk_bytes: int) -> tuple[
     documents is the order of the whole texts.
     """
     n = max(1, min(rows, -(-volume // min(chunk_bytes, max(1 << 18, volume // 12)))))
-    return texts.select(F.pmod(F.xxhash64("id", F.substring("text", 1, 8)), F.lit(n)).cast("int").alias("chunk"), "id", "text"), max(1, min(n, -(-volume // OWNER_BYTES)))
+    return texts.select(F.pmod(F.xxhash64("id", F.substring("text", 1, 3)), F.lit(n)).cast("int").alias("chunk"), "id", "text"), max(1, min(n, -(-volume // OWNER_BYTES)))
 
 
 def covered_tokens(chunked: DataFrame, items, finish: Callable, result_ddl: str, n_owners: int, size: int, first_stays: bool) -> DataFrame:
@@ -347,20 +347,23 @@ def covered_tokens(chunked: DataFrame, items, finish: Callable, result_ddl: str,
     def parsed(table: pa.Table, replies: pa.Table):
         table = ordered(table)
         b = items.blocks(table["text"].to_pylist(), _unpack(_of(replies, STATE)[0]["a"]))
-        order, count, number, first = _groups(b.key, *b.name)
+        b.key &= _ASKED
+        order, count, number, first = _groups(b.key, b.name[0])
         return table, b, order, count, number, first, np.frombuffer(b"".join(r["a"] for r in _of(replies, CODES)), np.uint8)
 
     def places(table: pa.Table, b: Blocks, at: np.ndarray) -> np.ndarray | None:
         return _doc_order(table)[:, np.searchsorted(b.doc_start, at, side="right") - 1] if first_stays else None
 
     def message(kind: int, chunk: int, cols: np.ndarray, many: np.ndarray, order_of) -> pa.Table:
-        return _rows([(o, chunk, kind, np.ascontiguousarray(cols[:, a:e].T).tobytes(), np.packbits(many[a:e]).tobytes(), None if order_of is None else _pack({"id": order_of[0, a:e], "text": order_of[1, a:e]})) for o, a, e in _slices(cols[0], n_owners)])
+        # sorted by their first column, whose upper 48 bits (a block's key has no more) go as steps
+        pack = lambda x: _pack({"0": (x[0] >> U(16)).astype(np.int64), **({} if kind == BLOCK else {"low": x[0] & U(0xFFFF)}), "1": x[1]})
+        return _rows([(o, chunk, kind, pack(cols[:, a:e]), np.packbits(many[a:e]).tobytes(), None if order_of is None else _pack({"id": order_of[0, a:e], "text": order_of[1, a:e]})) for o, a, e in _slices(cols[0], n_owners)])
 
     def send_blocks(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return _rows([])
         table, b, order, count, *_ = parsed(table, replies)
-        return message(BLOCK, table["chunk"][0].as_py(), np.stack([b.key, *b.name])[:, order], count > 1, places(table, b, b.lo[order]))
+        return message(BLOCK, table["chunk"][0].as_py(), np.stack([b.key, b.name[0]])[:, order], count > 1, places(table, b, b.lo[order]))
 
     def send_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):

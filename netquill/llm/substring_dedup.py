@@ -32,7 +32,7 @@ from .repeats import CHUNK_BYTES, U, Blocks, WideNames, blocks_of, chunks, cover
 
 WORDS = 20
 #: Levels made inside documents, and levels numbered by Spark rounds (the first of these is the last of those).
-LOCAL, ROUNDS = 2, 3
+LOCAL, ROUNDS = 2, 2
 _FAR = 1 << 30
 
 
