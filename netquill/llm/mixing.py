@@ -20,6 +20,9 @@ WEIGHTS = (5, 2, 1)
 #: Ramp slopes dealt alike: sources of weight 5 fade out, those of weight 1 fade in.
 SLOPES = (0.5, 0.0, -0.5)
 MAX_REPEATS = 3
+#: Columns that :func:`mix` adds, and those it needs on the way.
+ADDED = ("_size", "_source_size", "_target", "_slope", "_before", "_copies", "_taken", "_position")
+ON_THE_WAY = ("_source", "_bucket", "_digest", "_start", "_inner", "_rounds", "_copy")
 #: Leading hex digits of a document's md5 that make its bucket; a bucket is the unit of the running sums.
 BUCKET_DIGITS = 3
 
@@ -50,7 +53,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, slopes=SLOPES) -> DataFram
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Adds to every document ``_size``, ``_source_size``, ``_target``, ``_taken``, ``_before`` and ``_position``.
+    """Adds to every document ``_size``, ``_source_size``, ``_target``, ``_taken``, ``_copies``, ``_before``, ``_slope`` and ``_position``.
 
     Documents of a source stand in md5 order of their id.  All give
     ``floor(target / source_size)`` copies; in the last, partial round those
@@ -61,12 +64,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null text has size 0 and is never taken; the null source is a source of its
     own, last in order.  Repeated rows are separate documents that follow each
-    other.  If all sizes are 0 every target is 0.  Other columns pass through,
-    unless they bear one of the added names.
+    other.  If all sizes are 0 every target is 0.  Other columns pass through;
+    one that bears an added name is replaced.
 
     Running sums go over (source, bucket) first and inside a bucket then, so a
     hot source is dealt over all of its buckets.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    aside = {c: f"held {i} {c}" for i, c in enumerate(docs.columns) if c.lower() in ON_THE_WAY}
+    docs = docs.withColumnsRenamed(aside)
+    id_col, text_col, source_col = (aside.get(c, c) for c in (id_col, text_col, source_col))
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
     digest = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
     sized = docs.withColumns({"_size": size, "_source": source_key(source_col), "_digest": digest})
@@ -90,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = out.withColumn("_copies", F.when(F.col("_size") > 0, F.col("_rounds") + extra.cast("long")).otherwise(F.lit(0)))
     out = out.withColumn("_taken", F.col("_copies") * F.col("_size"))
     out = out.withColumn("_position", F.when(F.col("_copies") > 0, position(F.col("_before"))))
-    return out.drop("_source", "_bucket", "_start", "_inner", "_digest", "_rounds")
+    return out.drop(*ON_THE_WAY).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def source_key(source_col: str):
@@ -108,21 +115,23 @@ def position(words):
 
 def training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Every copy as a row of its own, range-sorted by its training position."""
-    copies = mixed.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    copies = mixed.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))  # a column of that name is replaced
     at = position(F.col("_before") + F.col("_copy") * F.col("_source_size"))
     return copies.withColumn("_position", at).orderBy("_position", id_col, "_copy")
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select(
+    mixed = mix(docs).select(
         "doc_id",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
         F.col("_taken").alias("taken"),
-        F.round("_position", 6).alias("position"),
+        "_position",
     )
+    # documents the mix does not take stand first
+    return mixed.orderBy("_position", "doc_id").withColumn("_position", F.round("_position", 6)).withColumnRenamed("_position", "position")
 
 
 OP5_SQL = r"""

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import held_out
 from .toxicity import training_sample
 
-#: Bound of the training sample and of what is broadcast.
-SAMPLE_PER_LABEL, SAMPLE_CHARS = 1_500, 20_000
+#: Bound of the training sample and of what is broadcast: documents of each label, and characters of these together.
+SAMPLE_PER_LABEL, SAMPLE_CHARS = 1_500, 10_000_000
 TERM_BITS = 13
 AXES, NEIGHBOURS, BLOCK = 48, 15, 256
 MEMO_WORDS = 400_000

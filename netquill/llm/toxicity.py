@@ -16,13 +16,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, lean_batches, own_columns, trim
 
-#: Bound of the training sample: documents of each label, by the md5 order of their ids, and characters of each.
-SAMPLE_PER_LABEL, SAMPLE_CHARS = 1_500, 20_000
+#: Bound of the training sample: documents of each label, by the md5 order of their ids, and characters of each label's
+#: documents together. Texts are taken whole; one longer than a tenth of that is not taken.
+SAMPLE_PER_LABEL, SAMPLE_CHARS = 1_500, 10_000_000
 DIM_BITS = 19
 SEGMENT = 48
 MEMO_WORDS = 150_000
@@ -299,15 +300,24 @@ class Tagger:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, chars: int) -> list:
-    """At most ``per_label`` documents of each label outside the held-out fold, by md5 of the id."""
+    """At most ``per_label`` documents of each label outside the held-out fold, by md5 of the id.
+
+    Whole texts, as many as ``chars`` characters a label hold together; none
+    longer than a tenth of that.  Rows without id, text or label 0 or 1 are
+    left out; an id labelled twice counts as 1 if one of them is, and of an
+    id's texts the least in code points is taken.
+    """
     lab = own_columns(labels, id="doc_id", y=label).where(F.col("y").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     order = F.md5(F.col("id").cast("string"))
     picked = None
     for y in (0, 1):
         part = lab.where(F.col("y") == y).orderBy(order).limit(per_label)
         picked = part if picked is None else picked.unionByName(part)
-    text = own_columns(docs, id="doc_id", text="text").where("text is not null")
-    got = text.join(F.broadcast(picked), "id").select("id", "y", F.substring("text", 1, chars).alias("text")).dropDuplicates(["id"])
+    text = own_columns(docs, id="doc_id", text="text").where(F.col("text").isNotNull() & (F.length("text") * 10 <= chars))
+    got = text.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    # a window over 2 * per_label rows at most
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy(order, "id"))
+    got = got.withColumn("so_far", so_far).where(F.col("so_far") <= chars).drop("so_far")
     return sorted(got.collect(), key=lambda r: r.id)
 
 
@@ -324,7 +334,7 @@ def score_documents(docs: DataFrame, model: dict, text_col: str = "text") -> Dat
     """All columns of ``docs`` plus ``score``, ``n_toxic_tokens`` and ``spans`` (character offsets).
 
     Null and empty texts score 0.  Columns of those three names are replaced.
-    The model is bounded (2^17 weights) and travels with the broadcast.
+    The model is bounded (2^19 weights) and travels with the broadcast.
     """
     lean_batches(docs.sparkSession)
     docs = docs.drop("score", "n_toxic_tokens", "spans")

@@ -245,10 +245,32 @@ def test_mixing(spark):
     order = mixing.training_order(mixing.mix(docs(spark, rows))).select("_position", "_size").collect()
     assert [r._position for r in order] == sorted(r._position for r in order)
     assert sum(r._size for r in order) == sum(taken.values())
+    clash = docs(spark, rows).withColumns({c: F.lit(c) for c in ("_start", "_bucket", "_digest", "_source", "_inner", "_rounds", "_Copy", "_slope", "_target")})
+    held = mixing.mix(clash)
+    assert key(held.collect()) == key(got)
+    assert {(r._start, r._bucket, r._digest, r._source, r._inner, r._rounds, r._Copy) for r in held.collect()} == {("_start", "_bucket", "_digest", "_source", "_inner", "_rounds", "_Copy")}
     assert mixing.mix(docs(spark, [])).count() == 0
     assert {r._taken for r in mixing.mix(docs(spark, [(1, None, "a"), (2, "", None)])).collect()} == {0}
 
 
+def test_training_sample_takes_whole_texts(spark):
+    rows = [(i, prose(random.Random(i), 30 + i), "a") for i in range(40)] + [(40, "x " * 3000, "a"), (41, None, "a"), (5, "a", "a")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(42)] + [(4, 1, 1), (None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    fold = {i for i in range(42) if zlib.crc32(str(i).encode()) % 5}
+    whole = toxicity.training_sample(docs(spark, rows), labels, "toxic", 100, 10**6)
+    text = {r[0]: r[1] for r in rows} | {5: "a"}
+    assert {r.id for r in whole} == fold - {41} and all(r.text == text[r.id] and r.y == (r.id % 2 or r.id == 4) for r in whole)
+    few = toxicity.training_sample(docs(spark, rows), labels, "toxic", 100, 4000)
+    order = sorted(fold - {40, 41}, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    for y in (0, 1):
+        want, total = [], 0
+        for i in (i for i in order if (i % 2 or i == 4) == y and len(text[i]) <= 400):
+            total += len(text[i])
+            if total <= 4000:
+                want.append(i)
+        assert sorted(want) == [r.id for r in few if r.y == y]
+
+
 def test_curriculum_follows_its_schedule(spark):
     """Sources of rising weight give more words in the second half of training than in the first."""
     rows = [(i, prose(random.Random(i), 50), "abc"[i % 3]) for i in range(300)]

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netquill.llm import decontamination, token_output
@@ -33,7 +34,7 @@ def folder(spark, tmp_path_factory):
         w = rows[i][1].split()
         w[3] = "changed"
         rows.append((1000 + i, " ".join(w), "en", "b", 0))
-    rows += [(2000, None, None, None, None), (2001, "", "en", "a", 0), (None, "no id at all here", "en", "a", 1), (3, rows[3][1], "en", rows[3][3], rows[3][4])]
+    rows += [(2000, None, None, None, None), (2001, "", "en", "a", 0), (None, "no id at all here", "en", "a", 1), (3, rows[3][1], "en", rows[3][3], rows[3][4]), (5001, rows[1][1], "en", "b", 0), (5001, prose(r, 60), "en", "b", 0), (None, rows[1][1], "en", "b", 0)]
     path = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -52,7 +53,7 @@ def test_pipeline(spark, folder):
 
     near = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(kept, docs.schema), path)
     judged = list(brute_near([(r[0], r[1], r[3]) for r in kept], 5))
-    want = {(r[0], r[1]) for r, j in zip(kept, judged, strict=True) if j[3] or r[0] is None}
+    want = {(r[0], r[1]) for r, j in zip(kept, judged, strict=True) if j[3]}
     got = [(r.doc_id, r.text) for r in near.collect()]
     assert Counter(got) == Counter(want)
 
@@ -74,3 +75,16 @@ def test_pipeline(spark, folder):
         want[(r[0], len(ids), zlib.crc32(ids.tobytes()))] += n
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, path).collect()) == want
+
+
+def test_stages_leave_other_columns(spark, folder):
+    """Columns that bear the names operators use come out as they went in, and empty tables stay empty."""
+    path, rows, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(60)
+    names = ["score", "spans", "_size", "_start", "_slope", "_target", "_copy", "bench_items", "print", "id", "node"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id"), F.lit(-1))) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, path)
+        assert got.columns == wide.columns, name
+        assert all(r[n] == f"{n}{-1 if r.doc_id is None else r.doc_id}" for r in got.collect() for n in names)
+        assert stage(spark, wide.limit(0), path).count() == 0
