@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import math
 import os
 import re
 import zlib
@@ -38,7 +39,7 @@ END_ID = 2
 MEMO_PIECES = 250_000
 #: Text that is encoded at once.
 PART_BYTES = 8 << 20
-#: The dictionary is for short documents: it is trained on whole texts of at most DICT_CHARS characters, the first in md5 order of the ids, at most so many and of so many bytes.
+#: The dictionary is for short documents: it is trained on whole texts of at most DICT_CHARS characters, the first in md5 order of id and text, at most so many and of so many bytes.
 DICT_DOCS, DICT_CHARS, DICT_BYTES, DICT_SIZE = 2_000, 20_000, 4 << 20, 64 << 10
 SHARD_BYTES = 24 << 20
 
@@ -193,14 +194,32 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def dictionary_sample(docs: DataFrame) -> list[str]:
+    """The first DICT_DOCS short texts in md5 order of id and text; rows equal in both count once.
+
+    Only rows in a leading share of the md5 range are sorted.  The share is
+    made to hold four times the rows that are asked for, and widened until it
+    holds enough or is the whole, so the sample is that of a full sort but no
+    task receives some rows of every other.
+    """
+    short = docs.where(F.length("text") <= DICT_CHARS)
+    share = min(1.0, 4 * DICT_DOCS / max(1, short.count()))
+    order = F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
+    placed = short.select(order.alias("order"), "text")
+    while True:
+        lead = placed.where(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") < F.lit(math.ceil(share * 2**32)))
+        found = lead.groupBy("order").agg(F.min("text").alias("text")).orderBy("order").limit(DICT_DOCS).collect()
+        if len(found) == DICT_DOCS or share >= 1:
+            return [r.text for r in found]
+        share = min(1.0, 4 * share)
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """Dictionary content from a bounded sample of short documents (see :data:`DICT_DOCS`); empty if it is too small to train on."""
-    order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    short = docs.where(F.length("text") <= DICT_CHARS).orderBy(order, F.octet_length("text"), "text").select("text").limit(DICT_DOCS)
     samples, size = [], 0
     encode = WordEncoder(tokenizer)
-    for r in short.toLocalIterator():
-        ids = encode([r.text.encode()])[0]
+    for text in dictionary_sample(docs):
+        ids = encode([text.encode()])[0]
         samples.append(ids.astype("<u4").tobytes())
         size += len(samples[-1])
         if size > DICT_BYTES:

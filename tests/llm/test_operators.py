@@ -271,6 +271,17 @@ def test_training_sample_takes_whole_texts(spark):
         assert sorted(want) == [r.id for r in few if r.y == y]
 
 
+def test_dictionary_sample_is_that_of_a_full_sort(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "DICT_DOCS", 20)
+    monkeypatch.setattr(token_output, "DICT_CHARS", 400)
+    rows = [(i, prose(random.Random(i), 20 + i)) for i in range(300)] + [(None, prose(random.Random(-i), 9)) for i in range(1, 9)] + [(3, "again")] * 4000
+    frame = spark.createDataFrame(rows, "id long, text string")
+    keyed = frame.where(F.length("text") <= 400).distinct().select(F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))).alias("k"), "text").collect()
+    assert token_output.dictionary_sample(frame) == [r.text for r in sorted(keyed, key=lambda r: r.k)[:20]]
+    assert token_output.dictionary_sample(frame.limit(0)) == []
+    assert len(token_output.dictionary_sample(frame.where("id is null"))) == 8
+
+
 def test_curriculum_follows_its_schedule(spark):
     """Sources of rising weight give more words in the second half of training than in the first."""
     rows = [(i, prose(random.Random(i), 50), "abc"[i % 3]) for i in range(300)]
