@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_output, toxicity, warc
+from . import decontamination, exact_dedup, mixing, near_dedup, quality, resampling, substring_dedup, suffix_dedup, token_output, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_tokens": token_output.op10_tokens,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_resampling": resampling.op12_resampling,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op6_suffix_dedup": suffix_dedup.OP6_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_resampling": resampling.OP12_SQL,
 }
