@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, near_dedup, quality, resampling, substring_dedup, suffix_dedup, token_output, toxicity, vector_codes, warc
+from . import decontamination, exact_dedup, hidden_markov, mixing, near_dedup, quality, resampling, substring_dedup, suffix_dedup, token_output, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_tokens": token_output.op10_tokens,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_resampling": resampling.op12_resampling,
+    "op13_language_scores": hidden_markov.op13_language_scores,
 }
 
 ORACLE_SQL = {
