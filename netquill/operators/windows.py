@@ -11,9 +11,13 @@ Connections have ``file``, ``conn_id``, ``ts`` (seconds, double), ``src``,
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.ranks import count_less, frames, kth_smallest
 from ..schemas import ABNORMAL_STATES, HANDSHAKE_FAILURE_STATES, RESET_STATES
 
 SPAN, TAU, STRETCH = 60, 30.0, 16
@@ -61,18 +65,82 @@ def window_counts(conns: DataFrame, span: int = SPAN) -> DataFrame:
     )
 
 
-def window_distinct(conns: DataFrame, span: int = SPAN) -> DataFrame:
-    """``unique_dst_count``: distinct (dst, dport) of the same source in the frame."""
+def _codes(table: pa.Table, *columns: str) -> np.ndarray:
+    """Equal rows of the columns get equal numbers; nulls are equal."""
+    out = np.zeros(len(table), np.int64)
+    for c in columns:
+        index = table[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        _, out = np.unique(out * (index.max(initial=0) + 2) + index + 1, return_inverse=True)
+    return out
+
+
+def _by_stretch(conns: DataFrame, span: int, fields: list[T.StructField], features) -> DataFrame:
+    """Adds ``fields`` as ``features(table)`` makes them from all rows of a stretch and its edges.
+
+    Memory is linear in a stretch's rows: a frame is a range of sorted rows,
+    never an array of its own.
+    """
     d = _dealt(conns, span)
-    return _own(d.withColumn("unique_dst_count", F.size(F.collect_set(F.struct("dst", "dport")).over(_frame(span, "src")))))
+    kept = conns.columns
+    schema = T.StructType([*conns.select(kept).schema.fields, *fields])
+
+    def run(table: pa.Table) -> pa.Table:
+        mine = table["_own"].to_numpy()
+        made = features(table)
+        return pa.table([table[c].filter(pa.array(mine)) for c in kept] + [made[f.name].filter(pa.array(mine)) for f in fields], names=[*kept, *[f.name for f in fields]])
+
+    return d.groupBy("file", "_s").applyInArrow(run, schema)
+
+
+def _placed(order: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.empty_like(values)
+    out[order] = values
+    return out
+
+
+def window_distinct(conns: DataFrame, span: int = SPAN) -> DataFrame:
+    """``unique_dst_count``: distinct (dst, dport) of the same source in the frame.
+
+    Every row links to the row before it with its source, dst and dport; a
+    frame has as many different ones as rows whose link points before it.
+    """
+
+    def features(table: pa.Table) -> dict:
+        src, pair, ts = _codes(table, "src"), _codes(table, "src", "dst", "dport"), table["ts"].to_numpy()
+        order = np.lexsort((ts, src))
+        low, high = frames(src[order], ts[order], span)
+        by_pair = np.argsort(pair[order], kind="stable")
+        link = np.zeros(len(ts), np.int64)  # the place after the row linked to, 0 for none
+        same = np.diff(pair[order][by_pair], prepend=-1) == 0
+        link[by_pair[same]] = by_pair[np.flatnonzero(same) - 1] + 1
+        # links point below low + 1 exactly where the row is its frame's first of its kind
+        return {"unique_dst_count": pa.array(_placed(order, count_less(link, low, high, low + 1)), pa.int32())}
+
+    return _by_stretch(conns, span, [T.StructField("unique_dst_count", T.IntegerType())], features)
 
 
 def window_percentiles(conns: DataFrame, span: int = SPAN, shares=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Nearest-rank percentiles of the durations in the frame: element ``min(floor(n p), n - 1)``."""
-    d = _dealt(conns, span).withColumn("_v", F.array_sort(F.collect_list("duration").over(_frame(span))))
-    n = F.size("_v")
-    pick = lambda p: F.get(F.col("_v"), F.least(F.floor(n * F.lit(p)), n - 1).cast("int"))
-    return _own(d.withColumns({f"duration_p{int(100 * p)}": pick(p) for p in shares}).drop("_v"))
+    """Nearest-rank percentiles of the durations in the frame: element ``min(floor(n p), n - 1)``; nulls do not count."""
+    names = [f"duration_p{int(100 * p)}" for p in shares]
+
+    def features(table: pa.Table) -> dict:
+        ts = table["ts"].to_numpy()
+        order = np.argsort(ts, kind="stable")
+        low, high = frames(np.zeros(len(ts), np.int64), ts[order], span)
+        known = table["duration"].is_valid().to_numpy()[order]
+        before = np.concatenate([[0], np.cumsum(known)])
+        low, high = before[low], before[high]
+        values, rank = np.unique(table["duration"].to_numpy()[order][known].astype(np.float64), return_inverse=True)
+        n, out = high - low, {}
+        some = n > 0
+        for name, p in zip(names, shares, strict=True):
+            found = np.full(len(ts), np.nan)
+            k = np.minimum(np.floor(n[some] * p).astype(np.int64), n[some] - 1)
+            found[some] = values[kth_smallest(rank, low[some], high[some], k)]
+            out[name] = pa.array(_placed(order, found), pa.float64(), mask=_placed(order, ~some))
+        return out
+
+    return _by_stretch(conns, span, [T.StructField(n, T.DoubleType()) for n in names], features)
 
 
 def window_decay(conns: DataFrame, span: int = SPAN, tau: float = TAU) -> DataFrame:
@@ -95,17 +163,31 @@ def window_decay(conns: DataFrame, span: int = SPAN, tau: float = TAU) -> DataFr
 
 
 def window_jitter(conns: DataFrame, span: int = SPAN) -> DataFrame:
-    """Mean and population deviation of the steps between starts of the same tuple in the frame."""
-    d = _dealt(conns, span).withColumn("_t", F.array_sort(F.collect_list("ts").over(_frame(span, "src", "dst", "dport"))))
-    n = F.size("_t")
-    steps = F.zip_with(F.slice("_t", 2, F.greatest(n - 1, F.lit(0))), F.slice("_t", 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a)
-    d = d.withColumn("_d", steps)
-    m = F.size("_d")
-    mean = F.when(m > 0, F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / m).otherwise(0.0)
-    d = d.withColumn("flow_interval_diff_mean", mean)
-    dev = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda s, x: s + (x - F.col("flow_interval_diff_mean")) * (x - F.col("flow_interval_diff_mean"))) / m)
-    d = d.withColumn("flow_interval_jitter", F.round(F.when(m > 0, dev).otherwise(0.0), 4)).withColumn("flow_interval_diff_mean", F.round("flow_interval_diff_mean", 4))
-    return _own(d.drop("_t", "_d"))
+    """Mean and population deviation of the steps between starts of the same tuple in the frame, in microseconds' exactness.
+
+    A frame's steps are a range of all steps of the tuple: their sum is the time
+    from its first row to its last, and squares come from running sums, kept as
+    whole numbers in two halves so that nothing cancels.
+    """
+
+    def features(table: pa.Table) -> dict:
+        tup, ts = _codes(table, "src", "dst", "dport"), table["ts"].to_numpy()
+        order = np.lexsort((ts, tup))
+        low, high = frames(tup[order], ts[order], span)
+        at = np.rint((ts[order] - ts.min(initial=np.inf)) * 1e6).astype(np.int64)
+        step = np.diff(at, prepend=at[:1])
+        step[np.flatnonzero(np.diff(tup[order], prepend=-1))] = 0  # a tuple's first row
+        last, square = high - 1, step * step
+        upper, lower = np.cumsum(square >> 32), np.cumsum(square & 0xFFFFFFFF)
+        exact = (upper[last] - upper[low]).astype(np.longdouble) * 2.0**32 + (lower[last] - lower[low])
+        total = (at[last] - at[low]).astype(np.longdouble)
+        m = np.maximum(last - low, 1)
+        mean = total / m
+        dev = np.sqrt(np.maximum(exact / m - mean * mean, 0))
+        return {"flow_interval_diff_mean": pa.array(_placed(order, (mean / 1e6).astype(np.float64))), "flow_interval_jitter": pa.array(_placed(order, (dev / 1e6).astype(np.float64)))}
+
+    names = ["flow_interval_diff_mean", "flow_interval_jitter"]
+    return _by_stretch(conns, span, [T.StructField(n, T.DoubleType()) for n in names], features).withColumns({n: F.round(n, 4) for n in names})
 
 
 def all_window_features(conns: DataFrame, span: int = SPAN, tau: float = TAU) -> DataFrame:

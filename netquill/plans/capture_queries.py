@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import flows
-from ..sources import pcap
+from ..shared import fresh_dir
+from ..sources import capture_scan, pcap
 from ..streaming import flows as streams
 from . import extract
 from .queries import query, seconds, table
@@ -52,6 +53,20 @@ def packet_decode(spark, sf):
     return d.select("pkt_no", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "len", F.length("payload").alias("payload_bytes"), "syn", "fin", "rst", "psh", "ack")
 
 
+@query(
+    f"""WITH {_FRAMES} SELECT CAST(row_number() OVER (PARTITION BY kind ORDER BY event_id) - 1 AS BIGINT) AS pkt_no, kind, t AS ts, src_ip, dst_ip, src_port, dst_port, protocol, len FROM k"""
+)
+def capture_ranges_read(spark, sf):
+    """Events written as one capture per label, then read in byte ranges of 32 KB, each range a task."""
+    root = fresh_dir(spark, "captures")
+    spark.dataSource.register(pcap.PcapSource)
+    for kind in ("benign", "adware"):
+        own = frames(spark, sf).where(F.col("file").contains(f"/{kind}/"))
+        own.select("file", "pkt_no", "ts", "linktype", "raw").orderBy("pkt_no").coalesce(1).write.format("pcap").mode("append").save(f"{root}/{kind}")
+    d = pcap.decode(capture_scan.scan_captures(spark, root, 32 << 10))
+    return d.select("pkt_no", F.element_at(F.split("file", "/"), -2).alias("kind"), "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "len")
+
+
 @query(f"WITH {_FRAMES} SELECT event_id AS pkt_no, src_port, dst_port FROM k WHERE NOT udp AND (src_port = 443 OR dst_port = 443)")
 def packet_tls(spark, sf):
     return pcap.tls_packets(pcap.decode(frames(spark, sf))).select("pkt_no", "src_port", "dst_port")
