@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import lean_batches, own_columns, stash, trim
 
-#: States, words with a class of their own, shared classes; the end makes one more. Together below 2^16.
+#: States, words with a class of their own (the most frequent, as many as stand above a count), shared classes; the end makes one more. Together below 2^16.
 STATES, FREQUENT, HASHED = 8, 24_000, 4_096
 #: Longer words have no class of their own, which bounds what is broadcast.
 LONGEST_WORD = 64
@@ -189,7 +189,15 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 def known_words(vocab: DataFrame, frequent: int = FREQUENT, hashed: int = HASHED) -> Words:
     r = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     words = vocab.where(F.col("word").isNotNull())
-    top = words.where(F.octet_length("word") <= LONGEST_WORD).orderBy(F.desc("n"), "word").limit(frequent).collect()
+    short = words.where(F.octet_length("word") <= LONGEST_WORD)
+    # the count from which on words are few enough; how many words have a count is a short table
+    least, room_left = None, frequent
+    for h in short.groupBy("n").agg(F.count(F.lit(1)).alias("v")).orderBy(F.desc("n")).limit(frequent).collect():
+        room_left -= h["v"]
+        if room_left < 0:
+            break
+        least = h["n"]
+    top = [] if least is None else sorted(short.where(F.col("n") >= least).collect(), key=lambda w: (-w["n"], w["word"]))
     counts, room = np.zeros(frequent + 1, np.int64), np.ones(hashed, np.int64)
     ends = vocab.where(F.col("word").isNull()).first()
     counts[frequent] = ends["n"] if ends else 0

@@ -91,7 +91,9 @@ def check(rows, got, words, m):
     count = Counter(w for i, t in rows if not held(i) for w in words_of(t))
     ends = sum(not held(i) for i, _ in rows)
     n, v = sum(count.values()) + ends, len(count) + (ends > 0)
-    top = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0])) if len(w) <= hmm.LONGEST_WORD][: FREQUENT]
+    top = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0])) if len(w) <= hmm.LONGEST_WORD]
+    least = count[top[FREQUENT]] if len(top) > FREQUENT else 0
+    top = [w for w in top if count[w] > least]
     assert list(words.frequent) == top and (words.tokens, words.distinct) == (n, v)
     room = [1] * HASHED
     for w, c in count.items():
