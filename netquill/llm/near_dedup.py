@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import lean_batches, own_columns, stash, trim
 from .components import Forest, components
-from .repeats import mix, word_names
+from .repeats import mix, new_seed, word_names
 
 TREES, START = 24, 3
 VALUES = TREES * START
@@ -47,9 +47,9 @@ _MULT = (np.random.default_rng(11).integers(1, 1 << 63, VALUES, dtype=np.uint64)
 _STEPS = np.random.default_rng(12).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """Per text its sorted distinct 64-bit names of ``k``-word shingles; fewer words make one shingle, none none."""
-    words, at = word_names([t.lower() for t in texts])  # bytes.lower() changes A-Z only
+def shingle_sets(texts: list[bytes], k: int, seed: int) -> list[np.ndarray]:
+    """Per text its sorted distinct 64-bit names of ``k``-word shingles, keyed by ``seed``; fewer words make one shingle, none none."""
+    words, at = word_names([t.lower() for t in texts], seed)  # bytes.lower() changes A-Z only
     n = max(0, len(words) - k + 1)
     s = np.zeros(n, np.uint64)
     for i in range(k):
@@ -72,12 +72,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def _sign(k: int):
+def _sign(k: int, seed: int):
     def sign(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = shingle_sets(part.column(1).to_pylist(), k)
+                sets = shingle_sets(part.column(1).to_pylist(), k, seed)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -192,11 +192,11 @@ def linked(sets: list[np.ndarray], blocks: np.ndarray, percent: int) -> list[tup
     return out
 
 
-def _confirm(k: int, percent: int):
+def _confirm(k: int, percent: int, seed: int):
     def confirm(table: pa.Table) -> pa.Table:
         rows, edges = table.select(["root", "node", "block", "text"]).to_pylist(), []
         regions: dict = {}
-        for r, s in zip(rows, (x for at in range(0, len(rows), 200) for x in shingle_sets([q["text"] for q in rows[at : at + 200]], k)), strict=True):
+        for r, s in zip(rows, (x for at in range(0, len(rows), 200) for x in shingle_sets([q["text"] for q in rows[at : at + 200]], k, seed)), strict=True):
             if xxhash.xxh3_128_digest(s.tobytes()) == r["node"]:  # two texts of an id may share a print
                 regions.setdefault(r["root"], {})[r["node"]] = (s, r["block"])
         for members in regions.values():
@@ -227,9 +227,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its id are kept.  Other columns are ignored; an empty table gives none.
     """
     lean_batches(docs.sparkSession)
+    seed = new_seed()
     texts = own_columns(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     texts = texts.withColumn("print", text_print(F.col("text")))
-    signed = stash(texts.select("id", "text", "print").mapInArrow(_sign(shingle), "id long, print long, n long, node binary, sig binary"), "signatures")
+    signed = stash(texts.select("id", "text", "print").mapInArrow(_sign(shingle, seed), "id long, print long, n long, node binary, sig binary"), "signatures")
     # a node's text is that of the row with the least id and print
     nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "print")).alias("row"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     nodes = stash(nodes.select("node", "sig", "n", "row.id", "row.print"), "nodes")
@@ -252,7 +253,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = fetched.withColumn("other", other).select("root", "node", "text", "block", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     # small regions share groups of a few hundred nodes; a pair of blocks is a group of its own
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(n_tasks))).otherwise(F.xxhash64("root"))
-    links = dealt.withColumn("task", task).groupBy("task", "i", "j").applyInArrow(_confirm(shingle, percent), "a binary, b binary")
+    links = dealt.withColumn("task", task).groupBy("task", "i", "j").applyInArrow(_confirm(shingle, percent, seed), "a binary, b binary")
     groups = components(links, contract=False)
     more = ["print"] if with_print else []
     members = stash(signed.join(groups.select(F.col("id").alias("node"), "root"), "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"), *more), "members")

@@ -20,13 +20,16 @@ keys only, so a passage that a third of all rows share costs one entry a chunk.
   owners answer which windows stand elsewhere, and chunks mark covered tokens.
 
 What decides is 112 bits of a block (48 of its anchor's number, 64 of an
-independent name of all it covers) or 128 of a window (two independent names).  All rounds read one shuffle of the texts by chunk; between numbering
+independent name of all it covers) or 128 of a window (two independent names).
+Names are keyed by a secret of the run, so they meet by chance only, whatever
+the texts are; bytes are not compared.  All rounds read one shuffle of the texts by chunk; between numbering
 rounds only the items that are left move.
 """
 
 from __future__ import annotations
 
 import pickle
+import secrets
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -78,27 +81,55 @@ class Names:
 
 
 class WideNames:
-    """Two independent names of each range."""
+    """Two names of each range, the second from tokens scrambled anew."""
 
     def __init__(self, tokens: np.ndarray):
-        self.both = [Names(tokens, b) for b in _BASES]
+        self.both = [Names(tokens, _BASES[0]), Names(mix(tokens + U(_BASES[1])), _BASES[1])]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.both[0](start, end), self.both[1](start, end)
 
 
-_BYTE_NAMES = mix(np.arange(1, 257, dtype=U) * U(0xE7037ED1A0B428DB))
+#: Keeps the first 0 to 8 bytes of a little-endian number.
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all words of the texts in a row, and the number of words before each text (and in all)."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+def new_seed() -> int:
+    """A run's secret: names are keyed by it, so no text can be written to make two of them meet."""
+    return secrets.randbits(63)
+
+
+def keys(seed: int, n: int) -> np.ndarray:
+    return mix(U(seed) + np.arange(1, n + 1, dtype=U) * U(0xA0761D6478BD642F))
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at every place of ``data`` but its last seven, as numbers."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+
+
+def word_names(texts: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all words of the texts in a row, and the number of words before each text (and in all).
+
+    Every eight bytes of a word are scrambled with a key of their place, so a
+    name is no linear function of the bytes; words of up to eight bytes have
+    different names if they differ at all in bytes of one length.
+    """
+    padded = np.frombuffer(b" ".join(texts) + b" " * 8, np.uint8)
+    data = padded[: len(padded) - 7]
     edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
     start, end = edge[::2], edge[1::2]
     text_start = np.cumsum([0] + [len(t) + 1 for t in texts])
-    names = mix(Names(_BYTE_NAMES[data])(start, end) + (end - start).astype(U))
+    size = end - start
+    pieces = (size + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    j = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    at = np.repeat(start, pieces) + 8 * j
+    x = eights(padded)[at] & _FIRST_BYTES[np.minimum(np.repeat(end, pieces) - at, 8)]
+    x = mix(x ^ keys(seed, int(pieces.max(initial=0)))[j])
+    names = mix((np.add.reduceat(x, first) if len(first) else x) + size.astype(U) * U(0x9E3779B97F4A7C15))
     return names, np.searchsorted(start, text_start).astype(np.int64)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import own_columns, text_volume
-from .repeats import CHUNK_BYTES, U, Blocks, WideNames, blocks_of, chunks, covered_tokens, mix, spans_of, valid_windows, word_names
+from .repeats import CHUNK_BYTES, U, Blocks, WideNames, blocks_of, chunks, covered_tokens, mix, new_seed, spans_of, valid_windows, word_names
 
 WORDS = 20
 #: Levels made inside documents, and levels numbered by Spark rounds (the first of these is the last of those).
@@ -98,10 +98,10 @@ class Symbols:
     rounds = ROUNDS
 
     def __init__(self, size: int):
-        self.size = size
+        self.size, self.seed = size, new_seed()
 
     def begin(self, texts: list[bytes]) -> dict:
-        words, doc_start = word_names(texts)
+        words, doc_start = word_names(texts, self.seed)
         n = int(doc_start[-1])
         s, doc, lo = words, np.repeat(np.arange(len(texts)), np.diff(doc_start)), np.arange(n, dtype=np.int64)
         hi = lo + 1
@@ -170,13 +170,14 @@ class Symbols:
         return {c: v.astype(np.int32) for c, v in found.items()} | {"num": np.where(own, U(0), s["num"][k])}
 
     def blocks(self, texts: list[bytes], s: dict) -> Blocks:
-        words, doc_start = word_names(texts)
+        words, doc_start = word_names(texts, self.seed)
         names = WideNames(mix(words))
         window = lambda at: names(at, at + self.size)
         lo, hi, where = (s[c].astype(np.int64) for c in ("lo", "hi", "where"))
         key = np.where(s["level"] == 0, names.both[0](lo, lo + self.size), mix(s["num"] * U(4) + s["level"].astype(U)))
         shape = (hi - lo).astype(U) * U(64) + (where - lo + self.size).astype(U)
-        name = tuple(mix(x * U(3) + shape) for x in names(lo, hi + self.size))
+        one, two = names(lo, hi + self.size)
+        name = (mix(mix(one * U(3) + shape) + two), two)
         return Blocks(lo, hi, key, name, window, doc_start)
 
 

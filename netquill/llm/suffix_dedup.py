@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import own_columns, text_volume
-from .repeats import CHUNK_BYTES, U, Blocks, Names, WideNames, blocks_of, chunks, covered_tokens, mix, spans_of, valid_windows
+from .repeats import CHUNK_BYTES, U, Blocks, Names, WideNames, blocks_of, chunks, covered_tokens, eights, keys, mix, new_seed, spans_of, valid_windows
 
 LENGTH = 400
 SAMPLE = 64
@@ -52,6 +52,7 @@ class Buckets:
     """
 
     def __init__(self, length: int):
+        self.seed = new_seed()
         self.length, self.sample = length, max(1, min(SAMPLE, length // 4))
         self.gram = self.sample + 8
         self.right = length - self.sample  # bytes behind a sample that all its strings hold
@@ -126,12 +127,15 @@ class Buckets:
 
     def blocks(self, texts: list[bytes], s: dict) -> Blocks:
         data, doc_start = _tokens(texts)
-        names = WideNames(_TABLE[data])
+        # a token is the eight bytes from a place on; those of a string are all inside it
+        names = WideNames(mix(eights(data) ^ keys(self.seed, 1)))
+        within = lambda a, e: names(a, e - 7)
         lo, hi = s["lo"].astype(np.int64), s["hi"].astype(np.int64)
-        window = lambda at: names(at, at + self.length)
+        window = lambda at: within(at, at + self.length)
         # what the strings cover, and where in it the first one stands
         where = (hi - lo).astype(U) * U(4096) + (s["a"] - lo).astype(U)
-        name = tuple(mix(x + where) for x in names(lo, hi + self.length))
+        one, two = within(lo, hi + self.length)
+        name = (mix(mix(one + where) + two), two)
         return Blocks(lo, hi, mix(s["b"]), name, window, doc_start)
 
 
