@@ -32,8 +32,9 @@ from .repeats import mix, new_seed, word_names
 TREES, START = 24, 3
 VALUES = TREES * START
 #: Values of the common prefix at which a region may be settled, one after another.
-DEPTHS = (3, 6, 12, 24, VALUES)
-#: Nodes of a region that are compared pair by pair; a larger one is deepened.
+DEPTHS = (3, 6, 12, 24)
+#: Nodes of a region that are compared pair by pair at the first depth; a larger one is deepened. Deeper regions,
+#: of which there are fewer, may have up to 4, 16 and 16 times as many.
 CROWD = 256
 #: Signatures of a pair of similarity 0.8 agree in at least this share but for about 1 pair in 10^6.
 LOOSE = 0.55
@@ -103,7 +104,7 @@ def _prefixes(depth: int):
                 twice = sig + sig
                 for t in range(TREES) if tree is None else (tree,):
                     at = t * START * 4
-                    keys.append(xxhash.xxh3_64_intdigest(twice[at : at + depth * 4], seed=t if depth < VALUES else TREES))
+                    keys.append(xxhash.xxh3_64_intdigest(twice[at : at + depth * 4], seed=t))
                     trees.append(t)
                     rows.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(trees, pa.int32()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["start", "tree", "node"])
@@ -131,29 +132,31 @@ def _compare(table: pa.Table) -> pa.Table:
 def loose_edges(nodes: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` of nodes (``node``, ``sig``) that some tree brings together and whose signatures agree enough.
 
-    A round per depth: regions of 2 to CROWD nodes are settled, larger ones go
-    one depth further.  Sizes are counted before any node is moved, and only
+    A round per depth: regions that are not crowded are settled, larger ones go
+    one depth further; at the last their nodes all join the least of them, and
+    whole shingle sets decide.  So every pair with a common prefix of the last
+    depth in some tree meets.  Sizes are counted before any node is moved, and only
     the names of crowded regions are joined back.
     """
     found, left = None, nodes.withColumn("tree", F.lit(None).cast("int"))
-    for depth in DEPTHS:
+    for i, depth in enumerate(DEPTHS):
+        crowd = CROWD * min(4**i, 16)
         starts = stash(left.select("node", "sig", "tree").mapInArrow(_prefixes(depth), "start long, tree int, node binary"), "starts")
-        sizes = starts.groupBy("start").agg(F.count_distinct("node").alias("c") if depth == VALUES else F.count(F.lit(1)).alias("c")).where("c > 1")
-        if depth == VALUES:  # one whole signature: joined with the first of them
-            low = stash(starts.groupBy("start").agg(F.min("node").alias("b")), "lowest")
-            edges = starts.select("start", F.col("node").alias("a")).join(low, "start").where("a <> b").select("a", "b").distinct()
-            return edges if found is None else found.unionByName(edges)
-        sizes = stash(sizes, "sizes")
+        sizes = stash(starts.groupBy("start").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sizes")
         # one plan at any size: the rows are many, and which of them are alone is not known before
-        small = starts.join(sizes.where(F.col("c") <= CROWD).select("start").hint("merge"), "start")
+        small = starts.join(sizes.where(F.col("c") <= crowd).select("start").hint("merge"), "start")
         # regions share groups of some hundred nodes; a region is never split
-        groups = max(1, (sizes.where(F.col("c") <= CROWD).agg(F.sum("c")).first()[0] or 0) // 2_000)
+        groups = max(1, (sizes.where(F.col("c") <= crowd).agg(F.sum("c")).first()[0] or 0) // 2_000)
         dealt = small.join(nodes.select("node", "sig"), "node").withColumn("group", F.pmod("start", F.lit(groups)))
         edges = stash(dealt.groupBy("group").applyInArrow(_compare, "a binary, b binary"), "loose")
         found = edges if found is None else found.unionByName(edges)
-        crowded = sizes.where(F.col("c") > CROWD).select("start")
+        crowded = sizes.where(F.col("c") > crowd).select("start")
         if not crowded.limit(1).count():
             return found
+        if depth == DEPTHS[-1]:
+            inside = stash(starts.join(crowded, "start", "left_semi").select("start", F.col("node").alias("a")), "crowded")
+            low = stash(inside.groupBy("start").agg(F.min("a").alias("b")), "lowest")
+            return found.unionByName(inside.join(low, "start").where("a <> b").select("a", "b").distinct())
         again = stash(starts.join(crowded, "start", "left_semi").select("node", "tree"), "crowded")
         # deeper rounds never touch the signatures of settled nodes
         nodes = stash(nodes.join(again.select("node").distinct(), "node", "left_semi").select("node", "sig"), "deeper")

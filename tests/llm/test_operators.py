@@ -114,6 +114,22 @@ def test_near_dedup_in_blocks(spark, monkeypatch):
     assert got == Counter(brute_near(rows, 4))
 
 
+@pytest.mark.parametrize("depths", [(3, 6, 12, 24), (3,)])
+def test_near_dedup_of_pairs_in_a_crowd(spark, monkeypatch, depths):
+    """Documents of one template, too far apart to be linked or to chain; pairs among them are found though every region is crowded."""
+    r = random.Random(9)
+    base, rows = prose(r, 60).split(), []
+    for i in range(60):
+        w = [*base[:25], *prose(r, 35, 10_000).split()]
+        rows.append((2 * i, " ".join(w), "a"))
+        w[50] = "edit"
+        rows.append((2 * i + 1, " ".join(w), "a"))
+    monkeypatch.setattr(near_dedup, "CROWD", 1)
+    monkeypatch.setattr(near_dedup, "DEPTHS", depths)
+    got = Counter((x.id, x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_groups(docs(spark, rows), shingle=4).collect())
+    assert got == Counter(brute_near(rows, 4)) and sum(x[3] for x in got) == 60
+
+
 def test_near_dedup_of_a_crowd_over_many_partitions(spark):
     """More equal starts than a group may hold, dealt over many partitions, null and repeated ids: as brute force."""
     r = random.Random(6)
