@@ -67,6 +67,30 @@ def capture_ranges_read(spark, sf):
     return d.select("pkt_no", F.element_at(F.split("file", "/"), -2).alias("kind"), "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "len")
 
 
+def wide_frames(spark, sf):
+    """The frames of :func:`frames` over IPv6, addresses as ``fd00::`` and the IPv4 one, every third behind a hop-by-hop header."""
+    hexed = F.hex("raw")
+    part = lambda at, n: F.substring(hexed, 2 * at + 1, 2 * n)
+    rest = F.substring(hexed, 69, 1 << 20)
+    chained = F.col("pkt_no") % 3 == 0
+    proto, prefix = part(23, 1), F.lit("fd" + "0" * 22)
+    size = F.lpad(F.hex((F.length(rest) / 2).cast("long") + F.when(chained, 8).otherwise(0)), 4, "0")
+    ip = F.concat(F.lit("60000000"), size, F.when(chained, "00").otherwise(proto), F.lit("40"), prefix, part(26, 4), prefix, part(30, 4), F.when(chained, F.concat(proto, F.lit("00" * 7))).otherwise(""))
+    return frames(spark, sf).withColumn("raw", F.unhex(F.concat(F.lit("0" * 24 + "86DD"), ip, rest)))
+
+
+_WIDE = "'FD' || repeat('0', 22) || list_aggregate(list_transform(string_split({0}, '.'), lambda b: printf('%02X', CAST(b AS INT))), 'string_agg', '')"
+
+
+@query(
+    f"""WITH {_FRAMES} SELECT event_id AS pkt_no, {_WIDE.format("src_ip")} AS src, {_WIDE.format("dst_ip")} AS dst, src_port, dst_port, CAST(len + 20 + CASE WHEN event_id % 3 = 0 THEN 8 ELSE 0 END AS INT) AS len, CAST(n AS INT) AS payload_bytes
+FROM k WHERE NOT udp AND (src_port = 443 OR dst_port = 443)"""
+)
+def packet_tls_ipv6(spark, sf):
+    d = pcap.tls_packets(pcap.decode(wide_frames(spark, sf), ipv6=True))
+    return d.select("pkt_no", F.hex("src_addr").alias("src"), F.hex("dst_addr").alias("dst"), "src_port", "dst_port", "len", F.length("payload").alias("payload_bytes"))
+
+
 @query(f"WITH {_FRAMES} SELECT event_id AS pkt_no, src_port, dst_port FROM k WHERE NOT udp AND (src_port = 443 OR dst_port = 443)")
 def packet_tls(spark, sf):
     return pcap.tls_packets(pcap.decode(frames(spark, sf))).select("pkt_no", "src_port", "dst_port")

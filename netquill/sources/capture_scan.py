@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .pcap import DDL, ENHANCED, INTERFACE, MOST, PCAP_BIG, PCAP_LITTLE, PCAPNG, SIMPLE, _fs
+from .pcap import DDL, ENHANCED, INTERFACE, MOST, PCAP_BIG, PCAP_LITTLE, PCAPNG, SIMPLE, SNAPLEN, _fs
 
 SPLIT_BYTES = 64 << 20
 #: Bytes read at once, and bytes of packets handed on at once.
@@ -63,12 +63,13 @@ class Classic:
 
     first = 24
 
-    def __init__(self, src: Bytes):
+    def __init__(self, src: Bytes, snaplen: bool = False):
         self.src = src
         order = ">" if src.at(0, 4) == PCAP_BIG else "<"
         self.head = struct.Struct(order + "IIII")
         self.whole = src.size >= 24
-        self.link = struct.unpack_from(order + "I", src.at(0, 24), 20)[0] & 0xFFFF if self.whole else None
+        allowed, link = struct.unpack_from(order + "II", src.at(0, 24), 16) if self.whole else (0, 0)
+        self.most, self.link = min(allowed or SNAPLEN, MOST) if snaplen else MOST, link & 0xFFFF
 
     def walk(self, w: Walk, end: int) -> Iterator[tuple[float | None, int, int, int]]:
         """``(seconds, offset, bytes, link type)`` of the packets whose records start before ``end``."""
@@ -76,7 +77,7 @@ class Classic:
         while w.at < end and not w.damaged:
             head = self.src.at(w.at, 16)
             sec, usec, size, _ = self.head.unpack(head) if len(head) == 16 else (0, 0, 0, 0)
-            if not 0 < size <= MOST or w.at + 16 + size > self.src.size:
+            if not 0 < size <= self.most or w.at + 16 + size > self.src.size:
                 w.damaged = True
                 return
             start, w.at, w.packets = w.at + 16, w.at + 16 + size, w.packets + 1
@@ -88,7 +89,7 @@ class Classic:
         if len(head) < 16:
             return None
         _, usec, size, length = self.head.unpack(head)
-        ok = 0 < size <= MOST and usec < 1_000_000 and size <= length <= 4 * MOST and at + 16 + size <= self.src.size
+        ok = 0 < size <= self.most and usec < 1_000_000 and size <= length <= 4 * MOST and at + 16 + size <= self.src.size
         return at + 16 + size if ok else None
 
 
@@ -139,10 +140,10 @@ class Blocks:
         return at + found[1] if found else None
 
 
-def capture(src: Bytes) -> Classic | Blocks | None:
+def capture(src: Bytes, snaplen: bool = False) -> Classic | Blocks | None:
     """The file's format by its magic; other files hold no packets."""
     magic = src.at(0, 4)
-    return Classic(src) if magic in (PCAP_BIG, PCAP_LITTLE) else Blocks(src) if magic == PCAPNG else None
+    return Classic(src, snaplen) if magic in (PCAP_BIG, PCAP_LITTLE) else Blocks(src) if magic == PCAPNG else None
 
 
 def first_record(records: Classic | Blocks, begin: int, end: int) -> int:
@@ -159,14 +160,18 @@ def first_record(records: Classic | Blocks, begin: int, end: int) -> int:
     return end
 
 
-def _summarise(batches):
+def _summarise(snaplen: bool):
     """Walk every range from ``entry`` or, where that is null, from a guess."""
+    return lambda batches: _summaries(batches, snaplen)
+
+
+def _summaries(batches, snaplen: bool):
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             fs, path = _fs(r["file"])
             with fs.open_input_file(path) as f:
-                records = capture(Bytes(f, r["length"]))
+                records = capture(Bytes(f, r["length"]), snaplen)
                 if records is None:
                     rows.append((r["file"], r["length"], r["part"], r["begin"], r["end"], r["begin"], r["begin"], 0, None, True))
                     continue
@@ -191,7 +196,7 @@ def _dealt(ranges: DataFrame) -> DataFrame:
     return ranges.repartition(n, "file", "part")
 
 
-def capture_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES, rounds: int = 1_000) -> DataFrame:
+def capture_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES, rounds: int = 1_000, snaplen: bool = False) -> DataFrame:
     """Ranges of ``files`` (``file``, ``length``) whose records join up, as summaries with ``first_no`` and ``link_before``.
 
     Ranges behind a damaged record are left out.  Every round walks the ranges
@@ -201,7 +206,7 @@ def capture_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES, rounds: int
     begin = F.col("part").cast("long") * split_bytes
     ranges = files.select("file", "length", part.alias("part")).withColumn("begin", begin).withColumn("end", F.least(begin + split_bytes, "length"))
     ranges = written(ranges.withColumn("entry", F.lit(None).cast("long")).select(_RANGE), "ranges")
-    known = written(_dealt(ranges).mapInArrow(_summarise, _SUMMARY_DDL), "summaries")
+    known = written(_dealt(ranges).mapInArrow(_summarise(snaplen), _SUMMARY_DDL), "summaries")
     by_file = Window.partitionBy("file").orderBy("part")
     for _ in range(rounds):
         # a record may reach over whole ranges, which then start and end behind themselves and hold none: the
@@ -212,7 +217,7 @@ def capture_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES, rounds: int
         wrong = written(checked.where("before <> entry and not broken"), "wrong-guesses")
         if not wrong.limit(1).count():
             break
-        again = _dealt(wrong.withColumn("entry", F.col("furthest")).select(_RANGE)).mapInArrow(_summarise, _SUMMARY_DDL)
+        again = _dealt(wrong.withColumn("entry", F.col("furthest")).select(_RANGE)).mapInArrow(_summarise(snaplen), _SUMMARY_DDL)
         known = written(known.join(wrong.select("file", "part"), ["file", "part"], "left_anti").unionByName(again), "summaries")
     else:
         raise RuntimeError(f"ranges did not join up in {rounds} rounds")
@@ -222,7 +227,11 @@ def capture_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES, rounds: int
     return out.where("_lost = 0").drop("_lost")
 
 
-def _read(batches):
+def _read(snaplen: bool):
+    return lambda batches: _packets(batches, snaplen)
+
+
+def _packets(batches, snaplen: bool):
     kinds = (pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.binary())
 
     def out(rows):
@@ -233,7 +242,7 @@ def _read(batches):
             fs, path = _fs(r["file"])
             with fs.open_input_file(path) as f:
                 src = Bytes(f, r["length"])
-                records, rows, size, number = capture(src), [], 0, r["first_no"]
+                records, rows, size, number = capture(src, snaplen), [], 0, r["first_no"]
                 if records is None:
                     continue
                 w = Walk(r["entry"], 1 if r["link_before"] is None else r["link_before"])
@@ -247,7 +256,7 @@ def _read(batches):
                     yield out(rows)
 
 
-def scan_captures(spark, path: str, split_bytes: int = SPLIT_BYTES, glob: str = "*.pcap*") -> DataFrame:
+def scan_captures(spark, path: str, split_bytes: int = SPLIT_BYTES, glob: str = "*.pcap*", snaplen: bool = False) -> DataFrame:
     """Packets of all captures under ``path``, row for row those of the whole-file reader, from tasks of ``split_bytes`` each.
 
     Spark lists the files, tasks open them by range, so the store must be one
@@ -256,5 +265,5 @@ def scan_captures(spark, path: str, split_bytes: int = SPLIT_BYTES, glob: str =
     """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     files = listed.where("length > 0").select(F.col("path").alias("file"), "length")
-    ranges = written(capture_ranges(files, split_bytes).where("packets > 0").select("file", "length", "part", "end", "entry", "first_no", "link_before"), "joined-ranges")
-    return _dealt(ranges).mapInArrow(_read, DDL)
+    ranges = written(capture_ranges(files, split_bytes, snaplen=snaplen).where("packets > 0").select("file", "length", "part", "end", "entry", "first_no", "link_before"), "joined-ranges")
+    return _dealt(ranges).mapInArrow(_read(snaplen), DDL)

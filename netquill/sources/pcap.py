@@ -12,6 +12,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -21,41 +22,46 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schemas import PACKET
+from . import headers
 
 # File magics, block types, limits.
 PCAP_BIG, PCAP_LITTLE, PCAPNG = b"\xa1\xb2\xc3\xd4", b"\xd4\xc3\xb2\xa1", b"\x0a\x0d\x0d\x0a"
 INTERFACE, SIMPLE, ENHANCED = 1, 3, 6
 MOST = 262144
+#: What a header that states no limit allows.
+SNAPLEN = 65535
 # Fixed value: a common name inside a certificate (object id 2.5.4.3, then a string).
 COMMON_NAME = re.compile(rb"\x06\x03\x55\x04\x03[\x0c\x13].([a-zA-Z0-9\-\.]{4,253})")
 
 DDL = "file string, pkt_no long, ts double, linktype int, raw binary"
 
 
-def packets(data: bytes, limit: int | None = None) -> Iterator[tuple[float | None, bytes, int]]:
+def packets(data: bytes, limit: int | None = None, snaplen: bool = False) -> Iterator[tuple[float | None, bytes, int]]:
     """``(seconds, bytes, link type)`` of a capture; reading ends at the first damaged record.
 
+    With ``snaplen`` a record longer than the older format's header allows is damaged.
+
     Packets of simple blocks carry no time; theirs is null.
     """
     left = limit if limit is not None else -1
-    for p in _classic(data) if data[:4] in (PCAP_BIG, PCAP_LITTLE) else _blocks(data) if data[:4] == PCAPNG else ():
+    for p in _classic(data, snaplen) if data[:4] in (PCAP_BIG, PCAP_LITTLE) else _blocks(data) if data[:4] == PCAPNG else ():
         if not left:
             return
         left -= 1
         yield p
 
 
-def _classic(data: bytes):
+def _classic(data: bytes, snaplen: bool = False):
     if len(data) < 24:
         return
     order = ">" if data[:4] == PCAP_BIG else "<"
     head = struct.Struct(order + "IIII")
-    link = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF
-    at = 24
+    allowed, link = struct.unpack_from(order + "II", data, 16)
+    most, link, at = min(allowed or SNAPLEN, MOST) if snaplen else MOST, link & 0xFFFF, 24
     while at + 16 <= len(data):
         sec, usec, size, _ = head.unpack_from(data, at)
         at += 16
-        if not 0 < size <= MOST or at + size > len(data):
+        if not 0 < size <= most or at + size > len(data):
             return
         yield sec + usec / 1e6, data[at : at + size], link
         at += size
@@ -147,62 +153,34 @@ def read_split_captures(spark, path: str) -> DataFrame:
     return file_columns(read_packets(spark, path, "*_{train,test}.pcap*"))
 
 
-# --- decoding: JVM expressions on the raw bytes
-
-
-def _byte(raw, at):
-    return F.conv(F.hex(F.substring(raw, at + 1, 1) if isinstance(at, int) else raw.substr(at + 1, F.lit(1))), 16, 10).cast("int")
-
-
-def _number(raw, at, n: int):
-    out = _byte(raw, at).cast("long")
-    for i in range(1, n):
-        out = out * 256 + _byte(raw, at + i)
-    return out
+# --- decoding
 
 
-def decode(df: DataFrame, raw: str = "raw", probe: bool = False) -> DataFrame:
-    """IPv4 TCP and UDP packets with addresses, ports, flags and payload; everything else is left out.
+def decode(df: DataFrame, raw: str = "raw", probe: bool = False, ipv6: bool = False) -> DataFrame:
+    """TCP and UDP packets with addresses, ports, flags and payload; everything else is left out.
 
     The IP header stands after the link header: 14 bytes for Ethernet, 16 for
     cooked captures, none else.  With ``probe`` the first of the offsets 14,
-    16, 18 and 0 whose version nibble is 4 is taken instead.
+    16, 18 and 0 with a known version nibble is taken instead.  IPv4 only,
+    unless ``ipv6``: then extension headers are followed and ``src_addr`` and
+    ``dst_addr`` hold 128-bit addresses.  Columns of the added names are
+    replaced.
     """
-    r = F.col(raw)
-    version = lambda at: F.shiftright(_byte(r, at), 4)
-    if probe:
-        at = F.coalesce(*[F.when(version(o) == 4, F.lit(o)) for o in (14, 16, 18, 0)])
-    else:
-        at = F.when(F.col("linktype") == 1, 14).when(F.col("linktype") == 113, 16).otherwise(0)
-    d = df.withColumn("_ip", at).where(F.length(r) >= F.col("_ip") + 20).where(version(F.col("_ip")) == 4)
-    d = d.withColumn("_head", (_byte(r, F.col("_ip")).bitwiseAND(15)) * 4).where("_head >= 20")
-    d = d.withColumn("_proto", _byte(r, F.col("_ip") + 9)).withColumn("_t", F.col("_ip") + F.col("_head"))
-    tcp, udp = F.col("_proto") == 6, F.col("_proto") == 17
-    d = d.where((tcp & (F.length(r) >= F.col("_t") + 20)) | (udp & (F.length(r) >= F.col("_t") + 8)))
-    d = d.withColumn("_off", F.when(tcp, F.shiftright(_byte(r, F.col("_t") + 12), 4) * 4).otherwise(8)).where(F.length(r) >= F.col("_t") + F.col("_off"))
-    d = d.withColumn("_flags", F.when(tcp, _byte(r, F.col("_t") + 13)).otherwise(0))
-    flag = lambda bit: F.col("_flags").bitwiseAND(bit) > 0
-    from ..functions.scalar import long_to_ip
-
-    src, dst = _number(r, F.col("_ip") + 12, 4), _number(r, F.col("_ip") + 16, 4)
-    return d.withColumns(
-        {
-            "src_int": src,
-            "dst_int": dst,
-            "src_ip": long_to_ip(src),
-            "dst_ip": long_to_ip(dst),
-            "src_port": _number(r, F.col("_t"), 2).cast("int"),
-            "dst_port": _number(r, F.col("_t") + 2, 2).cast("int"),
-            "protocol": F.when(tcp, "tcp").otherwise("udp"),
-            "len": F.length(r),
-            "fin": flag(1),
-            "syn": flag(2),
-            "rst": flag(4),
-            "psh": flag(8),
-            "ack": flag(16),
-            "payload": r.substr(F.col("_t") + F.col("_off") + 1, F.length(r)),
-        }
-    ).drop("_ip", "_head", "_proto", "_t", "_off", "_flags")
+    added = "src_int long, src_ip string, dst_int long, dst_ip string, src_port int, dst_port int, protocol string, len int, fin boolean, syn boolean, rst boolean, psh boolean, ack boolean, payload binary"
+    fields = T.StructType.fromDDL(added + (", src_addr binary, dst_addr binary" if ipv6 else ""))
+    df = df.drop(*[f.name for f in fields])
+    schema = T.StructType([*df.schema.fields, *fields])
+    new, names = [f.name for f in fields], [f.name for f in schema]
+    at_raw, at_link = df.columns.index(raw), df.columns.index("linktype") if "linktype" in df.columns else None
+
+    def run(batches):
+        for b in batches:
+            link = np.zeros(b.num_rows, np.int64) if at_link is None else b.column(at_link).fill_null(0).to_numpy(zero_copy_only=False)
+            keep, out = headers.decode_frames(b.column(at_raw), link, probe, ipv6)
+            kept = b.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *[out[n] for n in new]], names=names)
+
+    return df.mapInArrow(run, schema)
 
 
 def tls_packets(decoded: DataFrame) -> DataFrame:
