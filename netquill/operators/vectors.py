@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .neighbours import knn
+
 #: Most values (rows times dimensions) of a query block or a model that is broadcast.
 BROADCAST_VALUES = 4_000_000
 
@@ -62,24 +64,6 @@ def pca(df: DataFrame, vec: str, k: int, out: str = "reduced") -> tuple[DataFram
     return rows.withColumn(out, F.array(*parts)).drop("_v"), axes
 
 
-def knn(queries: DataFrame, base: DataFrame, vec: str, id_col: str, k: int = 5) -> DataFrame:
-    """The ``k`` nearest base rows (Euclidean, ties to the smaller id) of every query, never itself.
-
-    Queries come in blocks of bounded size; each block meets the whole base
-    once as matrix products, every task keeps its best ``k`` per query, and
-    those are merged.  No pair is a row.
-    """
-    out = None
-    for block in _blocks(queries.select(id_col, vec).orderBy(id_col), vec):
-        part = _nearest(base, block, vec, id_col, k)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return base.sparkSession.createDataFrame([], "query_id long, rank int, neighbour_id long, distance double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k)
-    merged = out.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("r", "n"))
-    return merged.select("query_id", (F.col("r") + 1).alias("rank"), F.col("n.neighbour_id").alias("neighbour_id"), F.round("n.distance", 4).alias("distance"))
-
-
 def _blocks(df: DataFrame, vec: str):
     rows, size = [], 0
     for r in df.toLocalIterator():
@@ -92,28 +76,6 @@ def _blocks(df: DataFrame, vec: str):
         yield rows
 
 
-def _nearest(base: DataFrame, block, vec: str, id_col: str, k: int) -> DataFrame:
-    ids = np.array([i for i, _ in block], np.int64)
-    shared = base.sparkSession.sparkContext.broadcast((ids, np.array([v for _, v in block], np.float64)))
-
-    def run(batches):
-        ids, q = shared.value
-        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        for b in batches:
-            x, xi = np.array(b.column(1).to_pylist(), np.float64), b.column(0).to_numpy()
-            for at in range(0, len(xi), 2048):
-                y, yi = x[at : at + 2048], xi[at : at + 2048]
-                d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * q @ y.T, 0))
-                d[ids[:, None] == yi[None]] = np.inf
-                d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(yi, d.shape)])
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        ok = np.isfinite(best_d)
-        yield pa.record_batch({"query_id": pa.array(np.repeat(ids, ok.sum(1))), "neighbour_id": pa.array(best_i[ok]), "distance": pa.array(best_d[ok])})
-
-    return base.select(id_col, vec).mapInArrow(run, "query_id long, neighbour_id long, distance double")
-
-
 def knn_classify(queries: DataFrame, base: DataFrame, vec: str, id_col: str, label: str, k: int = 5) -> DataFrame:
     """Majority label of the ``k`` nearest base rows, ties to the smallest label."""
     from .metrics import majority_vote

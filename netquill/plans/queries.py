@@ -494,6 +494,17 @@ def knn(spark, sf):
     return vectors.knn(e.where(F.col("vec_id") % 20 == 0), e, "embedding", "vec_id", 5)
 
 
+@query(
+    """WITH d AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS d FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbour_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INT) AS rank, neighbour_id, round(d, 4) AS distance FROM r WHERE rank <= 5"""
+)
+def knn_all(spark, sf):
+    """Neighbours of every row, through the same cells."""
+    e = table(spark, sf, "embeddings")
+    return vectors.knn(e, e, "embedding", "vec_id", 5)
+
+
 _SUPCON = """WITH u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
 s AS (SELECT a.vec_id AS a, a.label = b.label AS same, list_dot_product(a.v, b.v) / 0.1 AS s FROM u a, u b WHERE a.vec_id <> b.vec_id),
 z AS (SELECT a, ln(sum(exp(s))) AS z FROM s GROUP BY a), l AS (SELECT s.a, -avg(s.s - z.z) AS l FROM s JOIN z ON s.a = z.a WHERE same GROUP BY s.a)
