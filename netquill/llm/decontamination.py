@@ -44,6 +44,9 @@ SLICE = 1 << 20
 GROUP_BYTES = 32 << 20
 #: A character repeated more often in a row counts so many times: rules and padding are layout.
 REPEAT = 8
+#: Runs of a period of so many characters at most are searched as if they were about KEPT characters long, which is
+#: three times a match and its band: all places of a rule meet all places of another.
+PERIOD, KEPT = 32, 640
 _RUNS = re.compile(r"(.)\1{%d,}" % REPEAT, re.DOTALL)
 
 
@@ -52,6 +55,41 @@ def normalise(text: str | None) -> str:
     return _RUNS.sub(lambda m: m[1] * REPEAT, " ".join((text or "").lower().replace("\0", " ").split()))
 
 
+def squeeze(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` with every long run of one period cut to about KEPT characters, and what was cut: (place in the result, characters).
+
+    Whole periods go from the inside of a run, so it keeps every stretch of a
+    match's length that it has, and the text around it is as far away.
+    """
+    if len(text) < 2 * KEPT:
+        return text, []
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    # a run that long covers one of these places with 2 * PERIOD characters behind it
+    near = np.lib.stride_tricks.sliding_window_view(codes[: len(codes) - len(codes) % (KEPT // 2)].reshape(-1, KEPT // 2)[:, : 2 * PERIOD], PERIOD, axis=1)
+    periods = np.flatnonzero((near[:, 1:] == near[:, :1]).all(axis=2).any(axis=0)) + 1
+    cut = np.zeros(len(codes), bool)
+    for p in periods.tolist():
+        same = np.concatenate([[False], codes[p:] == codes[:-p], [False]])
+        edge = np.flatnonzero(np.diff(same.astype(np.int8)))
+        for a, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            drop = (e + p - a - KEPT) // p * p  # the run is [a, e + p)
+            if drop > 0 and not cut[a : e + p].any():
+                cut[a + KEPT // 2 : a + KEPT // 2 + drop] = True
+    if not cut.any():
+        return text, []
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], cut, [False]]).astype(np.int8)))
+    cuts, gone = [], 0
+    for a, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        cuts.append((a - gone, e - a))
+        gone += e - a
+    return codes[~cut].tobytes().decode("utf-32-le", "surrogatepass"), cuts
+
+
+def _unsqueezed(a: int, e: int, cuts: list[tuple[int, int]]) -> tuple[int, int]:
+    """A span of the whole text: one that reaches across a cut covers it."""
+    return a + sum(n for at, n in cuts if at <= a), e + sum(n for at, n in cuts if at < e)
+
+
 def passages(text: str) -> list[str]:
     """Pieces of PASSAGE characters every STEP; the last ends with the text. Below Q characters: none."""
     if len(text) < Q:
@@ -106,7 +144,7 @@ class Index:
     def build(cls, rows: list[tuple]) -> Index:
         items, texts = [], []
         for item, text in rows:
-            t = normalise(text)
+            t, _ = squeeze(normalise(text))
             if len(t) >= Q:
                 items.append(item)
                 texts.append(t)
@@ -122,12 +160,13 @@ class Index:
         return cls(items, texts, grams, np.append(first, len(flat)), owner[order], offset[order], table, codes)
 
 
-def align(patterns: list[np.ndarray], text: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+def align(patterns: list[np.ndarray], text: np.ndarray, start: np.ndarray, width: int, bounds: np.ndarray | None = None) -> np.ndarray:
     """Least edits between each pattern and a substring of ``text``, on the ``width`` diagonals from ``start`` on.
 
     Entry w of row j stands for pattern[:j] against text that ends at
     ``start + j + w``.  Only the band is held; all pairs advance together.
-    Outside its bounds ``text`` matches nothing.
+    Outside its bounds, which ``bounds`` may narrow for each pair, ``text``
+    matches nothing.
     """
     if not patterns:
         return np.empty(0, np.int64)
@@ -136,7 +175,8 @@ def align(patterns: list[np.ndarray], text: np.ndarray, start: np.ndarray, width
     for i, p in enumerate(patterns):
         pat[i, : len(p)] = p
     at = start[:, None] + np.arange(pat.shape[1] + width)[None]
-    inside = (at >= 0) & (at < len(text))
+    low, high = (0, len(text)) if bounds is None else (bounds[:, :1], bounds[:, 1:])
+    inside = (at >= low) & (at < high)
     near = np.where(inside, text[np.clip(at, 0, len(text) - 1)], U(0xFFFFFFFF))
     row, step, best = np.zeros((len(patterns), width), np.int32), np.arange(width, dtype=np.int32), np.zeros(len(patterns), np.int64)
     for j in range(pat.shape[1]):
@@ -177,10 +217,11 @@ def find(texts: list[str], index: Index) -> list[list[tuple]]:
     """``(item, start, end)`` of the matches in each normalised text; bounds are those of the band, overlapping matches of an item are one."""
     hits: dict = {}
     if len(index.grams):
-        for group in _pieces(texts):
+        short = [squeeze(t) for t in texts]
+        for group in _pieces([t for t, _ in short]):
             for d, i, a, e in _search([g[2] for g in group], index):
                 doc, offset, _ = group[d]
-                hits.setdefault((doc, i), []).append((offset + a, offset + e))
+                hits.setdefault((doc, i), []).append(_unsqueezed(offset + a, offset + e, short[doc][1]))
     found: list[list[tuple]] = [[] for _ in texts]
     for (doc, i), own in sorted(hits.items()):
         spans: list[list[int]] = []
@@ -246,28 +287,56 @@ def _search(texts: list[str], index: Index) -> set[tuple]:
     sure, rest = set(), []
 
     def settle():
-        edits = align([index.codes[i][f : f + n] for _, i, f, n, _, _ in rest], codes, np.array([x[5] for x in rest], np.int64), BAND + 3 * int(k.max()) + 1)
+        edits = align([index.codes[i][f : f + n] for _, i, f, n, _, _ in rest], codes, np.array([x[5] for x in rest], np.int64), BAND + 3 * int(k.max()) + 1, np.array([(begin[x[0]], begin[x[0] + 1] - 1) for x in rest], np.int64).reshape(-1, 2))
         sure.update((d, i, *span) for (d, i, _, n, span, _), c in zip(rest, edits, strict=True) if c <= budget(n))
         rest.clear()
 
+    wanted: dict = {}  # per item its stretches, their lengths and the q-grams they need
+    covered: dict = {}  # per (text, item) the last range of sure spans that join up
     for number, own in zip(bands.tolist(), shared, strict=True):
         d, i, b = number // n_bands // len(m), number // n_bands % len(m), number % n_bands - 1
+        if i not in wanted:
+            start, long = stretches(index.texts[i])
+            wanted[i] = start, long, np.array([_need(x) for x in long.tolist()], np.int64)
+        start, long, least = wanted[i]
         have = np.zeros(int(m[i]) + 1, np.int64)
         have[np.fromiter(own, np.int64, len(own)) + 1] = 1
         have = np.cumsum(have)
-        start, long = stretches(index.texts[i])
-        enough = have[start + long - Q + 1] - have[start] >= [_need(x) for x in long.tolist()]
-        for f, n in zip(start[enough].tolist(), long[enough].tolist(), strict=True):
-            diagonal = b * BAND - pad - int(k[i])
-            a = max(int(begin[d]), diagonal + f)
-            e = min(int(begin[d + 1]) - 1, diagonal + f + BAND + 3 * int(k[i]) + n)
-            span = (a - int(begin[d]), e - int(begin[d]))
-            if whole.find(index.texts[i][f : f + n], a, e) >= 0:
-                sure.add((d, i, *span))
-            else:
-                rest.append((d, i, f, n, span, diagonal + f))
+        enough = have[start + long - Q + 1] - have[start] >= least
+        first, size_of = start[enough], long[enough]
+        diagonal = b * BAND - pad - int(k[i])
+        low = np.maximum(int(begin[d]), diagonal + first)
+        high = np.minimum(int(begin[d + 1]) - 1, diagonal + first + BAND + 3 * int(k[i]) + size_of)
+
+        def stands(j):
+            """Whether a stretch stands as it is; then its span joins what is covered."""
+            a, e, f = int(low[j]), int(high[j]), int(first[j])
+            if whole.find(index.texts[i][f : f + int(size_of[j])], a, e) < 0:
+                return False
+            sure.add((d, i, a - int(begin[d]), e - int(begin[d])))
+            before = covered.get((d, i))
+            joins = before is not None and before[0] <= a <= before[1]
+            covered[d, i] = (before[0], max(e, before[1])) if joins else (a, e)
+            return True
+
+        at_ = 0
+        while at_ < len(first):
+            reach = covered.get((d, i))
+            if reach and reach[0] <= low[at_] <= reach[1]:
+                if high[at_] <= reach[1]:  # adds nothing, nor do those that end before
+                    at_ = int(np.searchsorted(high, reach[1], side="right"))
+                    continue
+                # the furthest stretch that still joins: if it stands, those before it add nothing
+                far = int(np.searchsorted(low, reach[1], side="right")) - 1
+                if far > at_ and stands(far):
+                    at_ = far + 1
+                    continue
+            if not stands(at_):
+                f, n = int(first[at_]), int(size_of[at_])
+                rest.append((d, i, f, n, (int(low[at_] - begin[d]), int(high[at_] - begin[d])), diagonal + f))
                 if len(rest) >= 500:
                     settle()
+            at_ += 1
     settle()
     return sure
 

@@ -526,3 +526,39 @@ def test_decontamination_of_rules_and_long_texts(n):
     assert [x[0] for x in found[1]] == list(range(n))
     (item, a, e), = found[2]
     assert item == 900 and passage in decontamination.normalise(texts[2])[a:e]
+
+
+def test_decontamination_of_long_periods():
+    """200,000 characters of one period against 50 items of it: seconds, not minutes, and the same items and spans."""
+    import time
+
+    r = random.Random(22)
+    for unit in ("ab", "-=+"):
+        passage = prose(r, 40, 3000)
+        items = [(i, unit * (100 + i)) for i in range(50)] + [(900, passage)]
+        index = decontamination.Index.build(items)
+        text = prose(r, 30, 3000) + " " + unit * (200_000 // len(unit)) + " " + passage
+        began = time.perf_counter()
+        found = decontamination.find([text, unit * 30, unit * 400 + "x" + unit * 400], index)
+        assert time.perf_counter() - began < 60  # some seconds on a machine that does nothing else
+        assert [x[0] for x in found[0]] == [*range(50), 900]
+        for item, a, e in found[0]:
+            assert (passage if item == 900 else unit * 60_000)[: e - a] in text[a:e]
+        assert found[1] == [] and [x[0] for x in found[2]] == list(range(50))
+
+
+def test_squeezed_texts_keep_their_stretches():
+    r = random.Random(23)
+    for _ in range(20):
+        parts = [prose(r, r.randint(1, 60)), *[u * r.randint(1, 3000) for u in r.choices(["a", "xy", "abc", "é-", "0123456789", "q" * 5 + "r"], k=2)], prose(r, 20)]
+        r.shuffle(parts)
+        text = "".join(parts)
+        short, cuts = decontamination.squeeze(text)
+        assert len(short) + sum(n for _, n in cuts) == len(text)
+        pieces = lambda t: {t[i : i + 160] for i in range(len(t) - 159)}
+        assert pieces(short) == pieces(text)
+        back, at = [], 0
+        for place in range(len(short)):
+            a, _ = decontamination._unsqueezed(place, place + 1, cuts)
+            back.append(text[a])
+        assert "".join(back) == short and (len(short) < 5_000 or not cuts)
