@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import metrics, splits
+from ..operators import boosting, metrics, splits
 from ..operators.features import drop_leakage, impute_median
+from ..operators.reducer import SupConReducer
 from ..schemas import numeric_columns
 
 
@@ -75,6 +76,45 @@ def train_detector(df: DataFrame, uid: str = "flow_uid", label: str = "label", c
     return {"model": fitted, "columns": columns, "medians": fill, "predictions": predict(fitted, clean(parts.where("subset = 'test'")), uid, label)}
 
 
+def reduced(df: DataFrame, reducer: SupConReducer) -> tuple[DataFrame, list[str]]:
+    """The reducer's columns replaced by its latent ones, ``latent_0`` and on, and their names."""
+    names = [f"latent_{i}" for i in range(reducer.cfg["latent_dim"])]
+    out = reducer.transform(df, reducer.columns, "_latent")
+    return out.withColumns({c: F.get("_latent", F.lit(i)) for i, c in enumerate(names)}).drop("_latent", *reducer.columns), names
+
+
+def train_boosted(df: DataFrame, uid: str = "flow_uid", label: str = "label", columns: list[str] | None = None, semantic: list[str] | None = None, classes: int = 8, reducer: dict | None = None, seed: int = 42, **boost) -> dict:
+    """Split 70/10/20, optionally reduce ``semantic`` columns, boost all classes together until validation stops improving.
+
+    Medians, scaling, reducer and bins come from training rows; validation rows
+    end the training of reducer and trees; the test rows are predicted.
+    """
+    semantic = list(semantic or [])
+    columns = numeric_columns(drop_leakage(df), exclude=[uid, label]) if columns is None else columns
+    columns = [c for c in columns if c not in semantic]
+    parts = splits.stratified_split(df.where(F.col(label).isNotNull()), uid, label, seed=seed)
+    medians = parts.where("subset = 'train'").agg(*[F.median(F.col(c).cast("double")).alias(c) for c in columns + semantic]).first().asDict()
+    fill = {c: float(v) for c, v in medians.items() if v is not None}
+    ready = parts.withColumns({c: F.col(c).cast("double") for c in columns + semantic}).na.fill(fill).na.fill(0.0, columns + semantic)
+    model = None
+    if semantic and reducer is not None:
+        model = SupConReducer(**reducer).fit(ready.where("subset = 'train'"), ready.where("subset = 'val'"), semantic, label, uid)
+        ready, latent = reduced(ready, model)
+        columns = columns + latent
+    else:
+        columns = columns + semantic
+    trees = boosting.fit_boosted(with_weights(ready.where("subset <> 'test'"), label), columns, label, classes, valid=F.col("subset") == "val", weight="weight", **boost)
+    return {"trees": trees, "reducer": model, "medians": fill, "columns": columns, "predictions": boosted_predictions(ready.where("subset = 'test'"), trees, uid, label)}
+
+
+def boosted_predictions(df: DataFrame, trees: boosting.Trees, uid: str = "flow_uid", label: str | None = "label") -> DataFrame:
+    """The columns of :func:`predict` from boosted trees."""
+    cols = [F.col(uid), "pred_label", scalar.label_name(F.col("pred_label")).alias("pred_label_name"), "confidence", "scores"]
+    if label and label in df.columns:
+        cols[1:1] = [F.col(label).cast("int").alias("true_label"), scalar.label_name(F.col(label)).alias("true_label_name")]
+    return boosting.predict_boosted(df, trees).select(*cols)
+
+
 def evaluate(predictions: DataFrame, labels=range(8)) -> dict[str, DataFrame]:
     long = metrics.one_vs_rest(predictions, "true_label", "scores", len(list(labels)))
     return {"confusion": metrics.confusion(predictions, "true_label", "pred_label", labels), "report": metrics.class_report(predictions, "true_label", "pred_label", labels), "micro_auc": metrics.micro_auc(long, "truth", "score")}
@@ -107,10 +147,20 @@ def detection_assets(predictions: DataFrame, times: DataFrame | None = None, uid
     return out
 
 
+def export_assets(assets: dict[str, DataFrame], path: str) -> list[str]:
+    """Every table as CSV with a header in a folder of its name; the folders."""
+    out = []
+    for name, df in sorted(assets.items()):
+        flat = df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")})
+        flat.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        out.append(f"{path}/{name}")
+    return out
+
+
 def save(model: PipelineModel, path: str) -> PipelineModel:
     """Written and read back; what comes back is returned."""
     model.write().overwrite().save(path)
     return PipelineModel.load(path)
 
 
-__all__ = ["ablation", "baseline_models", "boosted", "detection_assets", "evaluate", "fit", "impute_median", "predict", "save", "train_detector", "with_weights"]
+__all__ = ["ablation", "baseline_models", "boosted", "boosted_predictions", "detection_assets", "evaluate", "export_assets", "fit", "impute_median", "predict", "reduced", "save", "train_boosted", "train_detector", "with_weights"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import features, flows, joins, metrics, splits, vectors, windows
 from ..sources import files
+from . import detect
 
 IDLE, SPAN, TAU = 43_200.0, 3_600, 1_800.0
 QUERIES: dict = {}
@@ -505,6 +506,28 @@ def knn_all(spark, sf):
     return vectors.knn(e, e, "embedding", "vec_id", 5)
 
 
+def _wide(spark, sf):
+    """Embeddings with a column per component."""
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"feat_{i}") for i in range(64)])
+
+
+@query(None)
+def boosted_labels(spark, sf):
+    """Labels of the held-out vectors by boosted trees that stop early."""
+    d = _wide(spark, sf)
+    got = detect.train_boosted(d, "vec_id", "label", [f"feat_{i}" for i in range(64)], classes=10, rounds=4, depth=3, bins=16, rate=0.3, least=5, patience=2)
+    return got["predictions"].select("vec_id", "true_label", "pred_label", F.round("confidence", 6).alias("confidence"))
+
+
+@query(None)
+def reduced_labels(spark, sf):
+    """The same after the contrastive autoencoder has reduced the 64 components to 8."""
+    small = {"latent_dim": 8, "hidden_dims": [32], "proj_dim": 8, "batch_size": 128, "epochs": 3, "learning_rate": 0.01, "seed": 7}
+    got = detect.train_boosted(_wide(spark, sf), "vec_id", "label", [], [f"feat_{i}" for i in range(64)], classes=10, reducer=small, rounds=4, depth=3, bins=16, rate=0.3, least=5, patience=2)
+    return got["predictions"].select("vec_id", "true_label", "pred_label", F.round("confidence", 6).alias("confidence"))
+
+
 _SUPCON = """WITH u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
 s AS (SELECT a.vec_id AS a, a.label = b.label AS same, list_dot_product(a.v, b.v) / 0.1 AS s FROM u a, u b WHERE a.vec_id <> b.vec_id),
 z AS (SELECT a, ln(sum(exp(s))) AS z FROM s GROUP BY a), l AS (SELECT s.a, -avg(s.s - z.z) AS l FROM s JOIN z ON s.a = z.a WHERE same GROUP BY s.a)

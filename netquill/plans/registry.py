@@ -8,6 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.boosting import Trees
+from ..operators.reducer import SupConReducer
 from . import detect
 
 
@@ -66,3 +68,25 @@ def infer(spark, df: DataFrame, path: str, uid: str = "flow_uid") -> DataFrame:
     medians = json.loads(spark.read.text(f"{path}/medians").first().value)
     ready = df.withColumns({c: F.col(c).cast("double") for c in columns}).na.fill(medians).na.fill(0.0, columns)
     return detect.predict(PipelineModel.load(f"{path}/model"), ready, uid, label=None)
+
+
+def save_boosted(spark, trained: dict, path: str) -> None:
+    """Trees, medians and reducer of :func:`detect.train_boosted`; rounds are a row each."""
+    trees = json.loads(trained["trees"].to_json())
+    head = {**{k: trees[k] for k in ("features", "classes", "edges", "depth", "losses")}, "medians": trained["medians"], "reduced": trained["reducer"] is not None}
+    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+    spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(trees["rounds"])], "round int, trees string").write.mode("overwrite").parquet(f"{path}/rounds")
+    if trained["reducer"] is not None:
+        trained["reducer"].save(spark, f"{path}/reducer")
+
+
+def infer_boosted(spark, df: DataFrame, path: str, uid: str = "flow_uid") -> DataFrame:
+    """Predictions of a stored boosted detector: gaps filled with its medians, semantic columns reduced if it has a reducer, no training."""
+    head = json.loads(spark.read.option("wholetext", "true").text(f"{path}/head").first().value)
+    rounds = [json.loads(r["trees"]) for r in spark.read.parquet(f"{path}/rounds").orderBy("round").collect()]
+    trees = Trees.from_json(json.dumps({**{k: head[k] for k in ("features", "classes", "edges", "depth", "losses")}, "rounds": rounds}))
+    columns = list(head["medians"])
+    ready = df.withColumns({c: F.col(c).cast("double") for c in columns}).na.fill(head["medians"]).na.fill(0.0, columns)
+    if head["reduced"]:
+        ready, _ = detect.reduced(ready, SupConReducer.load(spark, f"{path}/reducer"))
+    return detect.boosted_predictions(ready, trees, uid, label=None)

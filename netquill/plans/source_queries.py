@@ -247,7 +247,13 @@ def tls_details(spark, sf):
     return t.select("event_id", "sni", "tls_version", "cert_subject")
 
 
-@query("SELECT 10 AS total, 0.4::DOUBLE AS semantic, 0.6::DOUBLE AS manual FROM region LIMIT 1")
+@query(
+    """WITH s AS (SELECT max(len(embedding)) AS n FROM embeddings), m AS (SELECT count(DISTINCT k) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events))
+SELECT CAST(s.n + m.n AS INT) AS total, s.n / (s.n + m.n)::DOUBLE AS semantic, m.n / (s.n + m.n)::DOUBLE AS manual FROM s, m"""
+)
 def pool_shares(spark, sf):
-    s = serve.pool_shares(4, 6)
+    """A pool of the embeddings' components and the features named in the events' properties."""
+    semantic = table(spark, sf, "embeddings").agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 0
+    manual = table(spark, sf, "events").select(F.explode(F.json_object_keys("props")).alias("k")).agg(F.count_distinct("k").alias("n")).first()["n"]
+    s = serve.pool_shares(semantic, manual)
     return spark.createDataFrame([(s["total"], s["semantic"], s["manual"])], "total int, semantic double, manual double")

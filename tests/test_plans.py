@@ -3,7 +3,7 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
 from netquill.functions import embed
-from netquill.plans import detect, extract, runner, serve
+from netquill.plans import detect, extract, registry, runner, serve
 from netquill.schemas import FLOW_COLUMNS
 from netquill.sources import pcap
 
@@ -134,3 +134,24 @@ def test_registry(spark, tmp_path):
         registry.assemble(spark, str(base), str(tmp_path / "absent"))
     registry.save_columns(spark, ["b", "a"], str(tmp_path / "columns"))
     assert registry.load_columns(spark, str(tmp_path / "columns")) == ["b", "a"]
+
+
+def test_boosted_detector_with_reducer(spark, tmp_path):
+    """Trained, stored, read back: the same predictions, also without labels; the report's tables as files."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    names = [f"feat_{i}" for i in range(6)]
+    rows = [(f"u{i}", *(r.normal(size=6) + 3.0 * (i % 3)).tolist(), float(i % 3) if i % 9 else None, i % 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "flow_uid string, " + ", ".join(f"{c} double" for c in names) + ", bytes_total double, label int")
+    cfg = {"latent_dim": 3, "hidden_dims": [8], "proj_dim": 3, "batch_size": 64, "epochs": 2, "learning_rate": 0.01, "seed": 7}
+    got = detect.train_boosted(df, semantic=names, classes=3, reducer=cfg, rounds=4, depth=2, bins=8, rate=0.5, least=3, patience=2)
+    assert got["columns"] == ["bytes_total", "latent_0", "latent_1", "latent_2"]
+    p = {x.flow_uid: (x.pred_label, round(x.confidence, 9)) for x in got["predictions"].collect()}
+    assert len(p) == 30 and sum(int(u[1:]) % 3 == v[0] for u, v in p.items()) >= 27
+    registry.save_boosted(spark, got, str(tmp_path / "m"))
+    again = {x.flow_uid: (x.pred_label, round(x.confidence, 9)) for x in registry.infer_boosted(spark, df.drop("label"), str(tmp_path / "m")).collect()}
+    assert len(again) == 150 and {u: again[u] for u in p} == p
+    folders = detect.export_assets(detect.detection_assets(got["predictions"]), str(tmp_path / "csv"))
+    assert [f.rsplit("/", 1)[1] for f in folders] == ["classes", "malicious", "summary"]
+    assert spark.read.option("header", True).csv(folders[0]).count() == len({v[0] for v in p.values()})
