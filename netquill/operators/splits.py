@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 PREFIX = 3
 
 
@@ -92,3 +94,16 @@ def cached_split(df: DataFrame, path: str, make, refresh: bool = False) -> DataF
     if refresh or not there:
         make(df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def numbered(df: DataFrame, order, out: str = "place") -> DataFrame:
+    """Adds the rows' places, from 1, in the order of the columns ``order``.
+
+    Rows are sorted by range; a place is the number of rows in the ranges before
+    and the row's own number in its range, so no task sees all rows.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").count()  # a row a partition
+    before = counts.select(F.col("_range").alias("_r"), (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(out, inside).join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_r", "_before")

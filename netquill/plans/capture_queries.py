@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flows
+from ..operators import flows, splits
 from ..shared import fresh_dir
 from ..sources import capture_scan, pcap
 from ..streaming import flows as streams
@@ -170,16 +170,31 @@ def flows_by_start(spark, sf):
     """Flows in the order of their start; a range sort gives the order, and places come from partition counts, not from one task."""
     from .queries import packets
 
-    s = flows.by_start(flows.flow_statistics(packets(spark, sf), ["flow_id"])).select("flow_id", "ts_start")
-    return s.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1] + 1)).toDF("flow_id long, ts_start double, place int")
+    s = flows.flow_statistics(packets(spark, sf), ["flow_id"]).select("flow_id", "ts_start")
+    return splits.numbered(s, ["ts_start", "flow_id"]).withColumn("place", F.col("place").cast("int"))
 
 
-@query(
-    """SELECT a.event_id AS click, b.event_id AS error FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'error'"""
-)
+_NEARBY = """SELECT a.event_id AS click, b.event_id AS error FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'error'"""
+
+
+@query(_NEARBY)
 def stream_nearby(spark, sf):
     """The interval join of two streams, in its batch form."""
     e = table(spark, sf, "events")
     left = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("click"))
     right = e.where("event_type = 'error'").select("user_id", F.col("ts").alias("other"), F.col("event_id").alias("error"))
     return streams.nearby(left, right, "user_id", "at", "other", "1 hour").select("click", "error")
+
+
+@query(_NEARBY)
+def streams_joined(spark, sf):
+    """The same by two streams over the events' file, run to its end and read from the sink."""
+    schema = table(spark, sf, "events").schema
+    events = lambda: spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    left = events().where("event_type = 'click'").select("user_id", F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("click"))
+    right = events().where("event_type = 'error'").select("user_id", F.col("ts").cast("timestamp").alias("other"), F.col("event_id").alias("error"))
+    root = fresh_dir(spark, "streams-joined")
+    joined = streams.nearby(left, right, "user_id", "at", "other", "1 hour").select("click", "error")
+    run = joined.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start(f"{root}/rows")
+    run.awaitTermination()
+    return spark.read.schema("click long, error long").parquet(f"{root}/rows")
