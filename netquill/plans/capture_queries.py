@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import flows, splits
 from ..shared import fresh_dir
 from ..sources import capture_scan, pcap
+from ..streaming import evicting
 from ..streaming import flows as streams
 from . import extract
 from .queries import query, seconds, table
@@ -198,3 +199,27 @@ def streams_joined(spark, sf):
     run = joined.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start(f"{root}/rows")
     run.awaitTermination()
     return spark.read.schema("click long, error long").parquet(f"{root}/rows")
+
+
+@query(
+    """WITH p AS (SELECT CAST(user_id AS VARCHAR) AS flow_id, epoch_us(ts) / 1e6 AS t, event_type = 'purchase' AS fin, event_type = 'error' AS rst FROM events),
+o AS (SELECT *, lag(t) OVER w AS before, lag(fin OR rst) OVER w AS was_done FROM p WINDOW w AS (PARTITION BY flow_id ORDER BY t)),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR was_done OR t - before > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY flow_id ORDER BY t) AS k FROM o),
+a AS (SELECT flow_id, k, count(*) AS packets, min(t) AS ts_start, max(t) AS ts_end, bool_or(fin) AS fin, bool_or(rst) AS rst FROM g GROUP BY ALL),
+e AS (SELECT *, max(k) OVER (PARTITION BY flow_id) = k AS latest, max(ts_end) OVER () - 10 AS seen FROM a)
+SELECT flow_id, packets, ts_start, ts_end, CASE WHEN rst THEN 'reset' WHEN fin THEN 'finished' ELSE 'idle' END AS reason FROM e WHERE fin OR rst OR NOT latest OR ts_end + 43200 < seen"""
+)
+def flows_evicted(spark, sf):
+    """The events' file as a stream of packets, flows closed by state and timers, read from the sink."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    e = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    kind = F.col("event_type")
+    packets = e.select(F.col("user_id").alias("flow_id"), F.col("ts").cast("timestamp").alias("event_time"), seconds("ts").alias("ts"), F.col("value").alias("len"), F.lit(0).alias("syn"), (kind == "purchase").cast("int").alias("fin"), (kind == "error").cast("int").alias("rst"))
+    root, old = fresh_dir(spark, "flows-evicted"), spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run = evicting.evicting_flows(packets, idle=43_200.0).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start(f"{root}/rows")
+        run.awaitTermination()
+    finally:
+        spark.conf.set(store, old)
+    return spark.read.schema("flow_id string, packets long, ts_start double, ts_end double, reason string").parquet(f"{root}/rows")
