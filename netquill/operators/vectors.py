@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .neighbours import knn
 
-#: Most values (rows times dimensions) of a query block or a model that is broadcast.
-BROADCAST_VALUES = 4_000_000
+#: Rows of a block of anchors, and similarities in memory at once.
+LOSS_BLOCK, PAIRS = 4_096, 4_000_000
 
 
 def moments(df: DataFrame, vec: str) -> DataFrame:
@@ -64,18 +65,6 @@ def pca(df: DataFrame, vec: str, k: int, out: str = "reduced") -> tuple[DataFram
     return rows.withColumn(out, F.array(*parts)).drop("_v"), axes
 
 
-def _blocks(df: DataFrame, vec: str):
-    rows, size = [], 0
-    for r in df.toLocalIterator():
-        rows.append(tuple(r))
-        size += len(r[1] or ())
-        if size >= BROADCAST_VALUES:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
-
-
 def knn_classify(queries: DataFrame, base: DataFrame, vec: str, id_col: str, label: str, k: int = 5) -> DataFrame:
     """Majority label of the ``k`` nearest base rows, ties to the smallest label."""
     from .metrics import majority_vote
@@ -84,21 +73,21 @@ def knn_classify(queries: DataFrame, base: DataFrame, vec: str, id_col: str, lab
     return majority_vote(near.join(base.select(F.col(id_col).alias("neighbour_id"), F.col(label).alias("pred_label")), "neighbour_id"), "query_id", "pred_label")
 
 
-def contrastive_loss(df: DataFrame, vec: str, label: str, id_col: str, temperature: float = 0.1) -> DataFrame:
+def contrastive_loss(df: DataFrame, vec: str, label: str, id_col: str, temperature: float = 0.1, block: int = LOSS_BLOCK) -> DataFrame:
     """Supervised contrastive loss over all rows: mean over anchors that have a partner of their label.
 
-    Anchors come in blocks of bounded size; each block meets the whole table
-    once as matrix products, every task keeps sums per anchor, and those are
-    merged.  No pair is a row.  Rows of one id are never compared; a null label
-    has no partner.
+    Rows are dealt into blocks by id; every pair of blocks is a task that
+    multiplies two bounded matrices and gives sums per anchor, which are merged.
+    No pair is a row and no row comes to the driver.  Rows of one id are never
+    compared; a null label has no partner; rows without a vector are left out.
     """
-    rows, out = df.select(id_col, vec, label), None
-    for i, block in enumerate(_blocks(rows.orderBy(id_col), vec)):
-        part = _log_sums(rows, block, temperature).withColumn("block", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "loss double, anchors long")
-    per = out.groupBy("block", "anchor").agg(F.collect_list(F.struct("top", "total")).alias("s"), F.sum("same").alias("same"), F.sum("partners").alias("m")).where("m > 0")
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("label"))
+    parts = max(1, -(-rows.count() // block))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), "anchors")
+    all_parts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    anchors, others = rows.withColumnRenamed("part", "a").withColumn("b", all_parts), rows.withColumnRenamed("part", "b").withColumn("a", all_parts)
+    out = anchors.groupBy("a", "b").cogroup(others.groupBy("a", "b")).applyInArrow(_log_sums(temperature), "anchor long, top double, total double, same double, partners long")
+    per = out.groupBy("anchor").agg(F.collect_list(F.struct("top", "total")).alias("s"), F.sum("same").alias("same"), F.sum("partners").alias("m")).where("m > 0")
     top = F.array_max(F.transform("s", lambda x: x["top"]))
     total = F.aggregate("s", F.lit(0.0), lambda t, x: t + x["total"] * F.exp(x["top"] - F.col("top")))
     loss = per.withColumn("top", top).select((F.col("top") + F.log(total) - F.col("same") / F.col("m")).alias("l"))
@@ -110,45 +99,43 @@ def _unit(x: list) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def _log_sums(base: DataFrame, block, temperature: float) -> DataFrame:
-    """Per anchor of the block and task: greatest similarity, sum of exponentials below it, sum and number of partners' similarities."""
-    shared = base.sparkSession.sparkContext.broadcast(block)
+def _log_sums(temperature: float):
+    """Per anchor of a block: greatest similarity to the other block's rows, sum of exponentials below it, sum and number of partners' similarities."""
 
-    def run(batches):
-        block = shared.value
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"anchor": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("top", "total", "same")}, "partners": pa.array([], pa.int64())})
         ids, labels = {}, {}
-        own = np.array([ids.setdefault(r[0], len(ids)) for r in block])
-        y = np.array([-2 if r[2] is None else labels.setdefault(r[2], len(labels)) for r in block])
-        q = _unit([r[1] for r in block])
+        number = lambda values, known: np.array([known.setdefault(x, len(known)) for x in values])
+        own, other_id = number(left["id"].to_pylist(), ids), number(right["id"].to_pylist(), ids)
+        y, by = (np.array([end if x is None else labels.setdefault(x, len(labels)) for x in t["label"].to_pylist()]) for t, end in ((left, -2), (right, -1)))
+        q, x = _unit(left["v"].to_pylist()), _unit(right["v"].to_pylist())
         top, total = np.full(len(q), -np.inf), np.zeros(len(q))
         same, partners = np.zeros(len(q)), np.zeros(len(q), np.int64)
-        step = max(1, BROADCAST_VALUES // len(q))
-        for b in batches:
-            bi = np.array([ids.get(i, -1) for i in b.column(0).to_pylist()])
-            x, by = b.column(1).to_pylist(), np.array([labels.get(v, -1) for v in b.column(2).to_pylist()])
-            for at in range(0, len(x), step):
-                s = q @ _unit(x[at : at + step]).T / temperature
-                other = own[:, None] != bi[None, at : at + step]
-                pair = other & (y[:, None] == by[None, at : at + step])
-                same += np.where(pair, s, 0).sum(1)
-                partners += pair.sum(1)
-                s[~other] = -np.inf
-                new = np.maximum(top, s.max(1))
-                ok = np.isfinite(new)
-                total[ok] = total[ok] * np.exp(top[ok] - new[ok]) + np.exp(s[ok] - new[ok, None]).sum(1)
-                top = new
+        step = max(1, PAIRS // len(q))
+        for at in range(0, len(x), step):
+            s = q @ x[at : at + step].T / temperature
+            other = own[:, None] != other_id[None, at : at + step]
+            pair = other & (y[:, None] == by[None, at : at + step])
+            same += np.where(pair, s, 0).sum(1)
+            partners += pair.sum(1)
+            s[~other] = -np.inf
+            new = np.maximum(top, s.max(1))
+            ok = np.isfinite(new)
+            total[ok] = total[ok] * np.exp(top[ok] - new[ok]) + np.exp(s[ok] - new[ok, None]).sum(1)
+            top = new
         ok = np.flatnonzero(np.isfinite(top))
-        yield pa.record_batch({"anchor": pa.array(ok), "top": pa.array(top[ok]), "total": pa.array(total[ok]), "same": pa.array(same[ok]), "partners": pa.array(partners[ok])})
+        return pa.table({"anchor": left["row"].combine_chunks().take(pa.array(ok)), "top": pa.array(top[ok]), "total": pa.array(total[ok]), "same": pa.array(same[ok]), "partners": pa.array(partners[ok])})
 
-    return base.mapInArrow(run, "anchor long, top double, total double, same double, partners long")
+    return run
 
 
 class Reducer:
-    """Encoder of a reduced space: linear layers with layer norm and ReLU between, trained with labels.
+    """A linear reducer: one map, used both ways, fitted with labels to values in memory.
 
     ``fit`` minimises reconstruction plus supervised contrastive loss by
-    gradient descent on a bounded in-memory sample; ``transform`` runs the
-    encoder over a DataFrame with the weights broadcast.
+    gradient descent; ``transform`` runs the map over a DataFrame with the
+    weights broadcast.  :mod:`.reducer` has the network trained over Spark.
     """
 
     FORMAT = 2

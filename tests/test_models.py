@@ -125,9 +125,8 @@ def test_interval_join(spark):
     assert {r.i for r in joins.interval_semi_join(left, right, ["k"], "t", "t", 60).collect()} == {1, 4}
 
 
-@pytest.mark.parametrize("values", [4_000_000, 60])
-def test_contrastive_loss_of_whole_table(spark, monkeypatch, values):
-    monkeypatch.setattr(vectors, "BROADCAST_VALUES", values)
+@pytest.mark.parametrize("block", [4_096, 20])
+def test_contrastive_loss_of_whole_table(spark, block):
     r = np.random.default_rng(5)
     x, y = r.normal(size=(90, 4)), [None if i % 11 == 0 else int(i % 5) for i in range(89)] + [99]
     df = spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, y, strict=True))], "i long, v array<double>, label int").repartition(5)
@@ -138,7 +137,7 @@ def test_contrastive_loss_of_whole_table(spark, monkeypatch, values):
         mates = [b for b in rest if y[a] is not None and y[a] == y[b]]
         if mates:
             losses.append(np.log(np.exp(s[a, rest]).sum()) - s[a, mates].mean())
-    got = vectors.contrastive_loss(df, "v", "label", "i").first()
+    got = vectors.contrastive_loss(df, "v", "label", "i", block=block).first()
     assert got.anchors == len(losses) and abs(got.loss - np.mean(losses)) < 2e-6
 
 
