@@ -223,3 +223,16 @@ def flows_evicted(spark, sf):
     finally:
         spark.conf.set(store, old)
     return spark.read.schema("flow_id string, packets long, ts_start double, ts_end double, reason string").parquet(f"{root}/rows")
+
+
+@query(
+    f"""WITH {_FRAMES} SELECT kind AS label, 1 AS linktype, t AS ts, src_ip, dst_ip, src_port, dst_port, len FROM k"""
+)
+def captures_by_label(spark, sf):
+    """Packets written as captures by label and link type, then read back by label folder."""
+    root = fresh_dir(spark, "captures-by-label")
+    spark.dataSource.register(pcap.PcapSource)
+    label = F.element_at(F.split("file", "/"), -2)
+    frames(spark, sf).select(label.alias("label"), "linktype", "ts", "raw").write.format("pcap").mode("append").save(root)
+    d = pcap.decode(capture_scan.scan_captures(spark, root, glob="part-*.pcap"))
+    return d.select(F.element_at(F.split("file", "/"), -3).alias("label"), "linktype", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "len")

@@ -8,9 +8,12 @@ also reaches stores that only Spark reads.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schemas import PACKET
 from . import headers
@@ -229,52 +232,152 @@ class PcapReader(DataSourceReader):
 
     def read(self, partition):
         if partition.path:
+            from .capture_scan import Bytes, Walk, capture
+
             fs, _ = _fs(self.path)
-            with fs.open_input_stream(partition.path) as f:
-                data = f.read()
-            for i, (ts, raw, link) in enumerate(packets(data, self.limit)):
-                yield partition.path, i, ts, link, raw
+            with fs.open_input_file(partition.path) as f:  # block by block, however long
+                src = Bytes(f, f.size())
+                records = capture(src)
+                if records is None:
+                    return
+                for i, (ts, start, n, link) in enumerate(records.walk(Walk(records.first, 1), src.size)):
+                    if self.limit is not None and i >= self.limit:
+                        return
+                    yield partition.path, i, ts, link, src.at(start, n)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    """Temporary files of a task, each with the folder (below the sink's) and the name it is for."""
 
+    files: list[tuple[str, str]]
+
+
+#: Packets held for a file before they are written.
+FLUSH_PACKETS = 100_000
+
+
+def _folder(label, linktype: int | None) -> str:
+    """Where packets of a label (null or absent: none) and link type go."""
+    kind = {1: "ethernet", 113: "cooked"}.get(linktype, "raw" if linktype is None else f"raw-{linktype}")
+    # letters, digits and dash stand for themselves: other characters would mean something in a path or its URI
+    return kind if label is None else re.sub(r"[^A-Za-z0-9\-]", lambda m: f"_{ord(m[0]):x}_", f"{label}" or " ") + f"/{kind}"
 
-class _Written(WriterCommitMessage):
-    def __init__(self, temp: str, final: str):
-        self.temp, self.final = temp, final
 
+class _Files:
+    """A task's captures, one per label and link type; packets go out as they come, FLUSH_PACKETS at most are held."""
 
-class PcapWriter(DataSourceWriter):
-    """One capture per task and link type, under a temporary name until the job commits."""
+    def __init__(self, root: str, flush: int = FLUSH_PACKETS):
+        self.fs, self.root = _fs(root)
+        self.flush_at, self.held, self.number = flush, {}, 0
+        self.open: dict[tuple, tuple] = {}
 
+    def add(self, label, linktype, ts, raw: bytes) -> None:
+        key = (label, linktype)
+        self.held.setdefault(key, []).append((ts or 0.0, raw))
+        self.number += 1
+        if self.number >= self.flush_at:
+            self.flush()
+
+    def flush(self) -> None:
+        for key, rows in self.held.items():
+            label, linktype = key
+            data = capture_bytes(rows, (linktype or 0) & 0xFFFF)
+            if key not in self.open:
+                self.fs.create_dir(f"{self.root}/_temporary", recursive=True)
+                name = f"{self.root}/_temporary/{uuid.uuid4().hex}.pcap"
+                self.open[key] = (name, self.fs.open_output_stream(name, compression=None))
+                self.open[key][1].write(data)
+            else:
+                self.open[key][1].write(data[24:])
+        self.held, self.number = {}, 0
+
+    def close(self) -> _Written:
+        self.flush()
+        for _, stream in self.open.values():
+            stream.close()
+        return _Written([(name, _folder(*key)) for key, (name, _) in sorted(self.open.items(), key=str)])
+
+
+class _Sink:
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.flush = options["path"], int(options.get("flushPackets", FLUSH_PACKETS))
 
     def write(self, rows):
-        import uuid
-
-        fs, path = _fs(self.path)
-        fs.create_dir(path, recursive=True)
-        by_link: dict[int, list] = {}
+        out = _Files(self.path, self.flush)
         for r in rows:
-            by_link.setdefault(r["linktype"], []).append((r["ts"] or 0.0, bytes(r["raw"])))
-        made = []
-        for link, part in by_link.items():
-            name = f"part-{uuid.uuid4().hex}-{link}.pcap"
-            with fs.open_output_stream(f"{path}/_{name}") as f:
-                f.write(capture_bytes(part, link))
-            made.append((f"{path}/_{name}", f"{path}/{name}"))
-        return _Written(";".join(m[0] for m in made), ";".join(m[1] for m in made))
+            out.add(r["label"] if "label" in r else None, r["linktype"], r["ts"], bytes(r["raw"]))
+        return out.close()
 
-    def commit(self, messages):
+    def _discard(self, messages) -> None:
         fs, _ = _fs(self.path)
         for m in messages:
-            for a, b in zip(m.temp.split(";"), m.final.split(";"), strict=True):
-                if a:
-                    fs.move(a, b)
+            for name, _ in m.files if m else ():
+                if fs.get_file_info(name).type != pafs.FileType.NotFound:
+                    fs.delete_file(name)
+
+    def _place(self, messages, stem: str) -> list[str]:
+        """Move temporary files to their folders, numbered in the order of tasks."""
+        fs, root = _fs(self.path)
+        done = []
+        for i, (name, folder) in enumerate(f for m in messages if m for f in m.files):
+            fs.create_dir(f"{root}/{folder}", recursive=True)
+            done.append(f"{folder}/{stem}-{i:05d}.pcap")
+            fs.move(name, f"{root}/{done[-1]}")
+        return done
+
+
+class PcapWriter(_Sink, DataSourceWriter):
+    """Captures by label (where the frame has one) and link type, under temporary names until the job commits."""
+
+    def commit(self, messages):
+        self._place(messages, f"part-{uuid.uuid4().hex}")
 
     def abort(self, messages):
-        fs, _ = _fs(self.path)
-        for m in messages:
-            for a in filter(None, m.temp.split(";") if m else ()):
-                fs.delete_file(a)
+        self._discard(messages)
+
+
+class PcapStreamWriter(_Sink, DataSourceStreamWriter):
+    """The same for streams, every epoch once.
+
+    An epoch is committed when its log ``_epochs/<number>.json`` stands, which
+    names its files.  A repeated epoch whose log stands is dropped; one that was
+    cut off before its log loses the files it had placed and is placed anew.
+    """
+
+    def commit(self, messages, batchId):
+        fs, root = _fs(self.path)
+        log = f"{root}/_epochs/{batchId}.json"
+        if fs.get_file_info(log).type != pafs.FileType.NotFound:
+            self._discard(messages)
+            return
+        stem = f"epoch-{batchId:010d}"
+        if fs.get_file_info(root).type == pafs.FileType.Directory:
+            for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)):
+                if f.type == pafs.FileType.File and f.base_name.startswith(f"{stem}-"):
+                    fs.delete_file(f.path)
+        done = self._place(messages, stem)
+        fs.create_dir(f"{root}/_epochs", recursive=True)
+        half = f"{root}/_epochs/_{uuid.uuid4().hex}"
+        with fs.open_output_stream(half, compression=None) as f:
+            f.write(json.dumps(done).encode())
+        fs.move(half, log)
+
+    def abort(self, messages, batchId):
+        self._discard(messages)
+
+
+def committed_captures(path: str) -> list[str]:
+    """Files of all committed epochs of a stream's sink."""
+    fs, root = _fs(path)
+    if fs.get_file_info(f"{root}/_epochs").type == pafs.FileType.NotFound:
+        return []
+    out = []
+    for f in fs.get_file_info(pafs.FileSelector(f"{root}/_epochs")):
+        if f.base_name.endswith(".json"):
+            with fs.open_input_stream(f.path, compression=None) as s:
+                out += [f"{root}/{x}" for x in json.loads(s.read())]
+    return sorted(out)
 
 
 class PcapSource(DataSource):
@@ -293,6 +396,9 @@ class PcapSource(DataSource):
     def writer(self, schema, overwrite):
         return PcapWriter(self.options)
 
+    def streamWriter(self, schema, overwrite):
+        return PcapStreamWriter(self.options)
+
 
 def _fs(path: str):
     return pafs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
