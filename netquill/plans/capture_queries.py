@@ -65,7 +65,7 @@ def capture_ranges_read(spark, sf):
         own = frames(spark, sf).where(F.col("file").contains(f"/{kind}/"))
         own.select("file", "pkt_no", "ts", "linktype", "raw").orderBy("pkt_no").coalesce(1).write.format("pcap").mode("append").save(f"{root}/{kind}")
     d = pcap.decode(capture_scan.scan_captures(spark, root, 32 << 10))
-    return d.select("pkt_no", F.element_at(F.split("file", "/"), -2).alias("kind"), "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "len")
+    return d.select("pkt_no", F.element_at(F.split("file", "/"), -3).alias("kind"), "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "len")
 
 
 def wide_frames(spark, sf):
