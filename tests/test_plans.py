@@ -155,3 +155,15 @@ def test_boosted_detector_with_reducer(spark, tmp_path):
     folders = detect.export_assets(detect.detection_assets(got["predictions"]), str(tmp_path / "csv"))
     assert [f.rsplit("/", 1)[1] for f in folders] == ["classes", "malicious", "summary"]
     assert spark.read.option("header", True).csv(folders[0]).count() == len({v[0] for v in p.values()})
+
+
+def test_models_compared_on_one_split(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(f"u{i}", r.gauss(4.0 * (i % 3), 0.5), r.gauss(100.0 * (i % 3), 5.0) if i % 8 else None, i % 3) for i in range(120)]
+    df = spark.createDataFrame(rows, "flow_uid string, a double, b double, label int")
+    tree = {"DecisionTree": DecisionTreeClassifier(labelCol="label", featuresCol="features", weightCol="weight", seed=1)}
+    got = {x.model: x for x in detect.compare_models(df, models=tree, classes=3, rounds=3, depth=2, bins=8, rate=0.5, least=3, patience=2).collect()}
+    assert set(got) == {"DecisionTree", "KNN", "Boosted"}
+    assert all(x.accuracy > 0.9 and x.macro_f1 > 0.9 and x.weighted_f1 > 0.9 for x in got.values())
