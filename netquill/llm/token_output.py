@@ -36,9 +36,9 @@ from .repeats import _SPACE
 
 END_ID = 2
 #: Pieces whose ids a worker keeps, in each of two generations; when the younger is full the elder goes.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 150_000
 #: Text that is encoded at once.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: The dictionary is for short documents: it is trained on whole texts of at most DICT_CHARS characters, the first in md5 order of id and text, at most so many and of so many bytes.
 DICT_DOCS, DICT_CHARS, DICT_BYTES, DICT_SIZE = 2_000, 20_000, 4 << 20, 64 << 10
 SHARD_BYTES = 24 << 20
