@@ -236,3 +236,15 @@ def captures_by_label(spark, sf):
     frames(spark, sf).select(label.alias("label"), "linktype", "ts", "raw").write.format("pcap").mode("append").save(root)
     d = pcap.decode(capture_scan.scan_captures(spark, root, glob="part-*.pcap"))
     return d.select(F.element_at(F.split("file", "/"), -3).alias("label"), "linktype", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "len")
+
+
+@query(f"WITH {_FRAMES} SELECT t AS ts, kind, len FROM k WHERE t >= 1704240000 AND t < 1705000000.5 AND kind = 'benign'")
+def captures_in_window(spark, sf):
+    """Captures by label; the source reads packets of a span of time and of one link type only."""
+    spark.dataSource.register(pcap.PcapSource)
+    root = fresh_dir(spark, "window-captures")
+    kind = F.element_at(F.split("file", "/"), -2).alias("label")
+    frames(spark, sf).select(kind, "linktype", "ts", "raw").write.format("pcap").mode("append").save(root)
+    found = pcap.open_captures(spark, root, [("ts", ">=", 1704240000), ("ts", "<", 1705000000.5), ("linktype", "=", 1)])
+    label = F.element_at(F.split("file", "/"), -3)
+    return found.where(label == "benign").select("ts", label.alias("kind"), F.length("raw").cast("int").alias("len"))

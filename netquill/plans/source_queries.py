@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import features, joins, metrics, splits
 from ..schemas import id_column, prefixed_columns
-from ..sources import files
+from ..sources import csv_scan, files
 from . import extract, registry, serve
 from .queries import query, table
 
@@ -34,6 +34,14 @@ def jsonl_texts(spark, sf):
     return files.read_texts(spark, path)
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text, NULL::VARCHAR AS gone FROM documents WHERE lang <> 'en' AND text <> ''")
+def encoded_csv_scan(spark, sf):
+    """Texts written in GB18030, read in byte ranges; the source answers the filters, a column no file has is null."""
+    path = files.scratch_path(spark, "gb18030")
+    csv_scan.write_encoded_csv(table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[\\r\\n]+", " ").alias("text"), "lang"), path)
+    return csv_scan.scan_csv(spark, path, ["doc_id", "lang", "text", "gone"], [("lang", "<>", "en"), ("text", "is not null", None)])
+
+
 @query("SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS feat_0, CAST(embedding[2] AS DOUBLE) AS feat_1, CAST(embedding[3] AS DOUBLE) AS feat_2 FROM embeddings")
 def vector_sink(spark, sf):
     path = files.scratch_path(spark, "vectors")
@@ -209,21 +217,21 @@ def stage_summary(spark, sf):
 
 
 def _predictions(spark, sf):
-    e = table(spark, sf, "embeddings").where("label < 8")
-    return e.select(F.format_string("f%06d", "vec_id").alias("flow_uid"), scalar.label_name(F.col("label")).alias("pred_label_name"))
+    e = table(spark, sf, "embeddings")
+    return e.select(F.format_string("f%06d", "vec_id").alias("flow_uid"), scalar.label_name(F.col("label") % 8).alias("pred_label_name"))
 
 
-@query("SELECT flow_uid, name AS pred_label_name FROM (SELECT 'f' || lpad(vec_id::VARCHAR, 6, '0') AS flow_uid, list_extract(['benign', 'adware', 'dns2tcp', 'dnscat2', 'iodine', 'ransomware', 'scareware', 'smsmalware'], label + 1) AS name FROM embeddings WHERE label < 8) WHERE name = 'iodine' ORDER BY flow_uid LIMIT 10 OFFSET 5")
+@query("SELECT flow_uid, name AS pred_label_name FROM (SELECT 'f' || lpad(vec_id::VARCHAR, 6, '0') AS flow_uid, list_extract(['benign', 'adware', 'dns2tcp', 'dnscat2', 'iodine', 'ransomware', 'scareware', 'smsmalware'], label % 8 + 1) AS name FROM embeddings) WHERE name = 'iodine' ORDER BY flow_uid LIMIT 10 OFFSET 5")
 def predictions_page(spark, sf):
     return serve.predictions_page(_predictions(spark, sf), 10, 5, "iodine")
 
 
-@query("SELECT 'f' || lpad(vec_id::VARCHAR, 6, '0') AS flow_uid FROM embeddings WHERE label < 8 ORDER BY flow_uid LIMIT 7 OFFSET 3")
+@query("SELECT 'f' || lpad(vec_id::VARCHAR, 6, '0') AS flow_uid FROM embeddings ORDER BY flow_uid LIMIT 7 OFFSET 3")
 def metadata_page(spark, sf):
     return serve.metadata_page(_predictions(spark, sf), 7, 3).select("flow_uid")
 
 
-@query("SELECT 'f' || lpad(vec_id::VARCHAR, 6, '0') AS flow_uid, 'adware' AS pred_label_name FROM embeddings WHERE label = 1")
+@query("SELECT 'f' || lpad(vec_id::VARCHAR, 6, '0') AS flow_uid, 'adware' AS pred_label_name FROM embeddings WHERE label % 8 = 1")
 def label_filter(spark, sf):
     p = _predictions(spark, sf)
     return p.where(F.col("pred_label_name") == "adware").select(id_column(p), "pred_label_name")

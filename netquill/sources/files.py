@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import csv
 import shutil
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FLOW_JSONL, LABEL2ID, NUMERIC_FEATURES, require_columns
+from . import csv_scan
 
 
 def first_existing(spark, paths) -> str:
@@ -72,29 +71,8 @@ def read_csv(spark, path: str, columns=None, schema=None, encoding: str = "UTF-8
 
 
 def read_csv_any_encoding(spark, path: str, columns=None) -> DataFrame:
-    """UTF-8, or GB18030 if the text holds what UTF-8 cannot decode.
-
-    Spark's CSV reader knows no GB18030, so those files are decoded file by
-    file and their lines parsed by Spark; all files share one header.
-    """
-    df = read_csv(spark, path, columns)
-    bad = df.where(F.exists(F.array(*[F.col(f"`{c}`") for c in df.columns]), lambda x: x.contains("\ufffd"))).limit(1).count()
-    bad = bad or any("\ufffd" in c for c in df.columns)
-    if not bad:
-        return df
-
-    def lines(batches):
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                rows = content.decode("gb18030", "replace").lstrip("\ufeff").splitlines()
-                for at in range(0, len(rows), 10_000):
-                    yield pa.record_batch({"line": pa.array(rows[at : at + 10_000], pa.string())})
-
-    text = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "line string")
-    head = text.first().line
-    names = next(csv.reader([head]))
-    rows = text.where(F.col("line") != head).select(F.from_csv("line", ", ".join(f"`{n}` string" for n in names), {"quote": '"', "escape": '"'}).alias("r")).select("r.*")
-    return rows.select(*columns) if columns else rows
+    """UTF-8, or GB18030 where a file holds what UTF-8 cannot decode; byte ranges, a header a file."""
+    return csv_scan.scan_csv(spark, path, columns)
 
 
 def read_flow_csv(spark, path: str) -> DataFrame:

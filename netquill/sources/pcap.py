@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schemas import PACKET
-from . import headers
+from . import headers, pushed
 
 # File magics, block types, limits.
 PCAP_BIG, PCAP_LITTLE, PCAPNG = b"\xa1\xb2\xc3\xd4", b"\xd4\xc3\xb2\xa1", b"\x0a\x0d\x0d\x0a"
@@ -221,8 +221,14 @@ class _Part(InputPartition):
 class PcapReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.limit = options["path"], int(options["limit"]) if "limit" in options else None
+        self.where = pushed.unpacked(options)
 
     def partitions(self):
+        """A file a task; files that a filter on ``file`` leaves out are not opened."""
+        tests = pushed.tests_of(self.where, "file", pa.string())
+        return [p for p in self._found() if all(t(p.path) for t in tests)] or [_Part("")]
+
+    def _found(self):
         fs, path = _fs(self.path)
         info = fs.get_file_info(path)
         if info.type == pafs.FileType.File:
@@ -240,10 +246,15 @@ class PcapReader(DataSourceReader):
                 records = capture(src)
                 if records is None:
                     return
+                times, links = pushed.tests_of(self.where, "ts", pa.float64()), pushed.tests_of(self.where, "linktype", pa.int32())
+                known: dict = {}  # a handful of link types
                 for i, (ts, start, n, link) in enumerate(records.walk(Walk(records.first, 1), src.size)):
                     if self.limit is not None and i >= self.limit:
                         return
-                    yield partition.path, i, ts, link, src.at(start, n)
+                    if link not in known:
+                        known[link] = all(t(link) for t in links)
+                    if known[link] and all(t(ts) for t in times):  # before the packet's bytes are read
+                        yield partition.path, i, ts, link, src.at(start, n)
 
 
 @dataclass
@@ -381,7 +392,11 @@ def committed_captures(path: str) -> list[str]:
 
 
 class PcapSource(DataSource):
-    """``spark.dataSource.register(PcapSource)``, then format ``pcap``; option ``limit``: packets per file."""
+    """``spark.dataSource.register(PcapSource)``, then format ``pcap``.
+
+    Options: ``limit``, packets per file, counted before filters; ``where``,
+    filters on ``file``, ``ts`` and ``linktype`` as :func:`pushed.packed` writes them.
+    """
 
     @classmethod
     def name(cls):
@@ -400,5 +415,11 @@ class PcapSource(DataSource):
         return PcapStreamWriter(self.options)
 
 
+def open_captures(spark, path: str, where=()) -> DataFrame:
+    """Packets of all captures under ``path``; ``where`` filters by file, time and link type before packets are read."""
+    spark.dataSource.register(PcapSource)
+    return spark.read.format("pcap").option("where", pushed.packed(where, ("file", "ts", "linktype"))).load(path)
+
+
 def _fs(path: str):
     return pafs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
