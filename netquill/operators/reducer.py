@@ -38,7 +38,12 @@ DEFAULTS = {
     "min_delta": 1e-4,
     "balance_classes": True,
     "seed": 42,
+    # variants: anchors weighted by class, a falling rate, a contrastive weight that moves in a line over the epochs
+    "class_weighted": False,
+    "schedule": "constant",
+    "contrastive_weight_end": None,
 }
+SCHEDULES = ("constant", "cosine")
 FORMAT = 2
 CLIP = 5.0
 #: Batches of one step, and groups their gradients are added up in before the driver.
@@ -93,8 +98,17 @@ class Stack:
         return d
 
 
-def contrastive(z: np.ndarray, y: np.ndarray, temperature: float) -> tuple[float, np.ndarray]:
-    """Supervised contrastive loss of unit projections of ``z`` and its gradient; 0 where no row has a partner."""
+def class_weights(counts) -> np.ndarray:
+    """A weight a class, inverse to its rows (at least one), 1 on average."""
+    share = 1 / np.maximum(np.asarray(counts, np.float64), 1)
+    return share / share.sum() * len(share)
+
+
+def contrastive(z: np.ndarray, y: np.ndarray, temperature: float, weights: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Supervised contrastive loss of unit projections of ``z`` and its gradient; 0 where no row has a partner.
+
+    ``weights`` of classes make the mean over anchors a weighted one.
+    """
     norm = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     u = z / norm
     s = u @ u.T / temperature
@@ -107,8 +121,10 @@ def contrastive(z: np.ndarray, y: np.ndarray, temperature: float) -> tuple[float
     top = s.max(1, keepdims=True)
     e = np.exp(s - top)
     log = s - top - np.log(e.sum(1, keepdims=True))
-    loss = -(np.where(same, log, 0).sum(1)[some] / partners[some, 0]).mean()
-    ds = np.where(some[:, None], e / e.sum(1, keepdims=True) - same / np.maximum(partners, 1), 0) / some.sum() / temperature
+    share = np.where(some, 1.0 if weights is None else np.asarray(weights)[y], 0.0)
+    share /= share.sum()
+    loss = -(np.where(same, log, 0).sum(1) / np.maximum(partners[:, 0], 1) * share).sum()
+    ds = (e / e.sum(1, keepdims=True) - same / np.maximum(partners, 1)) * share[:, None] / temperature
     du = (ds + ds.T) @ u
     return float(loss), (du - u * (du * u).sum(1, keepdims=True)) / norm
 
@@ -133,7 +149,7 @@ class Network:
         z, enc = self.encoder.forward(p, x, c["dropout"], rng)
         back, dec = self.decoder.forward(p, z, c["dropout"], rng)
         proj, pro = self.projector.forward(p, z)
-        apart, d_proj = contrastive(proj, y, c["temperature"])
+        apart, d_proj = contrastive(proj, y, c["temperature"], c.get("anchor_weights"))
         miss = back - x
         total = c["reconstruction_weight"] * float((miss**2).mean()) + c["contrastive_weight"] * apart
         if not want_gradient:
@@ -202,6 +218,8 @@ class SupConReducer:
         if unknown:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         self.cfg = {**DEFAULTS, **config}
+        if self.cfg["schedule"] not in SCHEDULES:
+            raise ValueError(f"unknown schedule: {self.cfg['schedule']}")
         self.history: list[tuple[float, float]] = []
 
     def _rows(self, df: DataFrame, id_col: str, label: str) -> DataFrame:
@@ -209,6 +227,16 @@ class SupConReducer:
         scaled = F.zip_with(F.zip_with(wide, F.lit(self.mean), lambda x, m: x - m), F.lit(self.std), lambda x, s: x / s)
         return df.select(F.xxhash64(F.col(id_col), wide).alias("key"), F.col(label).alias("label"), scaled.alias("x"))
 
+    def settings(self, epoch: int) -> tuple[float, float]:
+        """Learning rate and contrastive weight of an epoch."""
+        c = self.cfg
+        last, rate, weight = max(1, c["epochs"] - 1), c["learning_rate"], c["contrastive_weight"]
+        if c["schedule"] == "cosine":
+            rate *= (1 + np.cos(np.pi * epoch / max(1, c["epochs"]))) / 2
+        if c["contrastive_weight_end"] is not None:
+            weight += (c["contrastive_weight_end"] - weight) * epoch / last
+        return float(rate), float(weight)
+
     def fit(self, train: DataFrame, val: DataFrame, columns: list[str], label: str = "label", id_col: str = "flow_uid") -> SupConReducer:
         """Train until the validation loss has not fallen for some epochs; the weights of the best epoch stay.
 
@@ -237,7 +265,11 @@ class SupConReducer:
         share = F.create_map(*[v for k in self.classes for v in (F.lit(k), F.lit(n / (len(counts) * counts[k])))]) if c["balance_classes"] else None
         rows = written(self._rows(train, id_col, label).withColumn("y", number[F.col("label")]).withColumn("share", share[F.col("label")] if share is not None else F.lit(1.0)).drop("label"), "train")
         held = written(self._rows(val, id_col, label).withColumn("y", number[F.col("label")]).drop("label"), "validation")
+        if c["class_weighted"]:
+            c = {**c, "anchor_weights": class_weights([counts[k] for k in self.classes])}
         net, adam = Network(len(columns), c), AdamW(c["learning_rate"], c["weight_decay"])
+        # epochs are compared by one loss, that of the last epoch's weight
+        final = {**c, "contrastive_weight": self.settings(c["epochs"] - 1)[1]}
         groups = max(1, -(-n // c["batch_size"]))
         held_groups = max(1, -(-held.count() // c["batch_size"]))
         best, kept, stale = np.inf, None, 0
@@ -247,8 +279,10 @@ class SupConReducer:
             drawn = rows.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
             drawn = written(drawn.withColumn("group", (draw(1) % groups).cast("int")).drop("share"), "epoch")
             losses = []
+            adam.rate, weight = self.settings(epoch)
+            now = {**c, "contrastive_weight": weight}
             for low in range(0, groups, GROUPS_A_STEP):
-                shared = spark.sparkContext.broadcast(net)
+                shared = spark.sparkContext.broadcast(Network(net.width, now, net.weights))
                 part = drawn.where(F.col("group").between(low, low + GROUPS_A_STEP - 1)).groupBy("group").applyInArrow(_gradients(shared, epoch, True), _PART)
                 parts = sorted(part.groupBy("slot").applyInArrow(_added, _PART).collect(), key=lambda x: x["slot"])
                 if parts:
@@ -256,7 +290,7 @@ class SupConReducer:
                     losses.append(sum(x["loss"] for x in parts) / total)
                     gradient = sum(np.frombuffer(x["gradient"]) for x in parts) / total
                     net = Network(net.width, c, unflat(adam.step(flat(net.weights), gradient), net.weights))
-            shared = spark.sparkContext.broadcast(net)
+            shared = spark.sparkContext.broadcast(Network(net.width, final, net.weights))
             mine = held.withColumn("copy", F.lit(1)).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(held_groups)).cast("int"))
             v = mine.groupBy("group").applyInArrow(_gradients(shared, epoch, False), _PART).agg(F.sum("loss").alias("l"), F.sum("n").alias("n")).first()
             loss = v["l"] / v["n"] if v["n"] else float(np.mean(losses))

@@ -73,9 +73,11 @@ def knn_classify(queries: DataFrame, base: DataFrame, vec: str, id_col: str, lab
     return majority_vote(near.join(base.select(F.col(id_col).alias("neighbour_id"), F.col(label).alias("pred_label")), "neighbour_id"), "query_id", "pred_label")
 
 
-def contrastive_loss(df: DataFrame, vec: str, label: str, id_col: str, temperature: float = 0.1, block: int = LOSS_BLOCK) -> DataFrame:
+def contrastive_loss(df: DataFrame, vec: str, label: str, id_col: str, temperature: float = 0.1, block: int = LOSS_BLOCK, class_weighted: bool = False) -> DataFrame:
     """Supervised contrastive loss over all rows: mean over anchors that have a partner of their label.
 
+    With ``class_weighted`` every anchor weighs as the inverse of its label's rows.
+
     Rows are dealt into blocks by id; every pair of blocks is a task that
     multiplies two bounded matrices and gives sums per anchor, which are merged.
     No pair is a row and no row comes to the driver.  Rows of one id are never
@@ -90,7 +92,11 @@ def contrastive_loss(df: DataFrame, vec: str, label: str, id_col: str, temperatu
     per = out.groupBy("anchor").agg(F.collect_list(F.struct("top", "total")).alias("s"), F.sum("same").alias("same"), F.sum("partners").alias("m")).where("m > 0")
     top = F.array_max(F.transform("s", lambda x: x["top"]))
     total = F.aggregate("s", F.lit(0.0), lambda t, x: t + x["total"] * F.exp(x["top"] - F.col("top")))
-    loss = per.withColumn("top", top).select((F.col("top") + F.log(total) - F.col("same") / F.col("m")).alias("l"))
+    loss = per.withColumn("top", top).select("anchor", (F.col("top") + F.log(total) - F.col("same") / F.col("m")).alias("l"))
+    if class_weighted:
+        share = rows.groupBy("label").agg((1 / F.count(F.lit(1))).alias("w"))
+        loss = loss.join(rows.select(F.col("row").alias("anchor"), "label"), "anchor").join(share, "label")
+        return loss.agg(F.coalesce(F.round(F.sum(F.col("l") * F.col("w")) / F.sum("w"), 6), F.lit(0.0)).alias("loss"), F.count(F.lit(1)).alias("anchors"))
     return loss.agg(F.coalesce(F.round(F.avg("l"), 6), F.lit(0.0)).alias("loss"), F.count(F.lit(1)).alias("anchors"))
 
 

@@ -544,6 +544,12 @@ def supcon_loss_table(spark, sf):
     return supcon_loss(spark, sf)
 
 
+@query(_SUPCON.split("SELECT round(avg(l), 6)")[0].replace("l AS (SELECT s.a,", "c AS (SELECT label, 1 / count(*) AS w FROM embeddings GROUP BY label), l AS (SELECT s.a,") + "SELECT round(sum(l * w) / sum(w), 6) AS loss, count(*) AS anchors FROM l JOIN u ON l.a = u.vec_id JOIN c ON u.label = c.label")
+def supcon_loss_weighted(spark, sf):
+    """The loss with anchors weighted by the inverse of their label's rows."""
+    return vectors.contrastive_loss(table(spark, sf, "embeddings"), "embedding", "label", "vec_id", class_weighted=True)
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def page_rows(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy("o_orderkey").offset(100).limit(50)

@@ -38,6 +38,42 @@ def test_contrastive_loss_by_hand():
     assert reducer.contrastive(z[:2], np.array([0, 1]), t)[0] == 0
 
 
+def test_weighted_anchors():
+    r = np.random.default_rng(4)
+    z, y, t = r.normal(size=(8, 3)), np.array([0, 0, 0, 0, 1, 1, 2, 2]), 0.3
+    w = reducer.class_weights([4, 2, 2])
+    assert w == pytest.approx([0.6, 1.2, 1.2])
+    one = [reducer.contrastive(z, y, t, np.eye(3)[k])[0] for k in range(3)]  # the mean over one class's anchors
+    share = w * [4, 2, 2] / (w * [4, 2, 2]).sum()
+    assert reducer.contrastive(z, y, t, w)[0] == pytest.approx(np.dot(one, share))
+    assert reducer.contrastive(z, y, t, np.ones(3))[0] == pytest.approx(reducer.contrastive(z, y, t)[0])
+    _, grad = reducer.contrastive(z, y, t, w)
+    for i in range(z.size):
+        step = np.zeros(z.size)
+        step[i] = 1e-6
+        up, down = (reducer.contrastive(z + s * step.reshape(z.shape), y, t, w)[0] for s in (1, -1))
+        assert grad.ravel()[i] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-7)
+
+
+def test_settings_of_epochs():
+    model = reducer.SupConReducer(epochs=5, learning_rate=0.1, schedule="cosine", contrastive_weight=1.0, contrastive_weight_end=3.0)
+    rates, weights = zip(*(model.settings(e) for e in range(5)), strict=True)
+    assert rates == pytest.approx([0.1 * (1 + np.cos(np.pi * e / 5)) / 2 for e in range(5)])
+    assert weights == pytest.approx([1, 1.5, 2, 2.5, 3])
+    assert reducer.SupConReducer(learning_rate=0.2).settings(7) == (0.2, 1.0)
+    with pytest.raises(ValueError, match="schedule"):
+        reducer.SupConReducer(schedule="steps")
+
+
+def test_variants_train_and_are_stored(spark, tmp_path):
+    train, val = frames(spark)
+    cfg = {**CFG, "class_weighted": True, "schedule": "cosine", "contrastive_weight_end": 2.0, "dropout": 0.0}
+    fit = reducer.SupConReducer(**cfg).fit(train.where("label > 0 or flow_uid < 'f3'"), val, NAMES)
+    assert np.isfinite(fit.history).all()
+    fit.save(spark, str(tmp_path / "m"))
+    assert reducer.SupConReducer.load(spark, str(tmp_path / "m")).cfg == fit.cfg
+
+
 def frames(spark, per=20):
     r = np.random.default_rng(42)
 
