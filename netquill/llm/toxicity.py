@@ -108,39 +108,44 @@ def label_tokens(texts: list[str], toxic: list[int]) -> list[np.ndarray]:
 
 
 def _segments(texts, tags):
-    """Segments of at most SEGMENT tokens: all with a tagged token, and every fourth other."""
-    for k, (text, tag) in enumerate(zip(texts, tags, strict=True)):
+    """Segments of at most SEGMENT tokens of all texts."""
+    for text, tag in zip(texts, tags, strict=True):
         words = text.split()
         for a in range(0, len(words), SEGMENT):
-            if tag[a : a + SEGMENT].any() or (a // SEGMENT + k) % 4 == 0:
-                yield words[a : a + SEGMENT], tag[a : a + SEGMENT]
+            yield words[a : a + SEGMENT], tag[a : a + SEGMENT]
 
 
 def fit_crf(texts: list[str], toxic: list[int], epochs: int = 6, batch: int = 256, rate: float = 0.3, l2: float = 1e-6) -> dict:
-    """Weights of the CRF: ``w`` (tagged minus untagged, per feature), ``trans`` (2x2 logs), ``start`` (2 logs)."""
+    """Weights of the CRF: ``w`` (tagged minus untagged, per feature), ``trans`` (2x2 logs), ``start`` (2 logs).
+
+    Every segment of the sample counts; steps work on the features that occur in it.
+    """
     tags = label_tokens(texts, toxic)
-    segs = list(_segments(texts, tags))
-    dim = (1 << DIM_BITS) + 1  # the last is padding
-    w = np.zeros(dim)
     trans, start = np.zeros((2, 2)), np.zeros(2)
-    if not segs:
-        return {"w": w[:-1], "trans": trans, "start": start}
+    total = np.zeros(1 << DIM_BITS)
+    n_segs = sum(-(-len(t) // SEGMENT) for t in tags)
+    if not n_segs:
+        return {"w": total, "trans": trans, "start": start}
     memo: dict[str, list[int]] = {}
+    place: dict[int, int] = {}  # of a feature among those that occur; 0 is padding
     width = 6
-    feats = np.full((len(segs), SEGMENT, width), dim - 1, np.int32)
-    y = np.zeros((len(segs), SEGMENT), np.int8)
-    length = np.array([len(s[0]) for s in segs])
-    for i, (words, tag) in enumerate(segs):
+    feats = np.zeros((n_segs, SEGMENT, width), np.int32)
+    y = np.zeros((n_segs, SEGMENT), np.int8)
+    length = np.zeros(n_segs, np.int64)
+    for i, (words, tag) in enumerate(_segments(texts, tags)):
+        length[i] = len(words)
         y[i, : len(words)] = tag
         for j, word in enumerate(words):
             f = memo.get(word)
             if f is None:
-                f = memo[word] = word_features(word)
+                f = memo[word] = [place.setdefault(x, len(place) + 1) for x in word_features(word)]
             feats[i, j, : len(f)] = f
+    dim = len(place) + 1
+    w = np.zeros(dim)
     gw, gt, gs = np.full(dim, 1e-8), np.full((2, 2), 1e-8), np.full(2, 1e-8)
     rng = np.random.default_rng(7)
     for _ in range(epochs):
-        order = rng.permutation(len(segs))
+        order = rng.permutation(n_segs)
         for at in range(0, len(order), batch):
             b = order[at : at + batch]
             n = int(length[b].max())
@@ -150,7 +155,7 @@ def fit_crf(texts: list[str], toxic: list[int], epochs: int = 6, batch: int = 25
             p1, pair = _batch_marginals(u, inside, trans, start)
             miss = (tag - p1) * inside
             grad = np.bincount(f.ravel(), np.repeat(miss.ravel(), width), dim)
-            grad[-1] = 0
+            grad[0] = 0
             grad = grad / len(b) - l2 * w
             seen = np.zeros((2, 2))
             both = inside[:, 1:]
@@ -162,8 +167,9 @@ def fit_crf(texts: list[str], toxic: list[int], epochs: int = 6, batch: int = 25
             for g, acc, x in ((grad, gw, w), (dt, gt, trans), (ds, gs, start)):
                 acc += g * g
                 x += rate * g / np.sqrt(acc)
-            w[-1] = 0
-    return {"w": w[:-1], "trans": trans, "start": start}
+            w[0] = 0
+    total[np.fromiter(place, np.int64, len(place))] = w[1:]
+    return {"w": total, "trans": trans, "start": start}
 
 
 def _batch_marginals(u, inside, trans, start):
