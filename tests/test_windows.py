@@ -37,6 +37,36 @@ def test_against_loops(spark, seed):
         assert jit[i] == pytest.approx((steps.mean(), steps.std()), abs=6e-5)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_counts_and_decay_against_loops(spark, seed):
+    r, span, tau = random.Random(seed), 60, 30.0
+    rows = [(*x[:7], r.choice(["SF", "RSTO", "S0", None])) for x in conns(seed)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    counts = {x["conn_id"]: x for x in windows.window_counts(df, span).collect()}
+    decay = {x["conn_id"]: (x["weighted_conn_count"], x["weighted_avg_duration"]) for x in windows.window_decay(df, span, tau).collect()}
+    assert len(counts) == len(decay) == len(rows)
+    for f, i, t, s, d, p, *_ in rows:
+        near = [x for x in rows if x[0] == f and t - span <= x[2] <= t + span]
+        mine = [x for x in near if x[3] == s]
+        got = counts[i]
+        assert (got["conn_count"], got["tcp_rst_count"], got["reconnect_count"]) == (len(near), sum(x[7] == "RSTO" for x in near), sum(x[3:6] == (s, d, p) for x in near))
+        assert got["handshake_fail_rate"] == pytest.approx(sum(x[7] == "S0" for x in near) / len(near), abs=6e-5)
+        assert got["src_ip_abnormal_ratio"] == pytest.approx(sum(x[7] in ("S0", "RSTO") for x in mine) / len(mine), abs=6e-5)
+        weight = [np.exp(-abs(t - x[2]) / tau) for x in near]
+        known = [w * x[6] for w, x in zip(weight, near, strict=True) if x[6] is not None]
+        assert decay[i][0] == pytest.approx(sum(weight), abs=6e-5)
+        assert decay[i][1] == (pytest.approx(sum(known) / sum(weight), abs=6e-5) if known else None)
+
+
+def test_decay_of_a_crowded_stretch():
+    """A hundred thousand rows share a frame: sums run once, where a frame a row would be 10^10 terms."""
+    at = np.sort(np.random.default_rng(6).uniform(0, 100, 100_000))
+    got = windows._decayed(at, np.ones(len(at)), 60, 30.0)
+    for i in (0, 50_000, 99_999):
+        near = np.abs(at - at[i])
+        assert got[i] == pytest.approx(np.exp(-near[near <= 60] / 30).sum(), rel=1e-12)
+
+
 def test_all_features_and_empty(spark):
     df = spark.createDataFrame(conns(3, 50), SCHEMA)
     out = windows.all_window_features(df)
