@@ -114,3 +114,13 @@ def test_snaplen(spark, tmp_path):
     (tmp_path / "x.pcap").write_bytes(data)
     assert len(list(pcap.packets(bytes(data)))) == 3 and len(list(pcap.packets(bytes(data), snaplen=True))) == 1
     assert capture_scan.scan_captures(spark, str(tmp_path), 1_000, snaplen=True).count() == 1
+
+
+def test_decoding_keeps_nothing():
+    """Memory of batches decoded before is free again; a worker's grew with its rows."""
+    raw = pa.array([frame((10, 0, 0, 1), (10, 0, 0, 2), 5, 6, payload=b"z" * 400) for _ in range(2_000)], pa.binary())
+    headers.decode_frames(raw, np.ones(len(raw), np.int64))
+    before = pa.total_allocated_bytes()
+    for _ in range(20):
+        headers.decode_frames(raw, np.ones(len(raw), np.int64))
+    assert pa.total_allocated_bytes() - before < 1 << 20
