@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +28,24 @@ from ..shared import written
 
 PIVOTS = 64
 #: Base rows and queries that one group compares.
-BLOCK = 4_096
-#: Pairs whose differences are in memory at once.
-PAIRS = 1 << 18
+BLOCK = 16_384
+#: Pairs whose products, and whose differences, are in memory at once; queries whose products are made together.
+PAIRS, EXACT, TOGETHER = 1 << 20, 1 << 14, 128
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+def vectors_of(df: DataFrame, vec: str):
+    """The column as it is stored if it holds floats, else as doubles; a float is half to move and exact either way."""
+    return F.col(vec) if df.select(vec).dtypes[0][1] == "array<float>" else F.col(vec).cast("array<double>")
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles; null elements are NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if len(pc.unique(pc.list_value_length(column))) > 1:
+        raise ValueError("vectors differ in length")
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), len(values) // max(1, len(column)))
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -49,8 +61,10 @@ def _wide(bound: np.ndarray, scale: float) -> np.ndarray:
 def _cells(pivots: np.ndarray):
     def run(batches):
         for b in batches:
-            d = _distances(_matrix(b.column(1)), pivots)
-            cell = d.argmin(1) if len(d) else np.empty(0, np.int64)
+            if not len(b):
+                continue
+            d = _distances(matrix(b.column(1)), pivots)
+            cell = d.argmin(1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell], pa.float64())], names=["id", "v", "cell", "r"])
 
     return run
@@ -62,9 +76,9 @@ def _routes(pivots: np.ndarray, radius: np.ndarray, least: np.ndarray, k: int, s
 
     def run(batches):
         for b in batches:
-            d = _distances(_matrix(b.column(1)), pivots)
-            if not len(d):
+            if not len(b):
                 continue
+            d = _distances(matrix(b.column(1)), pivots)
             # distances no object of the summaries exceeds; the query itself may be one of them
             bounds = (d[:, :, None] + least[None]).reshape(len(d), -1)
             bound = _wide(np.partition(bounds, min(k, bounds.shape[1] - 1), axis=1)[:, k] if bounds.shape[1] > k else np.full(len(d), np.inf), scale)
@@ -94,37 +108,50 @@ def _least(cells: int, n: int):
 
 def _compare(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """``left``: queries; ``right``: base rows of the block."""
+        """``left``: queries; ``right``: base rows of the block.
+
+        Products of matrices give every squared distance but for rounding; what
+        may be among a query's k best by them is measured by differences.
+        """
         out = {"query_id": [], "neighbour_id": [], "distance": [], "evaluated": []}
         if len(left) and len(right):
-            right = right.sort_by("r")
-            base, ids, r = _matrix(right["v"].combine_chunks()), right["id"].to_numpy(), right["r"].to_numpy()
-            q, own, d, bound = _matrix(left["v"].combine_chunks()), left["id"].to_numpy(), left["d"].to_numpy(), left["bound"].to_numpy()
+            left, right = left.sort_by("d"), right.sort_by("r")
+            base, ids, r = matrix(right["v"]), right["id"].to_numpy(), right["r"].to_numpy()
+            q, own, d, bound = matrix(left["v"]), left["id"].to_numpy(), left["d"].to_numpy(), left["bound"].to_numpy()
             low, high = np.searchsorted(r, d - bound, side="left"), np.searchsorted(r, d + bound, side="right")
-            size = high - low
+            # seen from the rows' middle products are small, and so is their rounding
+            whole = np.isfinite(base).all(1)
+            middle = base[whole].sum(0) / max(1, int(whole.sum()))
+            near, far = base - middle, q - middle
+            near2, far2 = (near * near).sum(1), (far * far).sum(1)
+            slack = 1e-12 * (near2[whole].max(initial=0) + far2) + 1e-17 * (base[whole] ** 2).sum(1).max(initial=0)
             at = 0
             while at < len(q):
-                end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), PAIRS, side="right")) + at)
-                n = size[at:end]
-                pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low[at:end], n)
-                row = np.repeat(np.arange(at, end), n)
-                dist = np.empty(len(row))
-                for i in range(0, len(row), PAIRS):  # a single query may have more
-                    step = base[pos[i : i + PAIRS]] - q[row[i : i + PAIRS]]
-                    dist[i : i + PAIRS] = np.sqrt((step * step).sum(1))
-                other = ids[pos]
-                keep = (other != own[row]) & (dist <= bound[row])
-                row, other, dist = row[keep], other[keep], dist[keep]
-                order = np.lexsort((other, dist, row))
-                row, other, dist = row[order], other[order], dist[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-                best = place < k
-                out["query_id"].append(own[row[best]])
-                out["neighbour_id"].append(other[best])
-                out["distance"].append(dist[best])
-                count = np.zeros(int(best.sum()), np.int64)
-                count[:1] = int(n.sum())
-                out["evaluated"].append(count)
+                # queries of like windows together, as many as fit
+                many = TOGETHER
+                while many > 1 and many * (high[at : at + many].max() - low[at : at + many].min()) > PAIRS:
+                    many //= 2
+                end = min(at + many, len(q))
+                a, e = int(low[at:end].min()), int(high[at:end].max())
+                if a < e:
+                    row, place = _likely(far[at:end], far2[at:end], near[a:e], near2[a:e], slack[at:end], bound[at:end], k)
+                    row, place = row + at, place + a
+                    dist = np.empty(len(row))
+                    for i in range(0, len(row), EXACT):
+                        step = base[place[i : i + EXACT]] - q[row[i : i + EXACT]]
+                        dist[i : i + EXACT] = np.sqrt((step * step).sum(1))
+                    other = ids[place]
+                    keep = (other != own[row]) & (dist <= bound[row])
+                    row, other, dist = row[keep], other[keep], dist[keep]
+                    order = np.lexsort((other, dist, row))
+                    row, other, dist = row[order], other[order], dist[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+                    out["query_id"].append(own[row[best]])
+                    out["neighbour_id"].append(other[best])
+                    out["distance"].append(dist[best])
+                    count = np.zeros(int(best.sum()), np.int64)
+                    count[:1] = (end - at) * (e - a)
+                    out["evaluated"].append(count)
                 at = end
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
         return pa.table({c: pa.array(np.concatenate(v) if v else [], kind) for (c, v), kind in zip(out.items(), kinds, strict=True)})
@@ -132,15 +159,28 @@ def _compare(k: int):
     return run
 
 
+def _likely(q: np.ndarray, q2: np.ndarray, x: np.ndarray, x2: np.ndarray, slack: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query and a row that may be among its k best, itself not counted, or as near as those: squared distances off by no more than ``slack``."""
+    d2 = q @ x.T
+    d2 *= -2
+    d2 += q2[:, None]
+    d2 += x2[None]
+    most = bound * bound + slack
+    if d2.shape[1] > k + 1:
+        most = np.minimum(most, np.partition(d2, k, axis=1)[:, k] + 2 * slack)
+    return np.nonzero(d2 <= most[:, None])
+
+
 def candidates(queries: DataFrame, base: DataFrame, vec: str, id_col: str, k: int, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame | None:
     """``query_id``, ``neighbour_id``, ``distance``, ``evaluated``: the k best of every query in every block it meets; None without base rows."""
-    slim = lambda df: df.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    slim = lambda df: df.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vectors_of(df, vec).alias("v"))
     rows, asked = slim(base), slim(queries)
     chosen = rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots).collect()
     if not chosen:
         return None
     p = np.unique(np.array([x["v"] for x in chosen], np.float64), axis=0)
-    dealt = written(rows.mapInArrow(_cells(p), "id long, v array<double>, cell int, r double"), "cells")
+    stored = lambda df: dict(df.dtypes)["v"]
+    dealt = written(rows.mapInArrow(_cells(p), f"id long, v {stored(rows)}, cell int, r double"), "cells")
     n, radius, least = np.zeros(len(p), np.int64), np.full(len(p), -1.0), np.full((len(p), k + 1), np.inf)
     for s in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("radius")).collect():
         n[s["cell"]], radius[s["cell"]] = s["n"], s["radius"]
@@ -148,7 +188,8 @@ def candidates(queries: DataFrame, base: DataFrame, vec: str, id_col: str, k: in
     for s in dealt.select("cell", "r").mapInArrow(_least(len(p), k + 1), "cell int, low array<double>").groupBy("cell").agg(lowest.alias("low")).collect():
         least[s["cell"], : len(s["low"])] = s["low"]
     scale = float(np.abs(p).max(initial=0) * np.sqrt(p.shape[1]) + radius.max(initial=0))
-    routed = written(asked.mapInArrow(_routes(p, radius, least, k, scale), "id long, v array<double>, cell int, d double, bound double"), "routes")
+    # a query's vector is repeated for every cell it goes to: the routes are made again rather than kept
+    routed = asked.mapInArrow(_routes(p, radius, least, k, scale), f"id long, v {stored(asked)}, cell int, d double, bound double")
     asked_of = np.zeros(len(p), np.int64)
     for s in routed.groupBy("cell").count().collect():
         asked_of[s["cell"]] = s["count"]

@@ -1,6 +1,9 @@
 """Pivot k-NN against all pairs."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +57,26 @@ def test_bounds_spare_comparisons(spark):
     frame = spark.createDataFrame(b, "i long, v array<double>")
     evaluated = neighbours.candidates(frame, frame, "v", "i", 5).agg(F.sum("evaluated")).first()[0]
     assert evaluated < 0.15 * len(b) ** 2
+
+
+def test_memory_of_a_block():
+    """All rows of a block against each other: products in small squares, differences of the few that matter."""
+    r = np.random.default_rng(9)
+    n, width = 3_000, 64
+    v = r.normal(0, 1, (n, width))
+    v[100:140] = v[100]  # copies are ties
+    ids = pa.array(range(n), pa.int64())
+    far = pa.array(np.full(n, 1e9))
+    left = pa.table({"id": ids, "v": pa.array(v.tolist()), "d": pa.array(np.zeros(n)), "bound": far})
+    right = pa.table({"id": ids, "v": pa.array(v.tolist()), "r": pa.array(np.zeros(n))})
+    tracemalloc.start()
+    got = neighbours._compare(3)(left, right)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 60 << 20 and len(got) == 3 * n
+    found = {}
+    for q, j in zip(got["query_id"].to_pylist(), got["neighbour_id"].to_pylist(), strict=True):
+        found.setdefault(q, []).append(j)
+    for i in (0, 100, 139, 2_999):
+        d = np.sqrt(((v - v[i]) ** 2).sum(1))
+        assert found[i] == [j for j in np.lexsort((np.arange(n), d)) if j != i][:3]
