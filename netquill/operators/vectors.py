@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .neighbours import knn
+from .neighbours import knn, matrix, vectors_of
 
-#: Rows of a block of anchors, and similarities in memory at once.
-LOSS_BLOCK, PAIRS = 4_096, 4_000_000
+#: Rows of a block of anchors, and a side of the square of similarities in memory at once.
+LOSS_BLOCK, SIDE = 16_384, 1_024
+#: Similarities are at most 1; up to this many times them, their exponentials need no common factor.
+PLAIN = 300.0
 
 
 def moments(df: DataFrame, vec: str) -> DataFrame:
@@ -79,16 +81,17 @@ def contrastive_loss(df: DataFrame, vec: str, label: str, id_col: str, temperatu
     With ``class_weighted`` every anchor weighs as the inverse of its label's rows.
 
     Rows are dealt into blocks by id; every pair of blocks is a task that
-    multiplies two bounded matrices and gives sums per anchor, which are merged.
-    No pair is a row and no row comes to the driver.  Rows of one id are never
-    compared; a null label has no partner; rows without a vector are left out.
+    multiplies two bounded matrices once and gives sums for the anchors of both,
+    which are merged.  No pair is a row and no row comes to the driver.  Rows of
+    one id are never compared; a null label has no partner; rows without a
+    vector are left out.
     """
-    rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("label"))
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), vectors_of(df, vec).alias("v"), F.col(label).alias("label"))
     parts = max(1, -(-rows.count() // block))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), "anchors")
-    all_parts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    anchors, others = rows.withColumnRenamed("part", "a").withColumn("b", all_parts), rows.withColumnRenamed("part", "b").withColumn("a", all_parts)
-    out = anchors.groupBy("a", "b").cogroup(others.groupBy("a", "b")).applyInArrow(_log_sums(temperature), "anchor long, top double, total double, same double, partners long")
+    left = rows.withColumnRenamed("part", "a").withColumn("b", F.explode(F.sequence("a", F.lit(parts - 1))))
+    right = rows.withColumnRenamed("part", "b").withColumn("a", F.explode(F.sequence(F.lit(0), "b")))
+    out = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_log_sums(temperature), "anchor long, top double, total double, same double, partners long")
     per = out.groupBy("anchor").agg(F.collect_list(F.struct("top", "total")).alias("s"), F.sum("same").alias("same"), F.sum("partners").alias("m")).where("m > 0")
     top = F.array_max(F.transform("s", lambda x: x["top"]))
     total = F.aggregate("s", F.lit(0.0), lambda t, x: t + x["total"] * F.exp(x["top"] - F.col("top")))
@@ -100,42 +103,75 @@ def contrastive_loss(df: DataFrame, vec: str, label: str, id_col: str, temperatu
     return loss.agg(F.coalesce(F.round(F.avg("l"), 6), F.lit(0.0)).alias("loss"), F.count(F.lit(1)).alias("anchors"))
 
 
-def _unit(x: list) -> np.ndarray:
-    v = np.array(x, np.float64)
+def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def _add_exp(top: np.ndarray, total: np.ndarray, s: np.ndarray) -> None:
+    """Rows' further similarities into their greatest and the sum of exponentials below it."""
+    new = np.maximum(top, s.max(1))
+    ok = np.isfinite(new)
+    total[ok] = total[ok] * np.exp(top[ok] - new[ok]) + np.exp(s[ok] - new[ok, None]).sum(1)
+    top[:] = new
+
+
+def _partners(q: np.ndarray, y: np.ndarray, x: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``q`` the sum and number of similarities to rows of ``x`` of its label: products with the labels' sums. Labels below 0 have none."""
+    n = int(max(y.max(), by.max(), 0)) + 1
+    sums, known = np.zeros((n, x.shape[1])), by >= 0
+    np.add.at(sums, by[known], x[known])
+    count = np.bincount(by[known], minlength=n)
+    return np.where(y >= 0, (q * sums[y]).sum(1), 0.0), np.where(y >= 0, count[y], 0)
+
+
 def _log_sums(temperature: float):
-    """Per anchor of a block: greatest similarity to the other block's rows, sum of exponentials below it, sum and number of partners' similarities."""
+    """Of a pair of blocks, for the anchors of both: greatest similarity, sum of exponentials below it, sum and number of partners' similarities.
+
+    Rows of one id are in one block, so only a block's pair with itself looks for them.
+    """
+    plain = 1 / temperature <= PLAIN
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return pa.table({"anchor": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("top", "total", "same")}, "partners": pa.array([], pa.int64())})
-        ids, labels = {}, {}
-        number = lambda values, known: np.array([known.setdefault(x, len(known)) for x in values])
-        own, other_id = number(left["id"].to_pylist(), ids), number(right["id"].to_pylist(), ids)
-        y, by = (np.array([end if x is None else labels.setdefault(x, len(labels)) for x in t["label"].to_pylist()]) for t, end in ((left, -2), (right, -1)))
-        q, x = _unit(left["v"].to_pylist()), _unit(right["v"].to_pylist())
-        top, total = np.full(len(q), -np.inf), np.zeros(len(q))
-        same, partners = np.zeros(len(q)), np.zeros(len(q), np.int64)
-        step = max(1, PAIRS // len(q))
-        for at in range(0, len(x), step):
-            s = q @ x[at : at + step].T / temperature
-            other = own[:, None] != other_id[None, at : at + step]
-            pair = other & (y[:, None] == by[None, at : at + step])
-            same += np.where(pair, s, 0).sum(1)
-            partners += pair.sum(1)
-            s[~other] = -np.inf
-            new = np.maximum(top, s.max(1))
-            ok = np.isfinite(new)
-            total[ok] = total[ok] * np.exp(top[ok] - new[ok]) + np.exp(s[ok] - new[ok, None]).sum(1)
-            top = new
-        ok = np.flatnonzero(np.isfinite(top))
-        return pa.table({"anchor": left["row"].combine_chunks().take(pa.array(ok)), "top": pa.array(top[ok]), "total": pa.array(total[ok]), "same": pa.array(same[ok]), "partners": pa.array(partners[ok])})
+        itself = left["a"][0].as_py() == left["b"][0].as_py()
+        labels = {}
+        y, by = (np.array([-1 if x is None else labels.setdefault(x, len(labels)) for x in t["label"].to_pylist()]) for t in (left, right))
+        q, x = _unit(matrix(left["v"])) / temperature, _unit(matrix(right["v"]))
+        same, partners = _partners(q, y, x, by)
+        top, total = (np.full(len(q), 0.0 if plain else -np.inf), np.full(len(x), 0.0 if plain else -np.inf)), (np.zeros(len(q)), np.zeros(len(x)))
+        if itself:
+            ids = {}
+            own, other = (np.array([ids.setdefault(v, len(ids)) for v in t["id"].to_pylist()]) for t in (left, right))
+        for i in range(0, len(q), SIDE):
+            for j in range(0, len(x), SIDE):
+                s = q[i : i + SIDE] @ x[j : j + SIDE].T
+                if itself:
+                    k, m = np.nonzero(own[i : i + SIDE, None] == other[None, j : j + SIDE])
+                    pair = (y[i + k] == by[j + m]) & (y[i + k] >= 0)
+                    np.subtract.at(same, i + k[pair], s[k[pair], m[pair]])
+                    np.subtract.at(partners, i + k[pair], 1)
+                    s[k, m] = -np.inf
+                if plain:
+                    np.exp(s, out=s)
+                    total[0][i : i + SIDE] += s.sum(1)
+                    total[1][j : j + SIDE] += s.sum(0)
+                else:
+                    _add_exp(top[0][i : i + SIDE], total[0][i : i + SIDE], s)
+                    _add_exp(top[1][j : j + SIDE], total[1][j : j + SIDE], s.T)
+        found = [(left["row"], top[0], total[0], same, partners)]
+        if not itself:
+            found.append((right["row"], top[1], total[1], *_partners(x / temperature, by, q * temperature, y)))
+        return pa.concat_tables([_sums(*f) for f in found])
 
     return run
 
 
+def _sums(row: pa.ChunkedArray, top: np.ndarray, total: np.ndarray, same: np.ndarray, partners: np.ndarray) -> pa.Table:
+    ok = np.flatnonzero(total > 0)
+    return pa.table({"anchor": row.combine_chunks().take(pa.array(ok)), "top": pa.array(top[ok]), "total": pa.array(total[ok]), "same": pa.array(same[ok]), "partners": pa.array(partners[ok].astype(np.int64))})
+
+
 class Reducer:
     """A linear reducer: one map, used both ways, fitted with labels to values in memory.
 

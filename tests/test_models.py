@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,22 @@ def test_contrastive_loss_above_20_000_rows(spark):
     df = spark.range(20_001).selectExpr("id", "array(1.0D, 0.0D) AS v", "1 AS label")
     got = vectors.contrastive_loss(df, "v", "label", "id").first()
     assert got.anchors == 20_001 and abs(got.loss - np.log(20_000)) < 2e-6
+
+
+@pytest.mark.parametrize("temperature", [0.1, 0.001])
+def test_sums_of_two_blocks_for_the_anchors_of_both(temperature):
+    """A pair of blocks is multiplied once; a small temperature needs its greatest similarities."""
+    r = np.random.default_rng(8)
+    v, y = r.normal(size=(50, 4)), r.integers(0, 3, 50)
+    block = lambda a, e, *ab: pa.table({"id": pa.array(range(a, e)), "v": pa.array(v[a:e].tolist()), "label": pa.array(y[a:e]), "row": pa.array(range(a, e), pa.int64()), "a": pa.array([ab[0]] * (e - a)), "b": pa.array([ab[1]] * (e - a))})
+    got = vectors._log_sums(temperature)(block(0, 20, 0, 1), block(20, 50, 0, 1)).to_pylist()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T / temperature
+    assert [x["anchor"] for x in got] == list(range(50))
+    for x in got:
+        i = x["anchor"]
+        rest = np.arange(20, 50) if i < 20 else np.arange(20)
+        mates = rest[y[rest] == y[i]]
+        top = s[i, rest].max()
+        assert x["top"] + np.log(x["total"]) == pytest.approx(top + np.log(np.exp(s[i, rest] - top).sum()))
+        assert (x["partners"], x["same"]) == (len(mates), pytest.approx(s[i, mates].sum()))
