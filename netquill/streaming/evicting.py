@@ -86,22 +86,36 @@ class Evicting(StatefulProcessor):
         n, timer = self._counts()
         now = timerValues.getCurrentWatermarkInMs()
         found = stretches(batch["flow_id"].to_numpy(object).astype(str), batch["ts"].to_numpy(np.float64), batch["len"].to_numpy(np.float64), batch[["syn", "fin", "rst"]].to_numpy(np.int64), self.idle)
+        # the store is asked once for a flow and told once what is left of it, however often it closed in between
+        left, stored = {}, set()
         for r in found.itertuples(index=False):
             s = (int(r.packets), float(r.bytes), float(r.first), float(r.last), int(r.syn), int(r.fin), int(r.rst), float(r.mean), float(r.m2))
-            if self.open.containsKey((r.flow_id,)):
+            if r.flow_id in left:
+                before = left[r.flow_id]
+            elif n and self.open.containsKey((r.flow_id,)):
                 before = tuple(self.open.getValue((r.flow_id,)))
-                self.open.removeKey((r.flow_id,))
-                n -= 1
+                stored.add(r.flow_id)
+            else:
+                before = None
+            if before is not None:
                 if r.lead and s[2] - before[3] <= self.idle:
                     s = joined(before, s)
                 else:
                     self._close(out, r.flow_id, before, "idle")
             if r.done:
                 self._close(out, r.flow_id, s, "reset" if s[6] else "finished")
-            else:
-                self.open.updateValue((r.flow_id,), s)
-                n += 1
-                timer = self._wake(timer, self._expiry(s[3], now))
+            left[r.flow_id] = None if r.done else s
+        ends = []
+        for flow, s in left.items():
+            if s is not None:
+                self.open.updateValue((flow,), s)
+                n += flow not in stored
+                ends.append(self._expiry(s[3], now))
+            elif flow in stored:
+                self.open.removeKey((flow,))
+                n -= 1
+        if ends:
+            timer = self._wake(timer, min(ends))
         if n > self.most:
             oldest = sorted(((tuple(v)[2], tuple(v)[3], k[0], tuple(v)) for k, v in self.open.iterator()), key=lambda x: x[:3])
             for _, _, flow, s in oldest[: n - self.most]:

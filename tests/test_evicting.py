@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,60 @@ def test_stretches_join_like_one():
     parts = [evicting.stretches(np.array(["a"] * len(i)), ts[i], x[i], none[i], 5.0) for i in (np.arange(11), np.arange(11, 30))]
     row = lambda d: tuple(d.iloc[0])[1:10]
     assert evicting.joined(row(parts[0]), row(parts[1])) == pytest.approx(row(whole))
+
+
+class Store:
+    """A map state that counts its calls, a value state, and the timers of one shard."""
+
+    def __init__(self):
+        self.calls, self.map, self.value, self.timers = 0, {}, None, set()
+
+    def containsKey(self, k):
+        self.calls += 1
+        return k in self.map
+
+    def getValue(self, k):
+        self.calls += 1
+        return self.map[k]
+
+    def removeKey(self, k):
+        self.calls += 1
+        del self.map[k]
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self.map[k] = v
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_one_write_a_flow():
+    """A flow that closes many times in a batch costs the store a call for what is left, not calls a stretch."""
+    s = Store()
+    p = evicting.Evicting(5.0, 100)
+    p.handle, p.open, p.held = s, s, s
+    batch = lambda ts, fin: pd.DataFrame({"flow_id": ["a"] * len(ts), "ts": ts, "len": 1.0, "syn": 0, "fin": fin, "rst": 0})
+    out = next(p.handleInputRows(("k",), iter([batch([float(i) for i in range(21)], [1] * 20 + [0])]), s))
+    assert (len(out), set(out["reason"]), s.calls, s.value[0], s.timers) == (20, {"finished"}, 1, 1, {25_000})
+    out = next(p.handleInputRows(("k",), iter([batch([21.0, 40.0, 41.0], [0, 0, 1])]), s))
+    assert out[["packets", "reason"]].values.tolist() == [[2, "idle"], [2, "finished"]]
+    assert (s.map, s.value[0], s.calls) == ({}, 0, 4)
