@@ -44,3 +44,11 @@ def test_deviation_is_that_of_the_lengths(spark, tmp_path):
     """The root of a variance of four digits rounds to another third digit here."""
     r = random.Random(10_707)
     against_sql(spark, tmp_path, "temporal_flows", [(i, 4, "click", r.randrange(54, 500) - 54 + 0.5) for i in range(30)])
+
+
+@pytest.mark.parametrize("name", ["temporal_flows", "feature_flows", "flow_rows"])
+def test_users_of_one_tuple_are_one_flow(spark, tmp_path, name):
+    """Users that differ by 63 * 2**24 have the same address, port and server; 2 and the one five such steps on also name certificates."""
+    step, r = 63 << 24, random.Random(11)
+    users = [4, 4 + step, 2, 2 + 5 * step]
+    against_sql(spark, tmp_path, name, [(i, users[i % 4], r.choice(TYPES), r.uniform(0, 400)) for i in range(80)])
