@@ -83,6 +83,23 @@ def test_bytes_of_production_length(spark):
     assert got == sorted(map(repr, brute_bytes(docs, 400))) and any(n for _, _, n, _, _ in brute_bytes(docs, 400))
 
 
+@pytest.mark.parametrize("size", [399, 400, 401])
+def test_a_passage_is_judged_by_its_bytes_not_its_words(spark, size):
+    """60 words that two documents share stay at 399 bytes and go from 400 on; op7, which counts words, removes the later ones at any size."""
+    r = random.Random(size)
+    fresh = lambda: " ".join(f"f{r.randrange(10**9)}" for _ in range(30))
+    words = [f"w{r.randrange(1000, 10_000)}" for _ in range(59)]
+    passage = " ".join([*words, "x" * (size - 59 * 6)])
+    assert len(passage) == size and len(passage.split()) == 60
+    # unlike characters on both sides, so not a byte more is shared
+    docs = [(0, f"{fresh()} <{passage}{{ {fresh()}"), (1, f"{fresh()} >{passage}}} {fresh()}"), (2, fresh())]
+    got = {x.id: x.n_removed for x in suffix_dedup.remove_repeats(frame(spark, docs)).collect()}
+    want = size if size >= 400 else 0
+    assert got == {0: want, 1: want, 2: 0}
+    by_words = {x.id: x.n_removed for x in substring_dedup.remove_repeats(frame(spark, docs)).collect()}
+    assert by_words == {0: 0, 1: 58, 2: 0}
+
+
 def test_words_of_one_id_keep_the_order_of_texts(spark):
     r = random.Random(4)
     shared = " ".join(f"s{i}" for i in range(40))
