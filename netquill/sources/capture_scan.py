@@ -10,6 +10,8 @@ ends at the first damaged record, so ranges behind one are left out.
 
 Ranges pass summaries (a row each) through a Spark table; packets are read in a
 last step, block by block, so a task holds some MB whatever the file's size.
+A task takes many ranges in a row where ranges are small and many: a file is
+then opened once a task and its blocks are read once.
 """
 
 from __future__ import annotations
@@ -26,25 +28,28 @@ from ..shared import written
 from .pcap import DDL, ENHANCED, INTERFACE, MOST, PCAP_BIG, PCAP_LITTLE, PCAPNG, SIMPLE, SNAPLEN, _fs
 
 SPLIT_BYTES = 64 << 20
-#: Bytes read at once, and bytes of packets handed on at once.
-BLOCK_BYTES, BATCH_BYTES, BATCH_ROWS = 4 << 20, 4 << 20, 10_000
+#: Up to so many ranges are a task each; of more, a task takes as many in a row as make up TASK_BYTES.
+SIDE_BY_SIDE, TASK_BYTES = 100, 64 << 20
+#: Bytes read at once (first and at most), and bytes of packets handed on at once.
+FIRST_BYTES, BLOCK_BYTES, BATCH_BYTES, BATCH_ROWS = 64 << 10, 4 << 20, 4 << 20, 10_000
 #: Headers in a row that make an offset plausible.
 CHAIN = 6
 
 
 class Bytes:
-    """Random access to a file through one block in memory."""
+    """Random access to a file through one block in memory; blocks that follow one another double up to ``block``."""
 
     def __init__(self, file, size: int, block: int = BLOCK_BYTES):
         self.file, self.size, self.block = file, size, block
-        self.begin, self.data = 0, b""
+        self.begin, self.data, self.step = 0, b"", 0
 
     def at(self, place: int, n: int) -> bytes:
         """``n`` bytes from ``place`` on, fewer at the end."""
         o = place - self.begin
         if o < 0 or o + n > len(self.data):
+            self.step = min(self.block, 2 * self.step if self.data and 0 <= o <= len(self.data) + self.step else FIRST_BYTES)
             self.file.seek(place)
-            self.begin, self.data, o = place, self.file.read(min(max(n, self.block), max(0, self.size - place))), 0
+            self.begin, self.data, o = place, self.file.read(min(max(n, self.step), max(0, self.size - place))), 0
         return self.data[o : o + n]
 
 
@@ -165,24 +170,45 @@ def _summarise(snaplen: bool):
     return lambda batches: _summaries(batches, snaplen)
 
 
+def _opened(batches, snaplen: bool):
+    """Every range with the reader of its file, which ranges in a row share."""
+    path, f, records = None, None, None
+    try:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["file"] != path:
+                    if f is not None:
+                        f.close()
+                    fs, place = _fs(r["file"])
+                    path, f = r["file"], fs.open_input_file(place)
+                    records = capture(Bytes(f, r["length"]), snaplen)
+                yield r, records
+    finally:
+        if f is not None:
+            f.close()
+
+
 def _summaries(batches, snaplen: bool):
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            fs, path = _fs(r["file"])
-            with fs.open_input_file(path) as f:
-                records = capture(Bytes(f, r["length"]), snaplen)
-                if records is None:
-                    rows.append((r["file"], r["length"], r["part"], r["begin"], r["end"], r["begin"], r["begin"], 0, None, True))
-                    continue
-                entry = r["entry"]
-                if entry is None:
-                    entry = records.first if r["part"] == 0 else first_record(records, r["begin"], r["end"])
-                w = Walk(entry)
-                for _ in records.walk(w, r["end"]):
-                    pass
-                rows.append((r["file"], r["length"], r["part"], r["begin"], r["end"], entry, w.at, w.packets, w.link, w.damaged))
-        yield pa.RecordBatch.from_pylist([dict(zip(_SUMMARY.names, x, strict=True)) for x in rows], _SUMMARY)
+    def out(rows):
+        return pa.RecordBatch.from_pylist([dict(zip(_SUMMARY.names, x, strict=True)) for x in rows], _SUMMARY)
+
+    rows = []
+    for r, records in _opened(batches, snaplen):
+        if records is None:
+            rows.append((r["file"], r["length"], r["part"], r["begin"], r["end"], r["begin"], r["begin"], 0, None, True))
+        else:
+            entry = r["entry"]
+            if entry is None:
+                entry = records.first if r["part"] == 0 else first_record(records, r["begin"], r["end"])
+            w = Walk(entry)
+            for _ in records.walk(w, r["end"]):
+                pass
+            rows.append((r["file"], r["length"], r["part"], r["begin"], r["end"], entry, w.at, w.packets, w.link, w.damaged))
+        if len(rows) == BATCH_ROWS:
+            yield out(rows)
+            rows = []
+    if rows:
+        yield out(rows)
 
 
 _SUMMARY = pa.schema([("file", pa.string()), ("length", pa.int64()), ("part", pa.int32()), ("begin", pa.int64()), ("end", pa.int64()), ("entry", pa.int64()), ("exit", pa.int64()), ("packets", pa.int64()), ("link", pa.int32()), ("damaged", pa.bool_())])
@@ -191,9 +217,10 @@ _SUMMARY_DDL = "file string, length long, part int, begin long, end long, entry
 
 
 def _dealt(ranges: DataFrame) -> DataFrame:
-    """A task a range, more or less."""
-    n = max(1, min(ranges.count(), 100_000))
-    return ranges.repartition(n, "file", "part")
+    """A task a range up to SIDE_BY_SIDE of them, else ranges in a row of TASK_BYTES together, in the order of their files."""
+    n, held = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0))).first()
+    n = max(1, min(n, 100_000, max(SIDE_BY_SIDE, -(-held // TASK_BYTES))))
+    return ranges.repartitionByRange(n, "file", "part").sortWithinPartitions("file", "part")
 
 
 def capture_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES, rounds: int = 1_000, snaplen: bool = False) -> DataFrame:
@@ -237,27 +264,24 @@ def _packets(batches, snaplen: bool):
     def out(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "pkt_no", "ts", "linktype", "raw"])
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            fs, path = _fs(r["file"])
-            with fs.open_input_file(path) as f:
-                src = Bytes(f, r["length"])
-                records, rows, size, number = capture(src, snaplen), [], 0, r["first_no"]
-                if records is None:
-                    continue
-                w = Walk(r["entry"], 1 if r["link_before"] is None else r["link_before"])
-                for ts, start, n, link in records.walk(w, r["end"]):
-                    rows.append((r["file"], number, ts, link, src.at(start, n)))
-                    number, size = number + 1, size + n
-                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
-                        yield out(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield out(rows)
+    rows, size = [], 0
+    for r, records in _opened(batches, snaplen):
+        if records is None:
+            continue
+        file, number, src = r["file"], r["first_no"], records.src
+        w = Walk(r["entry"], 1 if r["link_before"] is None else r["link_before"])
+        for ts, start, n, link in records.walk(w, r["end"]):
+            rows.append((file, number, ts, link, src.at(start, n)))
+            number, size = number + 1, size + n
+            if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                yield out(rows)
+                rows, size = [], 0
+    if rows:
+        yield out(rows)
 
 
 def scan_captures(spark, path: str, split_bytes: int = SPLIT_BYTES, glob: str = "*.pcap*", snaplen: bool = False) -> DataFrame:
-    """Packets of all captures under ``path``, row for row those of the whole-file reader, from tasks of ``split_bytes`` each.
+    """Packets of all captures under ``path``, row for row those of the whole-file reader, from ranges of ``split_bytes`` each.
 
     Spark lists the files, tasks open them by range, so the store must be one
     that Arrow reaches (local or shared folders, HDFS, S3, GCS).  Files that are
@@ -265,5 +289,5 @@ def scan_captures(spark, path: str, split_bytes: int = SPLIT_BYTES, glob: str =
     """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     files = listed.where("length > 0").select(F.col("path").alias("file"), "length")
-    ranges = written(capture_ranges(files, split_bytes, snaplen=snaplen).where("packets > 0").select("file", "length", "part", "end", "entry", "first_no", "link_before"), "joined-ranges")
+    ranges = written(capture_ranges(files, split_bytes, snaplen=snaplen).where("packets > 0").select("file", "length", "part", "begin", "end", "entry", "first_no", "link_before"), "joined-ranges")
     return _dealt(ranges).mapInArrow(_read(snaplen), DDL)
